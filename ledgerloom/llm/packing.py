@@ -15,9 +15,11 @@ packed once each.  An empty table gives an empty result.  Other columns are not
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,47 +31,82 @@ from .scratch import stage
 
 #: Pieces of one length in one window.
 BUCKET_ROWS = 20_000
-#: Distinct words whose ids a task keeps at once.
-WORDS_KEPT = 200_000
+#: Distinct words, and parts of words, whose ids a Python worker keeps.
+WORDS_KEPT, PARTS_KEPT = 200_000, 1_000_000
+
+#: Fixed: how the vocabulary's pre-tokenizer cuts a lower-cased word, for printable ASCII and Latin-1 letters.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write each byte as a printable letter: itself, or the next one from 256 on."""
+    itself = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in itself]
+    return {b: b for b in itself} | {b: 256 + k for k, b in enumerate(rest)}
 
 
 class _Ids(dict):
-    """Ids of a word as little-endian bytes, made once for each word met."""
+    """Ids of a word as little-endian bytes; a word has no separators in it.
+
+    Plain words are cut as the vocabulary's own pre-tokenizer cuts them and their parts go to its
+    merges; any other word goes through the whole tokenizer.  Both give the ids that the tokenizer
+    gives for the word within a text, since it drops white space and merges within parts only.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model, self.parts = self.tokenizer.model, {}
+        self.letters = _byte_letters()
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
+            if len(self.parts) < PARTS_KEPT and len(part) <= 40:
+                self.parts[part] = found
+        return found
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        if len(word) <= 64:
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            found = b"".join(map(self._part, _PARTS.findall(word.lower())))
+        else:
+            found = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(self) < WORDS_KEPT and len(word) <= 40:
             self[word] = found
         return found
 
 
-#: The separators at which a text may be cut without changing its ids: the pre-tokenizer drops them.
-_BLANK = str.maketrans("\t\n\v\f\r", "     ")
+@lru_cache(maxsize=2)
+def _ids(vocabulary: str) -> _Ids:
+    """One table a Python worker, kept from task to task."""
+    return _Ids(vocabulary)
+
+
+def _words(text: str) -> list[str]:
+    """Cut at white space as the tokenizer knows it, which four separators of str.split are not."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w for w in re.split(r"[ \t\n\v\f\r]+", text) if w]
+    return text.split()
 
 
 def _pieces(vocabulary: str, capacity: int, end_id: int):
     tail = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(vocabulary)
+        of = _ids(vocabulary).__getitem__
         for batch in batches:
             keys, out = batch.column(0), ([], [], [], [], [])
-            for row in range(batch.num_rows):
-                text = batch.column(1)[row].as_py() or ""
-                body = b"".join(map(ids.__getitem__, filter(None, text.translate(_BLANK).split(" ")))) + tail
+            for row, value in enumerate(batch.column(1)):
+                body = b"".join(map(of, _words(value.as_py() or ""))) + tail
                 for piece, at in enumerate(range(0, len(body), 4 * capacity)):
                     part = body[at : at + 4 * capacity]
-                    for column, value in zip(out, (row, piece, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
+                    for column, found in zip(out, (row, piece, at // 4, len(part) // 4, zlib.crc32(part))):
+                        column.append(found)
             row, piece, start, length, crc = out
             yield pa.RecordBatch.from_arrays(
                 [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
