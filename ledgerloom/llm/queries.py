@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding
+from . import mixing, packing, sharding, simhash, topk
 
 #: Where the public vocabulary files live; None asks the installed package.
 TOKENIZERS: str | None = None
@@ -29,6 +29,23 @@ def op1_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of each document."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of each document and the component it is linked to."""
+    found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op8_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of each query vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), capacity=2048)
@@ -36,6 +53,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_consistent_ring": op1_consistent_ring,
+    "op5_cube_mix": op5_cube_mix,
+    "op6_simhash_components": op6_simhash_components,
+    "op8_ball_tree_topk": op8_ball_tree_topk,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
