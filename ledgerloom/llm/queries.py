@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, simhash, topk
+from . import mixing, packing, quality, sharding, simhash, topk
 
 #: Where the public vocabulary files live; None asks the installed package.
 TOKENIZERS: str | None = None
@@ -46,6 +46,16 @@ def op8_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_factorization_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document; labels of every fifth id by checksum are held out of the fit."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    scored = quality.score(docs, labels.where(fold != 0))
+    return scored.select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), capacity=2048)
@@ -56,6 +66,7 @@ QUERIES = {
     "op5_cube_mix": op5_cube_mix,
     "op6_simhash_components": op6_simhash_components,
     "op8_ball_tree_topk": op8_ball_tree_topk,
+    "op9_factorization_quality": op9_factorization_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

@@ -120,15 +120,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
         found = rows.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(_searched(k), "query_id bigint, vec_id bigint, score bigint")
         return found
 
-    rows = dealt.select("vec_id", "v", "shard", every.alias("block"))
+    rows = dealt.select("vec_id", F.col("v").alias("held"), "shard", every.alias("block")).withColumnRenamed("held", "v")
     at_home = F.col("shard") == F.col("block") % shards
     first = stage(wave(rows.where(at_home), asked.select("query_id", "v", "block", F.col("home").alias("shard"), F.lit(float("-inf")).alias("floor"))), "topk-first").df
     kth = _best(first, k).select("query_id", F.when(F.size("top") == k, -F.element_at("top", k)["s"]).cast("double").alias("floor"))
     others = asked.join(kth, "query_id", "left").select(
         "query_id", "v", "block", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "home"
     ).where("shard <> home").drop("home")
-    away = dealt.select("vec_id", F.col("v").alias("held"), "shard", every.alias("block")).where(~at_home).withColumnRenamed("held", "v")
-    rest = wave(away, others)
+    rest = wave(rows.where(~at_home), others)
     best = _best(first.union(rest), k)
     return best.select("query_id", F.posexplode("top").alias("at", "t")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).alias("score")
