@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality, sharding, simhash, topk
+from . import fingerprints, mixing, packing, passages, quality, sharding, simhash, topk
 
 #: Where the public vocabulary files live; None asks the installed package.
 TOKENIZERS: str | None = None
@@ -29,6 +29,11 @@ def op1_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document without 50-byte strings of earlier documents."""
+    return passages.dedup_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how alike they are."""
     return fingerprints.edit_check(_table(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_consistent_ring": op1_consistent_ring,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_closed_syncmers": op4_closed_syncmers,
     "op5_cube_mix": op5_cube_mix,
     "op6_simhash_components": op6_simhash_components,
