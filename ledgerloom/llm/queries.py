@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, passages, quality, sharding, simhash, topk
+from . import fingerprints, languages, licenses, mixing, packing, passages, quality, sharding, simhash, topk
 
 #: Where the public vocabulary files live; None asks the installed package.
 TOKENIZERS: str | None = None
@@ -29,6 +29,11 @@ def op1_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of each document without 50-byte strings of earlier documents."""
     return passages.dedup_passages(_table(spark, sf_dir, "documents"))
@@ -51,6 +56,16 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, from text, declared language and source."""
+    return languages.identify(_table(spark, sf_dir, "documents"), "doc_id", "text", declared="lang", host="source")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all pages, from text, markup, address suffix and host."""
+    return languages.identify(languages.page_rows(_table(spark, sf_dir, "pages")), "page_id", "text", declared="declared", host="url")
+
+
 def op8_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest integer inner products of each query vector."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -73,10 +88,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_consistent_ring": op1_consistent_ring,
+    "op2_license_scan": op2_license_scan,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_closed_syncmers": op4_closed_syncmers,
     "op5_cube_mix": op5_cube_mix,
     "op6_simhash_components": op6_simhash_components,
+    "op7_language_fusion": op7_language_fusion,
+    "page_languages": page_languages,
     "op8_ball_tree_topk": op8_ball_tree_topk,
     "op9_factorization_quality": op9_factorization_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
