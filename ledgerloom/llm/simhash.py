@@ -11,8 +11,9 @@ is a table of shards, keyed by the bits it keeps.  Shards that still hold more t
 partitioned by vantage points: a fingerprint of the shard is drawn by hash, its median distance
 splits the rest, and rows within ``radius`` of the boundary go to both sides (the triangle bound), so
 that no pair is lost.  This repeats until shards are small or a split no longer shrinks them.
-In a shard, a vantage-point tree answers the range query of each fingerprint, pruning by the same
-bound, and only a spanning forest of the links found leaves the task.
+Tasks take bundles of shards.  In a shard, a vantage-point tree answers the range query of each
+fingerprint, pruning by the same bound (shards of a leaf's size are compared directly), and only a
+spanning forest of the links found leaves the task.
 
 Nulls and texts without words have fingerprint 0, linked like any other; texts of fewer words than a
 shingle are one shingle.  Null keys take no part in component ids but keep their row.  Repeated rows
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -38,8 +38,8 @@ from .scratch import stage
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are counted at once.
 _CHUNK = 1 << 14
-#: Members of a vantage-point tree's leaf.
-_LEAF = 64
+#: Members of a vantage-point tree's leaf; rows of the shards that one task call links.
+_LEAF, BUNDLE_ROWS = 64, 10_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -114,26 +114,52 @@ def near_pairs(points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np
         todo += [(inner, queries[dq - radius <= split]), (outer, queries[dq + radius > split])]
 
 
+class _Forest:
+    """Union-find over positions; what is linked is told as (member, least member)."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    def link(self, left: np.ndarray, right: np.ndarray) -> None:
+        for a, b in zip(left.tolist(), right.tolist()):
+            a, b = self.root(a), self.root(b)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+
+    def stars(self) -> tuple[list[int], list[int]]:
+        roots = [self.root(i) for i in range(len(self.parent))]
+        members = [i for i, r in enumerate(roots) if i != r]
+        return members, [roots[i] for i in members]
+
+
 def _spanning(radius: int):
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
-        points = np.sort(np.unique(shard["fp"].to_numpy())).view(np.uint64)
-        parent = list(range(len(points)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
-        links = []
-        for left, right in near_pairs(points, radius):
-            for a, b in zip(left.tolist(), right.tolist()):
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    parent[ra] = rb
-                    links.append((a, b))
-        at = np.array(links, int).reshape(-1, 2)
-        signed = points.view(np.int64)
-        return pd.DataFrame({"a": signed[at[:, 0]], "b": signed[at[:, 1]]})
+    """Links between the fingerprints of a bundle of shards, as stars around the least of each group."""
+
+    def run(bundle: pa.Table) -> pa.Table:
+        shard, fp = bundle["shard"].to_numpy(), bundle["fp"].to_numpy()
+        order = np.lexsort((fp, shard))
+        shard, points = shard[order], fp[order].view(np.uint64)
+        names, place = np.unique(fp, return_inverse=True)
+        place, forest = place[order], _Forest(len(names))
+        begins = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        sizes = np.diff(np.append(begins, len(shard)))
+        size = np.repeat(sizes, sizes)
+        for apart in range(1, min(_LEAF, int(sizes.max(initial=1)))):  # small shards: all at once, one distance in the order at a time
+            i = np.flatnonzero((shard[apart:] == shard[:-apart]) & (size[apart:] <= _LEAF))
+            i = i[np.bitwise_count(points[i] ^ points[i + apart]) <= radius]
+            forest.link(place[i], place[i + apart])
+        for k in np.flatnonzero(sizes > _LEAF).tolist():
+            at = place[begins[k] : begins[k] + sizes[k]]
+            for left, right in near_pairs(points[begins[k] : begins[k] + sizes[k]], radius):
+                forest.link(at[left], at[right])
+        members, roots = forest.stars()
+        return pa.table({"a": pa.array(names[members], pa.int64()), "b": pa.array(names[roots], pa.int64())})
 
     return run
 
@@ -165,7 +191,10 @@ def near_links(points: DataFrame, radius: int = 3, blocks: int = 5, shard_rows:
         crowded = rows.where(~small & ~stuck).drop("was")
     else:
         ready = ready.union(crowded.select("shard", "fp"))
-    return ready.groupBy("shard").applyInPandas(_spanning(radius), "a bigint, b bigint")
+    ready = stage(ready, "simhash-ready").df
+    bundles = ready.count() // BUNDLE_ROWS + 1
+    bundled = ready.withColumn("bundle", F.pmod(F.xxhash64("shard"), F.lit(bundles))).repartition(int(min(bundles, 10_000)), "bundle")
+    return bundled.groupBy("bundle").applyInArrow(_spanning(radius), "a bigint, b bigint")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text", **search) -> DataFrame:
