@@ -42,28 +42,27 @@ from .collection_bwt import least_owner
 from .scratch import stage
 
 #: Bytes of text in a bucket; owners' hashes in a group; pieces in a collection.
-BUCKET, GROUP, COLLECTION = 4 << 20, 4 << 20, 4096
+BUCKET, GROUP, COLLECTION = 4 << 20, 1 << 20, 4096
 SIZE, K = 50, 24
 _LAST_ID = (1 << 63) - 1
 _MIXED = -1  # in place of the least id: the owner's pieces differ
 
 
 def owners(body: np.ndarray, offsets: np.ndarray, size: int = SIZE, k: int = K) -> tuple[np.ndarray, ...]:
-    """Owner's hash, text, first and last start, and piece's hash of each run of strings with one owner."""
+    """Of each run of strings with one owner: its hash, text, first and last start, piece's hash, and place in the piece."""
     n = len(body)
     if n < size:
         empty = np.empty(0, np.int64)
-        return empty.astype(np.uint64), empty, empty, empty, empty.astype(np.uint64)
+        return empty.astype(np.uint64), empty, empty, empty, empty.astype(np.uint64), empty
     sums = prefix_sums(body)
     _, down = powers(n)
-    least = mixed((sums[k:] - sums[:-k]) * down[: n - k + 1])
-    place, width, span = np.arange(len(least), dtype=np.int32), size - k + 1, 1
+    plain = (sums[k:] - sums[:-k]) * down[: n - k + 1]
+    least, width, span = _placed(plain), size - k + 1, 1
     while span < width:
         step = min(span, width - span)
-        right = least[step:] < least[:-step]
-        place = np.where(right, place[step:], place[:-step])
-        least = np.where(right, least[step:], least[:-step])
+        least = np.minimum(least[step:], least[:-step])
         span += step
+    place = (least & _PLACE).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))[: len(least)]
     whole = np.arange(size, size + len(least)) <= offsets[1:][row]
     change = np.ones(len(least), bool)
@@ -72,7 +71,17 @@ def owners(body: np.ndarray, offsets: np.ndarray, size: int = SIZE, k: int = K)
     last = np.append(first[1:], len(least)) - 1
     held = whole[first]
     first, last = first[held], last[held]
-    return least[first], row[first].astype(np.int64), first, last, span_hashes(sums, first, last + size)
+    return mixed(plain[place[first]]), row[first].astype(np.int64), first, last, span_hashes(sums, first, last + size), place[first] - first
+
+
+#: The low bits of an order value are a place, the high ones a k-mer's hash: equal hashes go to the left.
+_PLACE = np.uint64((1 << 26) - 1)
+
+
+def _placed(hashes: np.ndarray) -> np.ndarray:
+    if len(hashes) > int(_PLACE):
+        raise ValueError("a text of more than 64 MB must be cut before passages are sought")
+    return (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
 
 
 def _unpack(*columns: pa.ChunkedArray) -> list[np.ndarray]:
@@ -197,7 +206,7 @@ def _candidates(groups: int):
             known = np.sort(np.concatenate([_from_five(m.as_py()) * np.uint64(groups) + np.uint64(g) for g, m in zip(told["g"].to_pylist(), told["marks"])]))
             bucket, held = _Bucket(texts), []
             for first, body, offsets in bucket.slices():
-                h, row, _, _, piece = owners(body, offsets)
+                h, row, _, _, piece, _ = owners(body, offsets)
                 key = _mark(h, groups) * np.uint64(groups) + h % np.uint64(groups)
                 at = np.searchsorted(known, key)
                 hit = known[np.minimum(at, len(known) - 1)] == key
@@ -262,14 +271,14 @@ def _pieces(groups: int):
             known = np.sort(h[least.view(np.int64) == _MIXED])
             bucket, found = _Bucket(texts), {}
             for first, body, offsets in bucket.slices():
-                h, row, start, end, piece = owners(body, offsets)
+                h, row, start, end, piece, inner = owners(body, offsets)
                 for i in np.flatnonzero(_lookup(known, h)[1]).tolist():
                     key, who = (int(h[i]), int(piece[i])), int(bucket.ids[row[i] + first])
                     if key in found:
                         held = found[key]
                         held[0], held[1] = min(held[0], who), max(held[1], who)
                     else:
-                        found[key] = [who, who, body[start[i] : end[i] + SIZE].tobytes()]
+                        found[key] = [who, who, body[start[i] : end[i] + SIZE].tobytes(), int(inner[i])]
             keys = np.array(list(found), np.uint64).reshape(-1, 2)
             held = list(found.values())
             for g, at in _by_group(keys[:, 0], groups):
@@ -282,22 +291,41 @@ def _pieces(groups: int):
                         "piece": _pack(keys[at, 1]),
                         "least": _pack(np.array([x[0] for x in mine], np.int64)),
                         "last": _pack(np.array([x[1] for x in mine], np.int64)),
+                        "inner": _pack(np.array([x[3] for x in mine], np.int64)),
                         "strings": [x[2] for x in mine],
                     }
                 )
-        kinds = [("g", pa.int64()), ("bucket", pa.int64()), *((c, pa.binary()) for c in ("h", "piece", "least", "last")), ("strings", pa.list_(pa.binary()))]
+        kinds = [("g", pa.int64()), ("bucket", pa.int64()), *((c, pa.binary()) for c in ("h", "piece", "least", "last", "inner")), ("strings", pa.list_(pa.binary()))]
         return pa.Table.from_pylist(out, pa.schema(kinds))
 
     return run
 
 
+def _may_share(strings: list[bytes], h: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Pieces that share half of what a string has beside its owner, left or right of it, with another piece.
+
+    Two equal strings agree in SIZE - K bytes around their owner, so in half of these on one side.
+    """
+    half = (SIZE - K) // 2
+    body, sizes = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings], np.int64)
+    sums, at = prefix_sums(body), np.concatenate([[0], np.cumsum(sizes)])
+    place = at[:-1] + inner
+    out = np.zeros(len(strings), bool)
+    for start, fits in ((place - half, inner >= half), (place + K, inner + K + half <= sizes)):
+        who = np.flatnonzero(fits)
+        key = span_hashes(sums, start[who], start[who] + half) ^ mixed(h[who])
+        _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+        out[who[n[back] > 1]] = True
+    return out
+
+
 _RUNS = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("h", "piece", "low", "high", "least"))])
 
 
 def _resolved(table: pa.Table) -> pa.Table:
     """Of a group: runs of each piece's strings that also start in a smaller id than some of its bucket's."""
-    h, piece, least, last = _unpack(*(table[c] for c in ("h", "piece", "least", "last")))
-    least, last = least.view(np.int64), last.view(np.int64)
+    h, piece, least, last, inner = _unpack(*(table[c] for c in ("h", "piece", "least", "last", "inner")))
+    least, last, inner = (c.view(np.int64) for c in (least, last, inner))
     strings = [s for row in table["strings"] for s in row.as_py()]
     place = np.repeat(np.arange(table.num_rows), [len(x.as_py()) // 8 for x in table["h"]])
     order = np.lexsort((least, piece, h))
@@ -305,15 +333,17 @@ def _resolved(table: pa.Table) -> pa.Table:
     firsts = order[new]
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
-    edge = np.flatnonzero(np.append(True, h[firsts][1:] != h[firsts][:-1]))
-    cuts, at = [0], 0
-    for e in np.append(edge[1:], len(firsts)).tolist():
-        if e - at >= COLLECTION or e == len(firsts):
+    owned: list[np.ndarray] = [np.full(len(strings[i]) - SIZE + 1, least[i]) for i in firsts]
+    meets = np.flatnonzero(_may_share([strings[i] for i in firsts], h[firsts], inner[firsts]))
+    of = h[firsts[meets]]
+    cuts = [0]
+    for e in np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)).tolist():
+        if e - cuts[-1] >= COLLECTION or e == len(of) > cuts[-1]:
             cuts.append(e)
-            at = e
-    owned: list[np.ndarray] = []
     for a, b in zip(cuts, cuts[1:]):
-        owned += least_owner([strings[i] for i in firsts[a:b]], least[firsts[a:b]], SIZE)
+        mine = meets[a:b]
+        for i, found in zip(mine.tolist(), least_owner([strings[i] for i in firsts[mine]], least[firsts[mine]], SIZE)):
+            owned[i] = found
     held: list[list[tuple]] = [[] for _ in range(table.num_rows)]
     for i in range(len(h)):
         low = owned[which[i]]
@@ -358,7 +388,7 @@ def _cut(keep_text: bool):
             pair, (low, high, who) = pair[order], (c[order].view(np.int64) for c in (low, high, who))
             bucket = _Bucket(texts)
             for first, body, offsets in bucket.slices():
-                h, row, start, end, piece = owners(body, offsets)
+                h, row, start, end, piece, _ = owners(body, offsets)
                 ids = bucket.ids[row + first] if len(row) else np.empty(0, np.int64)
                 edges = np.zeros(len(body) + 1, np.int64)
                 at, there = _lookup(known, h)
@@ -412,7 +442,7 @@ def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_
     packed = "h binary, piece binary, least binary, last binary"
     candidates = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(_candidates(groups), f"g bigint, bucket bigint, {packed}")
     settled = stage(candidates.groupBy("g").applyInArrow(_settled, "bucket bigint, mixed boolean, h binary, least binary"), "passage-owners").df
-    pieces = by_bucket.cogroup(settled.where("mixed").groupBy("bucket")).applyInArrow(_pieces(groups), f"g bigint, bucket bigint, {packed}, strings array<binary>")
+    pieces = by_bucket.cogroup(settled.where("mixed").groupBy("bucket")).applyInArrow(_pieces(groups), f"g bigint, bucket bigint, {packed}, inner binary, strings array<binary>")
     runs = stage(pieces.groupBy("g").applyInArrow(_resolved, "bucket bigint, h binary, piece binary, low binary, high binary, least binary"), "passage-runs").df
     told = settled.select("bucket", "h", *(F.lit(None).cast("binary").alias(c) for c in ("piece", "low", "high")), "least").union(
         runs.select("bucket", "h", "piece", "low", "high", "least")
