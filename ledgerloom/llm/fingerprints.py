@@ -11,7 +11,8 @@ estimates the Jaccard similarity of the anchor sets; two empty ones are alike.
 ``edit_check`` compares each document with an edited one, in which the next document's beginning
 replaces its last quarter.  As anchors are context-free the edited fingerprint needs no pass over the
 edited text: it is merged from the anchors of the kept part, of the part put in and of the seam.
-The texts are shuffled once, by id; the beginnings, a quarter of that, once more.  The next id comes
+Sketches are made in one pass and written, four bytes a
+hash; the texts are shuffled once, by id, and the beginnings, a quarter of that, once more.  The next id comes
 from windows over ranges of ids, whose edges are joined from one row a range.
 
 Nulls: a null text is empty; a null id sorts first.  Rows that share an id keep a row each; they have
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from .columns import rank_in
 from .scratch import stage
 
-K, S, KEEP, SHORT, PIECE = 12, 5, 64, 24, 4
+K, S, KEEP, SHORT, PIECE = 12, 5, 48, 24, 4
+#: How many hashes are expected below the value under which the least are looked for first.
+_LOOK = 4 * KEEP
 #: Ids in one range, and the most ranges.
 RANGE_ROWS, RANGES = 50_000, 1000
 _NO_ID = -(1 << 63)
@@ -61,8 +64,7 @@ def anchor_places(body: Column, k: int = K, s: int = S) -> Column:
     def closed(inner: Column) -> Column:
         def is_anchor(at: Column) -> Column:
             near = [F.get(inner, at + (j - 1)) for j in range(k - s + 1)]
-            least = F.least(*near)
-            return (near[0] == least) | (near[-1] == least)
+            return F.least(near[0], near[-1]) <= F.least(*near[1:-1])
 
         return F.filter(_starts(body, k), is_anchor)
 
@@ -73,8 +75,23 @@ def _least(hashes: Column, keep: int = KEEP) -> Column:
     return F.slice(F.sort_array(F.array_distinct(hashes)), 1, keep)
 
 
+def _least_of_many(hashes: Column) -> Column:
+    """The same, sorting only what lies under a value that some _LOOK of them should; all if these are too few."""
+
+    def pick(many: Column) -> Column:
+        under = (F.lit(float(1 << 32)) * _LOOK / F.greatest(F.size(many), F.lit(1))).cast("bigint")
+        found = _let(under, lambda u: F.array_distinct(F.filter(many, lambda h: h < u)))
+        return _let(found, lambda few: F.when(F.size(few) >= KEEP, F.slice(F.sort_array(few), 1, KEEP)).otherwise(_least(many)))
+
+    return _let(hashes, pick)
+
+
+def _hashes(body: Column, places: Column) -> Column:
+    return F.transform(places, lambda at: _hash(body, at, K))
+
+
 def anchor_sketch(body: Column, places: Column) -> Column:
-    return _least(F.transform(places, lambda at: _hash(body, at, K)))
+    return _least_of_many(_hashes(body, places))
 
 
 def sketch(body: Column) -> Column:
@@ -126,37 +143,43 @@ def neighbours(docs: DataFrame, key: str, text: str) -> DataFrame:
 def edit_check(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row."""
     links = stage(neighbours(docs, key, text), "print-links").df
-    rows = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
+    id_ = F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id")
+    rows = docs.select(id_, F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = F.char_length("text")
-    kept_bytes = F.octet_length(F.left(F.col("text"), n - (n / 4).cast("int")))
-
-    def sketched(body: Column, kept: Column, at: Column) -> Column:
-        return F.struct(
-            F.when(F.octet_length(body) < SHORT, sketch(body)).otherwise(anchor_sketch(body, at)).alias("all"),
-            anchor_sketch(body, F.filter(at, lambda a: a + (K - 1) <= kept)).alias("kept"),
-        )
-
-    prints = _let(F.encode("text", "UTF-8"), lambda body: _let(kept_bytes, lambda kept: _let(anchor_places(body), lambda at: sketched(body, kept, at))))
-    rows = rows.select("id", "key", "text", F.to_json(prints).alias("prints"))
-    sketches = F.from_json("prints", "struct<all array<bigint>, kept array<bigint>>")
-    begins = rows.join(links, "id").select("before", F.left("text", F.col("need")).alias("begin"), "prints", "key")
-    begins = begins.groupBy("before").agg(F.min(F.struct("begin", "prints")).alias("x"))
-    both = rows.join(begins, F.col("id") == F.col("before")).select("key", "text", sketches.alias("own"), F.col("x.begin").alias("begin"), F.col("x.prints").alias("prints"))
-    both = both.select("key", n.alias("n_chars"), "own", sketches["all"].alias("next"), F.left("text", n - (n / 4).cast("int")).alias("left"), F.left("begin", (n / 4).cast("int")).alias("put"))
+    kept_text = F.left(F.col("text"), n - (n / 4).cast("int"))
+
+    def sketched(body: Column, kept: Column, at: Column, hashes: Column) -> Column:
+        first = F.slice(hashes, 1, F.size(F.filter(at, lambda a: a + (K - 1) <= kept)))
+        whole = F.when(F.octet_length(body) < SHORT, sketch(body)).otherwise(_least_of_many(hashes))
+        return F.struct(whole.alias("all"), _least_of_many(first).alias("kept"))
+
+    def with_places(body: Column, kept: Column) -> Column:
+        return _let(anchor_places(body), lambda at: _let(_hashes(body, at), lambda hashes: sketched(body, kept, at, hashes)))
+
+    prints = _let(F.encode("text", "UTF-8"), lambda body: _let(F.octet_length(kept_text), lambda kept: with_places(body, kept)))
+    small = lambda c: F.transform(c, lambda h: (h - (1 << 31)).cast("int"))  # noqa: E731  stored in four bytes
+    large = lambda c: F.transform(c, lambda h: h.cast("bigint") + (1 << 31))
+    made = rows.select("id", F.xxhash64("text").alias("tid"), prints.alias("p"))
+    prints = stage(made.select("id", "tid", small(F.col("p.all")).alias("all"), small(F.col("p.kept")).alias("kept")), "print-sketches").df
+
+    begins = rows.join(links, "id").select("before", F.struct(F.left("text", F.col("need")).alias("begin"), F.xxhash64("text").alias("tid"), "id").alias("x"))
+    begins = begins.groupBy("before").agg(F.min("x").alias("x"))
+    both = rows.join(begins, F.col("id") == F.col("before")).select("id", F.xxhash64("text").alias("tid"), F.col("x.id").alias("next_id"), F.col("x.tid").alias("next_tid"), n.alias("n_chars"), kept_text.alias("left"), F.left("x.begin", (n / 4).cast("int")).alias("put"))
     lb, pb = F.encode("left", "UTF-8"), F.encode("put", "UTF-8")
     edited_body = F.encode(F.concat("left", "put"), "UTF-8")
     seam = F.concat(F.substring(lb, F.greatest(F.octet_length("left") - (K - 2), F.lit(1)), F.lit(K - 1)), F.substring(pb, F.lit(1), F.lit(K - 1)))
     of = lambda b: _let(b, lambda x: anchor_sketch(x, anchor_places(x)))
-    edited = F.when(F.octet_length("left") + F.octet_length("put") < SHORT, _let(edited_body, sketch)).otherwise(
-        _least(F.concat(F.col("own.kept"), of(pb), of(seam)))
-    )
-    both = both.select("key", "n_chars", F.sha2(edited_body, 256).alias("edited_sha256"), "own", "next", F.array(edited).alias("held"))
-    both = both.select("key", "n_chars", "edited_sha256", F.col("own.all").alias("own"), "next", F.explode("held").alias("edited"))
-    return both.select(
-        F.col("key").alias(key),
-        F.col("n_chars").cast("long").alias("n_chars"),
+    short = F.octet_length("left") + F.octet_length("put") < SHORT
+    put_in = F.when(short, _let(edited_body, sketch)).otherwise(F.concat(of(pb), of(seam)))
+    both = both.select("id", "tid", "next_id", "next_tid", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(edited_body, 256).alias("edited_sha256"), short.alias("short"), put_in.alias("put_in"))
+    own = prints.groupBy("id", "tid").agg(F.first("all").alias("own"), F.first("kept").alias("kept"))
+    following = prints.groupBy(F.col("id").alias("next_id"), F.col("tid").alias("next_tid")).agg(F.first("all").alias("next"))
+    whole = both.join(own, ["id", "tid"]).join(following, ["next_id", "next_tid"])
+    edited = F.when(F.col("short"), F.col("put_in")).otherwise(_least(F.concat(large(F.col("kept")), F.col("put_in"))))
+    whole = whole.select("id", "n_chars", "edited_sha256", large(F.col("own")).alias("own"), large(F.col("next")).alias("next"), F.explode(F.array(edited)).alias("edited"))
+    return whole.select(
+        F.nullif(F.col("id"), F.lit(_NO_ID)).cast(docs.schema[key].dataType).alias(key),
+        "n_chars",
         "edited_sha256",
         shown(F.col("own")).alias("fingerprint"),
         shown(F.col("edited")).alias("edited_fingerprint"),
