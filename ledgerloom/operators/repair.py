@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def balanced(text: str | None) -> str | None:
@@ -37,7 +38,7 @@ def balanced(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _repaired(texts: pd.Series) -> pd.Series:
     return texts.map(balanced)
 
@@ -67,7 +68,7 @@ def chunks(text: str | None, tokens: int = 200, overlap: int = 20) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _chunked(texts: pd.Series) -> pd.Series:
     return texts.map(chunks)
 
