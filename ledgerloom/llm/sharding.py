@@ -30,7 +30,8 @@ def _ring(df: DataFrame, shards: int, vnodes: int) -> tuple[list[int], list[int]
     """Places in ascending order and the shard of each."""
     places = (
         df.sparkSession.range(shards * vnodes)
-        .select((F.col("id") % shards).cast("int").alias("shard"), F.xxhash64(F.lit("place"), "id").alias("at"))
+        .select(F.floor(F.col("id") / vnodes).cast("int").alias("shard"), (F.col("id") % vnodes).alias("nth"))
+        .select("shard", F.xxhash64(F.lit("place"), "shard", "nth").alias("at"))
         .orderBy("at", "shard")
         .collect()
     )
