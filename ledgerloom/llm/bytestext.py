@@ -87,4 +87,4 @@ def tokens(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def per_row(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(rows, weights=values, minlength=n)
+    return np.bincount(rows, weights=values, minlength=n).astype(float)

@@ -93,7 +93,7 @@ def _text_scores(held, weight: int, columns: list[str]):
             for part in slices(batch, 0):
                 gram, row = grams(part.column(0))
                 n = np.bincount(row, minlength=part.num_rows)
-                scores = np.stack([np.bincount(row, weights=table[gram], minlength=part.num_rows) for table in log], axis=1)
+                scores = np.stack([np.bincount(row, weights=table[gram], minlength=part.num_rows) for table in log], axis=1).astype(float)
                 scores *= (np.minimum(n, weight) / np.maximum(n, 1))[:, None]
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(scores.ravel()), len(log)).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n), lists], [*columns, "n_grams", "scores"])
