@@ -116,8 +116,21 @@ def _pieces(vocabulary: str, capacity: int, end_id: int):
     return run
 
 
-def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, how many sequences hold just these) for a histogram of piece lengths."""
+Pattern = tuple[tuple[int, ...], int]
+
+
+def plan_patterns(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """(lengths, how many sequences hold just these) for a histogram of piece lengths.
+
+    Exact filling with few large pieces left over can cost more than it saves, so the plan is made with
+    single, pair and triple complements, with fewer and with none, and the one of fewest sequences holds.
+    """
+    plans = [_plan(histogram, capacity, most) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[Pattern]:
+    """The plan when a gap is filled exactly by at most so many lengths."""
     left = [0] * (capacity + 1)
     for length, n in histogram.items():
         left[length] = n
@@ -126,7 +139,7 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[
         if left[length]:
             have |= 1 << length
             mirror |= 1 << (capacity - length)
-    patterns: list[tuple[tuple[int, ...], int]] = []
+    patterns: list[Pattern] = []
 
     def take(lengths: tuple[int, ...]) -> None:
         nonlocal have, mirror
@@ -158,10 +171,12 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[
         gap = capacity - length
         if gap == 0:
             return (length,)
-        if left[gap] >= 1 + (gap == length):
+        if most >= 1 and left[gap] >= 1 + (gap == length):
             return length, gap
-        if two := pair(gap, (length,)):
+        if most >= 2 and (two := pair(gap, (length,))):
             return length, *two
+        if most < 3:
+            return None
         firsts = have & ((1 << gap) - 1)
         while firsts:
             a = firsts.bit_length() - 1
@@ -175,7 +190,7 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[
     for length in range(capacity, 0, -1):
         while left[length] and (found := fill(length)):
             take(found)
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+    open_: dict[int, list[Pattern]] = defaultdict(list)
     gaps = 0
     for length in range(capacity, 0, -1):
         n = left[length]
@@ -206,7 +221,7 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[
     return patterns + [p for held in open_.values() for p in held]
 
 
-def _intervals(patterns: list[tuple[tuple[int, ...], int]]) -> list[dict]:
+def _intervals(patterns: list[Pattern]) -> list[dict]:
     """For each length, which ranks go to which sequences and where in them."""
     seen: dict[int, int] = defaultdict(int)
     rows, sequence = [], 0
