@@ -33,7 +33,7 @@ from .columns import WORD
 from .scratch import stage
 
 #: Documents in one flight.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 #: A coordinate this near to 0 or 1 has reached it.
 NEAR = 1e-9
 
