@@ -30,7 +30,7 @@ from .columns import inline_table
 from .scratch import stage
 
 #: Pieces of one length in one window.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Distinct words, and parts of words, whose ids a Python worker keeps.
 WORDS_KEPT, PARTS_KEPT = 200_000, 1_000_000
 
