@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -265,6 +266,13 @@ def test_search_equals_brute_force(spark, sf_dir):
     assert sorted(map(tuple, queries.op8_ball_tree_topk(spark, sf_dir).collect())) == sorted(want)
 
 
+def test_search_equals_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf_dir}/embeddings.parquet')")
+    want = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.ORACLES['op8_ball_tree_topk']})").fetchall()
+    assert sorted(map(tuple, queries.op8_ball_tree_topk(spark, sf_dir).collect())) == sorted(want) and want
+
+
 def test_search_over_many_shards(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 3)
