@@ -12,7 +12,7 @@ def value_date(x: Column) -> Column:
 
 
 def booked_date(x: Column) -> Column:
-    return F.try_to_timestamp(x, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).cast("date")
+    return F.try_to_timestamp(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit("yyyy-M-d'T'H:m:s'Z'")).cast("date")
 
 
 def due_in_time(date: Column, booked_at: Column, lag: int = 2) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(F.coalesce(x, F.lit("")), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
 def squashed(x: Column) -> Column:
@@ -20,8 +20,8 @@ def tokens(x: Column) -> Column:
 
 
 def present(x: Column) -> Column:
-    """Not blank, and of printable characters and plain spaces only."""
-    return (trimmed(x) != "") & F.coalesce(F.rlike(x, F.lit(r"^(?:[^\p{C}\p{Z}]| )*$")), F.lit(False))
+    """Not blank, and within its blank edges of printable characters and plain spaces only."""
+    return F.rlike(trimmed(x), F.lit(r"^(?:[^\p{C}\p{Z}]| )+$"))
 
 
 def _bound(value: Column, body) -> Column:

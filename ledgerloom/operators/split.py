@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def decile(difficulty: Column, bins: int = 10) -> Column:
     return F.least(F.lit(bins - 1), F.floor(difficulty * bins)).cast("int")
@@ -14,15 +15,13 @@ def decile(difficulty: Column, bins: int = 10) -> Column:
 def stratified(rows: DataFrame, strata: list[str], key: str, fraction: float = 0.8, seed: int = 7) -> DataFrame:
     """rows with split: in each stratum the first round(n * fraction) by a seeded hash train, one at least on each side.
 
-    Ranks come from a window by stratum; strata are many and the hash decides, not the order of rows.
+    A stratum may hold any share of the rows: ranks are made from counts (``ranks``), not by one sort a stratum.
     """
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    by = W.partitionBy(*strata)
-    n = F.count(F.lit(1)).over(by)
-    wanted = F.bround(n * F.lit(fraction)).cast("bigint")
-    wanted = F.when(n >= 2, F.greatest(F.lit(1), F.least(n - 1, wanted))).otherwise(wanted)
-    ranked = rows.withColumn("_rank", F.row_number().over(by.orderBy(order, key))).withColumn("_wanted", wanted)
-    return ranked.withColumn("split", F.when(F.col("_rank") <= F.col("_wanted"), "train").otherwise("val")).drop("_rank", "_wanted")
+    wanted = F.bround(F.col("_n") * F.lit(fraction)).cast("bigint")
+    wanted = F.when(F.col("_n") >= 2, F.greatest(F.lit(1), F.least(F.col("_n") - 1, wanted))).otherwise(wanted)
+    side = F.when(F.col("_rank") <= wanted, "train").otherwise("val")
+    return ranked(rows, strata, order, key).withColumn("split", side).drop("_rank", "_n")
 
 
 def balance(rows: DataFrame, strata: list[str]) -> DataFrame:

@@ -31,10 +31,11 @@ def _judged(pairs: DataFrame) -> DataFrame:
     fields = {"_there": s.isNotNull(), "_corrupt": corrupt(l) | corrupt(s), "_same": F.upper(l["ccy"]) == F.upper(s["ccy"])}
     for name, side in (("l", l), ("s", s)):
         fields |= {f"_{name}a": amounts.exact(side["amount"]), f"_{name}d": dates.value_date(side["value_date"]), f"_{name}r": names.trimmed(side["ref"])}
-        fields |= {f"_{name}b": side["beneficiary"], f"_{name}c": side["counterparty"], f"_{name}x": side["fx_rate"]}
+        fields |= {f"_{name}t": side["amount"], f"_{name}v": side["value_date"], f"_{name}b": side["beneficiary"], f"_{name}c": side["counterparty"], f"_{name}x": side["fx_rate"]}
     rows = pairs.withColumns(fields | {"_booked": l["booked_at"]})
     c = F.col
-    in_time = dates.due_in_time(c("_ld"), c("_booked")) & dates.due_in_time(c("_sd"), c("_booked")) & (c("_ld") == c("_sd"))
+    # both dates are texts that parse by now; "2026-8-7" and "2026-08-07" are not the same text
+    in_time = dates.due_in_time(c("_ld"), c("_booked")) & (c("_lv") == c("_sv"))
 
     def name_rule(field: str, other: str) -> Column:
         differs = names.squashed(c(f"_l{field}")) != names.squashed(c(f"_s{field}"))
@@ -43,12 +44,20 @@ def _judged(pairs: DataFrame) -> DataFrame:
     kind = (
         F.when(~c("_there"), "MISSING_MESSAGE")
         .when(c("_corrupt"), "FIELD_CORRUPTION")
-        .when(c("_same") & ~amounts.within_tolerance(c("_la"), c("_sa")), "AMOUNT_MISMATCH")
+        .when(c("_same") & ~amounts.same_amount(c("_la"), c("_sa"), c("_lt"), c("_st")), "AMOUNT_MISMATCH")
         .when(~c("_same") & ~amounts.fx_holds(c("_la"), c("_lx"), c("_sa"), c("_sx")), "FX_CONVERSION_ERROR")
         .when(c("_lr") == c("_sr"), "DUPLICATE")
         .otherwise(F.coalesce(name_rule("b", "BENEFICIARY_MISMATCH"), name_rule("c", "COUNTERPARTY_MISMATCH"), F.when(~in_time, "VALUE_DATE_MISMATCH"), F.lit("MATCH")))
     )
-    return rows.withColumn("kind", kind).drop(*fields, "_booked")
+    return once(rows, "kind", kind).drop(*fields, "_booked")
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once a row, however often later expressions use it.
+
+    A generator's output is not inlined into what follows, as a plain column would be.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
 def verdict_of(kind: Column) -> Column:

@@ -97,16 +97,21 @@ def passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_.union(brief)
 
 
+def near_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination.near_duplicates(rows, "doc_id", T.word_shingles(F.col("text")))
+
+
 @query()
 def near_dup_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents whose sets of five-word shingles are 0.8 alike or more; of equal sets the least id stands for all."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contamination.near_duplicates(rows, "doc_id", T.word_shingles(F.col("text")), n=64, rows_per_band=4)
+    """Pairs of classes of documents whose sets of five-word shingles are 0.8 alike or more; a class has equal sets."""
+    return near_classes(spark, sf_dir)[0]
 
 
 @query()
-def near_dup_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination.similarity_histogram(near_dup_minhash(spark, sf_dir))
+def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document: the least id of those with its set of five-word shingles."""
+    return near_classes(spark, sf_dir)[1].select(F.col("key").alias("doc_id"), F.col("class").alias("class_id"))
 
 
 @query("SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS record FROM conversations GROUP BY conv_id")

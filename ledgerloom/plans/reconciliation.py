@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, names
 from ..operators import agreement, calibrate, contamination, resample, routing, score, split, verify, voting
+from ..operators.taxonomy import weight_of
 from ..sources.pairs import order_pairs
 from . import views
 from .registry import query, table
@@ -50,11 +52,11 @@ def fx_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("task_id", la.alias("ledger_amount"), sa.alias("statement_amount"), amounts.fx_holds(la, F.col("ledger.fx_rate"), sa, F.col("statement.fx_rate")).alias("holds"))
 
 
-@query(PARSED + "SELECT task_id, isodow(ld) < 6 AND ld <= booked + INTERVAL 2 DAY AS ledger_due, isodow(sd) < 6 AND sd <= booked + INTERVAL 2 DAY AS statement_due, ld = sd AS same FROM parsed WHERE there")
+@query(PARSED + "SELECT task_id, isodow(ld) < 6 AND ld <= booked + INTERVAL 2 DAY AS ledger_due, isodow(sd) < 6 AND sd <= booked + INTERVAL 2 DAY AS statement_due, l_date = s_date AS same FROM parsed WHERE there")
 def value_date_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order_pairs(spark, sf_dir).where("statement IS NOT NULL")
     ld, sd, booked = dates.value_date(F.col("ledger.value_date")), dates.value_date(F.col("statement.value_date")), F.col("ledger.booked_at")
-    return rows.select("task_id", dates.due_in_time(ld, booked).alias("ledger_due"), dates.due_in_time(sd, booked).alias("statement_due"), (ld == sd).alias("same"))
+    return rows.select("task_id", dates.due_in_time(ld, booked).alias("ledger_due"), dates.due_in_time(sd, booked).alias("statement_due"), (F.col("ledger.value_date") == F.col("statement.value_date")).alias("same"))
 
 
 @query(PARSED + f"SELECT task_id, {views.near_sql('l_ben', 's_ben')} AS beneficiary_near, {views.near_sql('l_cp', 's_cp')} AS counterparty_near FROM parsed WHERE there")
@@ -240,13 +242,10 @@ _SAMPLED = f"WITH {views.VERIFIED_SQL}, " + ", ".join(views.predicted_sql(f, f"s
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five predictions of each pair: k, i, told ('VERDICT' or 'VERDICT:TYPE', null where none)."""
-    base = views.verified(spark, sf_dir).select("k", "kind", "severity")
-    parts = [views.with_predictions(base, f).select("k", F.lit(i).alias("i"), F.when(F.col("p_verdict").isNotNull(), F.concat_ws(":", "p_verdict", "p_type")).alias("told")) for i, f in enumerate(_SAMPLES)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """Five predictions of each pair: k, i, told ('VERDICT' or 'VERDICT:TYPE', null where none); pairs are verified once."""
+    numbered = F.posexplode(F.array(*map(F.lit, _SAMPLES))).alias("i", "factor")
+    rows = views.with_predictions(views.verified(spark, sf_dir).select("k", "kind", numbered), F.col("factor"))
+    return rows.select("k", "i", F.when(F.col("p_verdict").isNotNull(), F.concat_ws(":", "p_verdict", "p_type")).alias("told"))
 
 
 @query(
@@ -281,11 +280,6 @@ def split_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.balance(split_rows(spark, sf_dir), ["decile", "kind"])
 
 
-@query(_SPLIT + "SELECT 'task_id' AS column, CAST(count(*) AS BIGINT) AS shared FROM (SELECT task_id FROM split GROUP BY task_id HAVING count(DISTINCT split) > 1)")
-def split_leak_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.leaks(split_rows(spark, sf_dir), ["task_id"])
-
-
 @query(
     VERIFIED + "SELECT task_id, '{\"confidence\":1.0,\"exception_type\":' || CASE WHEN kind = 'MATCH' THEN 'null' ELSE '\"' || kind || '\"' END || ',\"reason\":\"' || reason || '\",\"resolution\":\"' || resolution || '\",\"severity\":\"' || severity || '\",\"verdict\":\"' || verdict || '\"}' AS target FROM verified"
 )
@@ -296,51 +290,82 @@ def verdict_json_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcome_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What bootstrap metrics need of each pair: is it an exception, its weight, caught, correct by two predictors."""
-    from ..operators.taxonomy import weight_of
+    """What resampled metrics need of each pair: kind, its weight, and caught and right by two predictors."""
+    base = views.verified(spark, sf_dir).select("k", "kind", F.posexplode(F.array(F.lit(7919), F.lit(104729))).alias("i", "factor"))
+    rows = views.with_predictions(base, F.col("factor")).select("k", "kind", "i", score.caught_by_weight().cast("int").alias("caught"), score.correct().cast("int").alias("right"))
+    of = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    # both predictions of a pair lie beside each other in one partition; the exchange is on the pair's key
+    both = rows.groupBy("k", "kind").agg(of(0, "caught").alias("caught"), of(0, "right").alias("right_a"), of(1, "caught").alias("caught_b"), of(1, "right").alias("right_b"))
+    return both.select("kind", weight_of(F.col("kind")).alias("weight"), "caught", "right_a", "caught_b", "right_b")
 
-    rows = views.predicted(spark, sf_dir)
-    a = rows.select("k", "kind", "severity", weight_of(F.col("kind")).alias("weight"), score.caught_by_weight().cast("int").alias("caught"), score.correct().cast("int").alias("right_a"))
-    b = views.with_predictions(a, 104729).withColumn("right_b", score.correct().cast("int"))
-    return b.select("weight", "caught", "right_a", "right_b")
 
+FOLDED = ["kind", "weight", "caught", "right_a", "caught_b", "right_b"]
 
-_OUTCOMES = f"WITH {views.VERIFIED_SQL}, {views.predicted_sql(7919, 'sa_')}, {views.predicted_sql(104729, 'sb_')}, " + (
-    f"o AS (SELECT a.weight, a.caught, a.ok AS right_a, b.ok AS right_b, count(*) AS n FROM (SELECT k, weight::DOUBLE AS weight, CAST({CAUGHT_SQL} AS INTEGER) AS caught, CAST({CORRECT_SQL} AS INTEGER) AS ok FROM sa_) a"
-    f" JOIN (SELECT k, CAST({CORRECT_SQL} AS INTEGER) AS ok FROM sb_) b USING (k) GROUP BY ALL),"
-    " h AS (SELECT *, sum(n) OVER (ORDER BY weight, caught, right_a, right_b) AS high FROM o), t AS (SELECT max(high) AS total FROM h),"
-    " d AS (SELECT r AS replicate, CAST('0x' || substr(md5('11:' || r || ':' || j), 1, 12) AS BIGINT) % CAST(total AS BIGINT) AS rank FROM t, range(200) x(r), range(1000) y(j)),"
-    " dr AS (SELECT replicate, weight, caught, right_a, right_b, count(*) AS w FROM d JOIN h ON rank >= high - n AND rank < high GROUP BY ALL) "
-)
-_RANKED = "SELECT count(*) AS replicates, round(avg(v), 4) AS {mean}, round(max(v) FILTER (WHERE i = CAST(round(0.025 * (m - 1)) AS BIGINT)), 4) AS low, round(max(v) FILTER (WHERE i = CAST(round(0.975 * (m - 1)) AS BIGINT)), 4) AS high FROM r"
+
+def _recall(caught: str) -> Column:
+    return F.sum(F.when(F.col("kind") != "MATCH", F.col("weight") * F.col(caught) * F.col("w"))) / F.sum(F.when(F.col("kind") != "MATCH", F.col("weight") * F.col("w")))
 
 
-@query(_OUTCOMES + ", v AS (SELECT replicate, sum(weight * caught * w) / sum(weight * w) AS v FROM dr GROUP BY replicate), r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS m FROM v) " + _RANKED.format(mean="mean"))
+def _accuracy(right: str) -> Column:
+    return F.sum(F.col(right) * F.col("w")).cast("double") / F.sum("w")
+
+
+@query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the weighted recall from 200 replicates of 1000 draws."""
-    drawn = resample.draws(outcome_rows(spark, sf_dir), ["weight", "caught", "right_a", "right_b"], 200, size=1000)
-    value = F.sum(F.col("weight") * F.col("caught") * F.col("w")) / F.sum(F.col("weight") * F.col("w"))
-    return resample.interval(drawn.groupBy("replicate").agg(value.alias("value")))
+    """Interval of the weighted recall from 10,000 replicates of as many draws as there are pairs."""
+    drawn = resample.draws(outcome_rows(spark, sf_dir), FOLDED)
+    return resample.interval(drawn.groupBy("replicate").agg(_recall("caught").alias("value")))
 
 
-@query(
-    _OUTCOMES + ", v AS (SELECT replicate, (sum(right_a * w)::DOUBLE / sum(w)) - (sum(right_b * w)::DOUBLE / sum(w)) AS v FROM dr GROUP BY replicate), r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS m FROM v),"
-    f" s AS ({_RANKED.format(mean='mean_difference')}), p AS (SELECT avg(CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE 0 END) AS up, avg(CASE WHEN v < 0 THEN 1.0::DOUBLE ELSE 0 END) AS down FROM v)"
-    " SELECT replicates, mean_difference, low, high, low > 0 OR high < 0 AS significant, round(least(1.0, 2 * least(1 - up, 1 - down)), 4) AS p_value FROM s, p"
-)
+@query()
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Difference in accuracy of two predictors on the same replicates."""
-    drawn = resample.draws(outcome_rows(spark, sf_dir), ["weight", "caught", "right_a", "right_b"], 200, size=1000)
-    rate = lambda c: F.sum(F.col(c) * F.col("w")).cast("double") / F.sum("w")
-    return resample.paired(drawn.groupBy("replicate").agg(rate("right_a").alias("a"), rate("right_b").alias("b")))
+    """Differences of two predictors in accuracy and in weighted recall on the same replicates."""
+    drawn = resample.draws(outcome_rows(spark, sf_dir), FOLDED)
+    made = drawn.groupBy("replicate").agg(*[m(c).alias(c) for m, c in ((_accuracy, "right_a"), (_accuracy, "right_b"), (_recall, "caught"), (_recall, "caught_b"))])
+    both = F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(a).alias("a"), F.col(b).alias("b")) for n, a, b in (("accuracy", "right_a", "right_b"), ("weighted_recall", "caught", "caught_b"))]))
+    return resample.paired(made.select(both), by=("metric",))
+
 
+@query()
+def interval_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, weighted recall, recall by band and exact recall by type of two predictors, each with its interval."""
+    rows = outcome_rows(spark, sf_dir)
+    runs = F.inline(F.array(*[F.struct(F.lit(n).alias("run"), F.col(c).alias("_caught"), F.col(r).alias("right")) for n, c, r in (("a", "caught", "right_a"), ("b", "caught_b", "right_b"))]))
+    return resample.study(rows.select("kind", "weight", runs).withColumnRenamed("_caught", "caught"))
 
-_SIG = "WITH " + PAIRS_SQL + ", sg AS (SELECT k, task_id, sha256(concat_ws('|', 'ledger.amount=' || l_amount, 'ledger.beneficiary=' || l_ben, 'ledger.booked_at=' || l_booked, 'ledger.ccy=' || l_ccy, 'ledger.counterparty=' || l_cp, 'ledger.fx_rate=~', 'ledger.message_type=MT103', 'ledger.ref=' || l_ref, 'ledger.value_date=' || l_date," + (
-    " 'statement.amount=' || CASE WHEN there THEN s_amount ELSE '~' END, 'statement.beneficiary=' || CASE WHEN there THEN s_ben ELSE '~' END, 'statement.ccy=' || CASE WHEN there THEN s_ccy ELSE '~' END, 'statement.counterparty=' || CASE WHEN there THEN s_cp ELSE '~' END,"
-    " 'statement.fx_rate=' || CASE WHEN there AND s_fx IS NOT NULL THEN '0.92' ELSE '~' END, 'statement.message_type=' || CASE WHEN there THEN 'camt.054' ELSE '~' END, 'statement.ref=' || CASE WHEN there THEN s_ref ELSE '~' END, 'statement.value_date=' || CASE WHEN there THEN s_date ELSE '~' END)) AS sig FROM pairs) "
+
+_POINTS = f"WITH {views.VERIFIED_SQL}, {views.predicted_sql(7919, 'sa_')}, " + (
+    f"o AS (SELECT CASE WHEN {CORRECT_SQL} THEN 1.0::DOUBLE ELSE 0 END AS ok FROM sa_), p AS (SELECT count(*) AS n, avg(ok) AS p FROM o) "
 )
 
 
+@query(_POINTS + "SELECT n, round(p, 4) AS point, 0.0::DOUBLE AS shift, 1.0::DOUBLE AS width_ratio FROM p")
+def bootstrap_normal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accuracy's bootstrap held against the normal approximation.
+
+    ``shift`` is the distance of the replicates' mean from the metric and ``width_ratio`` the interval's width by
+    that of p +- 1.96 * sqrt(p * (1 - p) / n), in tenths: 0 and 1 if replicates draw n of n.
+    """
+    rows = outcome_rows(spark, sf_dir)
+    point = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("right_a").alias("p"))
+    values = resample.draws(rows, FOLDED).groupBy("replicate").agg(_accuracy("right_a").alias("value"))
+    ranked = values.select("value", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("value")) - 1).alias("at"), F.count(F.lit(1)).over(W.partitionBy(F.lit(0))).alias("m"))
+    pick = lambda p: resample.at_rank(F.col("value"), F.col("at"), F.col("m"), p)
+    spans = ranked.agg(F.avg("value").alias("mean"), (pick(0.975) - pick(0.025)).alias("width"))
+    due = 2 * 1.959964 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
+    return spans.crossJoin(point).select("n", F.round("p", 4).alias("point"), F.abs(F.round(F.col("mean") - F.col("p"), 2)).alias("shift"), F.round(F.col("width") / due, 1).alias("width_ratio"))
+
+
+_QUOTED = lambda c: f"'\"' || {c} || '\"'"
+_LEDGER_JSON = "".join(
+    f" || ',\"ledger.{f}\":' || {v}" for f, v in (("beneficiary", _QUOTED("l_ben")), ("booked_at", _QUOTED("l_booked")), ("ccy", _QUOTED("l_ccy")), ("counterparty", _QUOTED("l_cp")), ("fx_rate", "'null'"), ("message_type", "'\"MT103\"'"), ("ref", _QUOTED("l_ref")), ("value_date", _QUOTED("l_date")))
+)
+_STATEMENT_JSON = "".join(
+    f" || ',\"statement.{f}\":' || {v}" for f, v in (("amount", _QUOTED("s_amount")), ("beneficiary", _QUOTED("s_ben")), ("booked_at", None), ("ccy", _QUOTED("s_ccy")), ("counterparty", _QUOTED("s_cp")), ("fx_rate", "CASE WHEN s_fx IS NULL THEN 'null' ELSE '0.92' END"), ("message_type", "'\"camt.054\"'"), ("ref", _QUOTED("s_ref")), ("value_date", _QUOTED("s_date"))) if v
+)
+_SIG = f"WITH {PAIRS_SQL}, sg AS (SELECT k, task_id, l_cp, sha256('{{\"ledger.amount\":' || {_QUOTED('l_amount')}{_LEDGER_JSON} || CASE WHEN there THEN ''{_STATEMENT_JSON} ELSE '' END || '}}') AS sig FROM pairs) "
+
+
 def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_pairs(spark, sf_dir).select("k", "task_id", contamination.pair_signature().alias("sig"))
 
@@ -357,16 +382,47 @@ def leak_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leak_probe(rows.where("k % 5 <> 0 OR k % 3 = 0"), rows.where("k % 5 = 0"))
 
 
-@query(
-    _SIG + ", held AS (SELECT task_id, sig IN (SELECT sig FROM sg WHERE k % 2 = 0) AS known FROM sg WHERE k % 2 = 1), g AS (SELECT unnest([0.05, 0.1, 0.2, 0.5])::DOUBLE AS fraction),"
-    " m AS (SELECT fraction, known, row_number() OVER (PARTITION BY fraction ORDER BY md5(CAST(fraction AS VARCHAR) || ':' || task_id), task_id) AS nth, greatest(1, CAST(round(count(*) OVER (PARTITION BY fraction) * fraction) AS INTEGER)) AS kk FROM held, g)"
-    " SELECT fraction, count(*) FILTER (WHERE nth <= kk) AS n_leaked, count(*) FILTER (WHERE nth > kk) AS n_clean, 1.0::DOUBLE AS fire_on_leaked, round(count(*) FILTER (WHERE nth > kk AND known)::DOUBLE / count(*) FILTER (WHERE nth > kk), 4) AS false_fire_on_clean FROM m GROUP BY fraction"
+_ROC = _SIG + (
+    ", g AS (SELECT unnest([0.05, 0.1, 0.2, 0.5])::DOUBLE AS fraction), train AS (SELECT * FROM sg WHERE k % 2 = 0),"
+    " src AS (SELECT fraction, sig, row_number() OVER (PARTITION BY fraction ORDER BY md5('11:source:' || fraction || ':' || task_id), task_id) AS nth FROM train, g),"
+    " pl AS (SELECT fraction, sig, row_number() OVER (PARTITION BY fraction ORDER BY md5('11:place:' || fraction || ':' || task_id), task_id) AS nth, count(*) OVER (PARTITION BY fraction) AS n FROM sg, g WHERE k % 2 = 1),"
+    " seen AS (SELECT pl.fraction, nth_k >= pl.nth AS leaked, CASE WHEN nth_k >= pl.nth THEN src.sig ELSE pl.sig END AS sig FROM (SELECT *, greatest(1, round_even(n * fraction, 0)) AS nth_k FROM pl) pl"
+    " JOIN src ON src.fraction = pl.fraction AND src.nth = (pl.nth - 1) % (SELECT count(*) FROM train) + 1),"
+    " hit AS (SELECT fraction, leaked, sig IN (SELECT sig FROM train) AS hit FROM seen),"
+    " roc AS (SELECT fraction, count(*) FILTER (WHERE leaked) AS n_leaked, count(*) FILTER (WHERE NOT leaked) AS n_clean, round(count(*) FILTER (WHERE leaked AND hit)::DOUBLE / count(*) FILTER (WHERE leaked), 4) AS fire_on_leaked,"
+    " round(count(*) FILTER (WHERE NOT leaked AND hit)::DOUBLE / count(*) FILTER (WHERE NOT leaked), 4) AS false_fire_on_clean FROM hit GROUP BY fraction) "
 )
+
+
+@query(_ROC + "SELECT * FROM roc")
 def leak_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training pairs spliced into every second pair in four shares, and what the monitor then says of each row."""
     rows = signed(spark, sf_dir)
     return contamination.leak_roc(rows.where("k % 2 = 0"), rows.where("k % 2 = 1"), "task_id")
 
 
+@query(_ROC + "SELECT min(fire_on_leaked) AS fire_on_leaked_min, max(false_fire_on_clean) AS false_fire_on_clean_max FROM roc")
+def leak_roc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.roc_summary(leak_roc(spark, sf_dir))
+
+
+def nearest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_pairs(spark, sf_dir)
+    return contamination.near_duplicate_audit(rows.where("k % 100 <> 0"), rows.where("k % 100 = 0"), "task_id", contamination.pair_payload())
+
+
+@query()
+def near_dup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every pair whose key is divisible by 100 the most similar of all other pairs."""
+    return nearest_pairs(spark, sf_dir)
+
+
+@query()
+def near_dup_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of these pairs, how many have a nearest neighbour of which similarity."""
+    return contamination.similarity_histogram(nearest_pairs(spark, sf_dir))
+
+
 @query(
     "SELECT count(*) AS n, round(avg(CASE WHEN quality = toxic THEN 1.0::DOUBLE ELSE 0 END), 4) AS agreement, round((avg(CASE WHEN quality = toxic THEN 1.0::DOUBLE ELSE 0 END) - (avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic))))"
     " / (1 - (avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)))), 4) AS kappa FROM labels"
@@ -389,3 +445,11 @@ def generated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.verify(generate(spark, n)).select("task_id", "difficulty", "drawn", "kind")
 
 
+_SHARED = " UNION ALL ".join(f"SELECT '{c}' AS column, CAST(count(*) AS BIGINT) AS shared FROM (SELECT {c} FROM both_sides GROUP BY {c} HAVING count(DISTINCT split) > 1)" for c in ("task_id", "sig", "counterparty"))
+
+
+@query(_SPLIT + _SIG.replace("WITH " + PAIRS_SQL, "", 1).rstrip() + f", both_sides AS (SELECT task_id, sig, l_cp AS counterparty, split FROM split JOIN sg USING (task_id)) {_SHARED}")
+def split_leak_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ids, signatures and counterparties stand on both sides of the split; the first two must be none."""
+    marked = order_pairs(spark, sf_dir).select("task_id", contamination.pair_signature().alias("sig"), F.col("ledger.counterparty").alias("counterparty"))
+    return split.leaks(split_rows(spark, sf_dir).join(marked, "task_id"), ["task_id", "sig", "counterparty"])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.taxonomy import MATCH, TAXONOMY, TYPES, severity_of
-from ..operators.verify import verify
+from ..operators.verify import once, verify
 from ..sources.pairs import order_pairs
 
 KINDS = (*TYPES, "MATCH")
@@ -22,12 +22,12 @@ def predicted(spark: SparkSession, sf_dir: str, factor: int = 7919) -> DataFrame
     return with_predictions(rows, factor)
 
 
-def with_predictions(rows: DataFrame, factor: int) -> DataFrame:
+def with_predictions(rows: DataFrame, factor: int | Column) -> DataFrame:
     h = F.col("k") * factor % 97
     kinds = F.array(*map(F.lit, KINDS))
     following = F.get(kinds, (F.array_position(kinds, F.col("kind")) % len(KINDS)).cast("int"))
     told = F.when(h < 5, None).when(h < 15, "ESCALATE").when(h < 25, following).otherwise(F.col("kind"))
-    rows = rows.withColumn("told", told)
+    rows = once(rows, "told", told)
     told = F.col("told")
     kind = F.when(~told.isin("MATCH", "ESCALATE"), told)
     return rows.withColumns(
@@ -90,13 +90,13 @@ def corrupt_sql(side: str) -> str:
       OR try_strptime({side}_date, '%Y-%m-%d') IS NULL OR trim({side}_ref) = '' OR trim({side}_ben) = '' OR trim({side}_cp) = '')"""
 
 
-SAME_AMOUNT_SQL = "abs(la - sa) <= 0.005 * greatest(abs(la), abs(sa))"
-FX_SQL = "(s_fx IS NOT NULL AND la <> 0 AND abs(sa - s_fx * la) <= 0.005 * greatest(abs(sa), abs(s_fx * la)))"
-DATES_SQL = """(isodow(ld) < 6 AND isodow(sd) < 6 AND ld = sd AND ld <= booked + INTERVAL 2 DAY AND sd <= booked + INTERVAL 2 DAY)"""
+SAME_AMOUNT_SQL = "abs(la - sa) * 1000 <= 5 * greatest(abs(la), abs(sa))"
+FX_SQL = "(s_fx IS NOT NULL AND la <> 0 AND abs(sa - s_fx * la::DECIMAL(18,2)) <= 0.005 * greatest(abs(sa), abs(s_fx * la::DECIMAL(18,2))))"
+DATES_SQL = """(isodow(ld) < 6 AND l_date = s_date AND ld <= booked + INTERVAL 2 DAY)"""
 
 VERIFIED_SQL = f"""{PAIRS_SQL},
 parsed AS (
-  SELECT *, try_cast(l_amount AS DECIMAL(18,2)) AS la, try_cast(s_amount AS DECIMAL(18,2)) AS sa, try_strptime(l_date, '%Y-%m-%d') AS ld,
+  SELECT *, try_cast(l_amount AS DECIMAL(30,2)) AS la, try_cast(s_amount AS DECIMAL(30,2)) AS sa, try_strptime(l_date, '%Y-%m-%d') AS ld,
     try_strptime(s_date, '%Y-%m-%d') AS sd, try_strptime(l_booked, '%Y-%m-%dT%H:%M:%SZ') AS booked FROM pairs),
 judged AS (
   SELECT *, CASE WHEN NOT there THEN 'MISSING_MESSAGE'

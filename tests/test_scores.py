@@ -78,3 +78,12 @@ def test_normal_form(spark):
     assert made[0]["n"]["severity"] == "LOW" and made[0]["n"]["confidence"] == 1.0 and made[0]["n"]["resolution"] == "flag-review"
     assert made[1]["n"] is None and made[2]["n"] is None
     assert made[3]["n"]["exception_type"] is None and made[3]["n"]["confidence"] == 0.0
+
+
+def test_a_pair_is_judged_once_whatever_reads_it(spark, sf_dir):
+    """The decision list is a great expression: a plan that repeats it at every use is slow to compile and to run."""
+    from ledgerloom.plans import reconciliation
+
+    for query in (reconciliation.confusion_matrix, reconciliation.ece_curve, reconciliation.majority_vote, reconciliation.severity_cost):
+        plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("THEN MISSING_MESSAGE") <= 2, query.__name__

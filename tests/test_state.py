@@ -38,7 +38,7 @@ def test_leak_probe_and_roc(spark):
     one = contamination.leak_probe(rows.where("id < 51"), rows.where("id >= 50")).first()
     assert one["matches"] == 1 and one["fired"]
     points = contamination.leak_roc(rows.where("id < 50"), rows.where("id >= 50"), "id").collect()
-    assert {p["fraction"]: p["n_leaked"] for p in points} == {0.05: 3, 0.1: 5, 0.2: 10, 0.5: 25}
+    assert {p["fraction"]: p["n_leaked"] for p in points} == {0.05: 2, 0.1: 5, 0.2: 10, 0.5: 25}  # 2.5 goes to the even
     assert all(p["false_fire_on_clean"] == 0.0 for p in points)
 
 
@@ -47,8 +47,53 @@ def test_near_duplicates(spark):
 
     text = " ".join(f"w{i}" for i in range(200))
     rows = spark.createDataFrame([(1, text), (2, text), (3, text.replace("w100", "x")), (4, text[::-1])], "id long, text string")
-    got = {(r["a"], r["b"]) for r in contamination.near_duplicates(rows, "id", word_shingles(F.col("text"))).collect()}
-    assert got == {(1, 3)}
+    pairs, members = contamination.near_duplicates(rows, "id", word_shingles(F.col("text")))
+    assert {(r["a"], r["b"], r["similarity"]) for r in pairs.collect()} == {(1, 3, round(191 / 201, 4))}
+    assert {r["key"]: r["class"] for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_nearest_neighbours_equal_brute_force(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+    texts += [t[:-1] + "z" for t in texts[:6]]
+    perms = contamination.universal_perms(16, 11)
+    prime = (1 << 61) - 1
+
+    def sign(t):
+        x = [int.from_bytes(hashlib.md5(s.encode()).digest()[:8], "big") for s in {t[i : i + 5] for i in range(max(1, len(t) - 4))}]
+        return [min((a * v + b) % prime for v in x) for a, b in perms]
+
+    signs = [sign(t) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: (r["nearest"], r["similarity"]) for r in contamination.near_duplicate_audit(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0"), "id", F.col("text"), perms=16).collect()}
+    for i in range(0, len(texts), 3):
+        same = {j: sum(a == b for a, b in zip(signs[i], signs[j])) for j in range(len(texts)) if j % 3}
+        best = min(same, key=lambda j: (-same[j], j))
+        assert got[i] == (best, round(same[best] / 16, 4))
+    alone = contamination.near_duplicate_audit(rows.limit(0), rows.where("id < 2"), "id", F.col("text")).collect()
+    assert [r["similarity"] for r in alone] == [0.0, 0.0]
+    bins = contamination.similarity_histogram(spark.createDataFrame([(0.05,), (0.8,), (0.8999,), (1.0,)], "similarity double")).collect()
+    assert {r["bin"]: r["n"] for r in bins} == {**dict.fromkeys(range(11), 0), 0: 1, 8: 2, 10: 1}
+
+
+def test_a_splice_takes_training_rows_again_where_they_are_few(spark):
+    rows = spark.range(100).select("id", F.sha2(F.col("id").cast("string"), 256).alias("sig"))
+    points = contamination.leak_roc(rows.where("id < 3"), rows.where("id >= 50"), "id").collect()
+    assert all(p["fire_on_leaked"] == 1.0 and p["false_fire_on_clean"] == 0.0 for p in points)
+    nothing = contamination.leak_roc(rows.limit(0), rows.where("id >= 50"), "id").collect()
+    assert all(p["fire_on_leaked"] == 0.0 for p in nothing)
+
+
+def test_signatures_keep_fields_apart(spark):
+    from ledgerloom.sources.pairs import PAIR
+    from tests.test_verify import LEDGER, STATEMENT
+
+    sides = [({**LEDGER, "ref": 'x","ledger.value_date":"y'}, STATEMENT), ({**LEDGER, "ref": "x"}, STATEMENT), (LEDGER, None), (LEDGER, dict.fromkeys(STATEMENT)), ({**LEDGER, "ccy": None}, None), ({**LEDGER, "ccy": "null"}, None)]
+    rows = spark.createDataFrame([(str(i), 1, 0.5, l, s, None) for i, (l, s) in enumerate(sides)], PAIR)
+    assert rows.select(contamination.pair_signature().alias("s")).distinct().count() == len(sides)
 
 
 def test_split_is_stable_and_guarded(spark):
@@ -62,12 +107,44 @@ def test_split_is_stable_and_guarded(spark):
         split.guarded(a, ["s"]).collect()
 
 
-def test_bootstrap_centres_on_the_metric(spark):
-    rows = spark.range(1000).select((F.col("id") % 4 != 0).cast("int").alias("ok"))
-    drawn = resample.draws(rows, ["ok"], 100)
-    assert drawn.groupBy("replicate").agg(F.sum("w").alias("n")).where("n <> 1000").isEmpty()
+def test_bootstrap_draws_all_rows_and_is_as_wide_as_the_normal(spark):
+    n = 4000
+    rows = spark.range(n).select((F.col("id") % 4 != 0).cast("int").alias("ok"))
+    drawn = resample.draws(rows, ["ok"], 2000)
+    assert drawn.groupBy("replicate").agg(F.sum("w").alias("n")).where(f"n <> {n}").isEmpty()
     r = resample.interval(drawn.groupBy("replicate").agg((F.sum(F.col("ok") * F.col("w")) / F.sum("w")).alias("value"))).first()
-    assert r["low"] < 0.75 < r["high"] and abs(r["mean"] - 0.75) < 0.01
+    half = 1.96 * (0.75 * 0.25 / n) ** 0.5
+    assert abs(r["mean"] - 0.75) < 0.002 and abs((r["high"] - r["low"]) / 2 / half - 1) < 0.1
+    again = resample.draws(rows.repartition(7), ["ok"], 2000)
+    assert drawn.exceptAll(again).isEmpty()
+    assert resample.draws(rows.limit(0), ["ok"], 10).count() == 0
+
+
+def test_intervals_by_nearest_rank_and_signs(spark):
+    values = spark.createDataFrame([("m", float(i), 0.0) for i in range(1000)], "g string, a double, b double")
+    r = resample.interval(values.select("g", F.col("a").alias("value")), by=("g",)).first()
+    assert (r["low"], r["high"]) == (25.0, 974.0)
+    padded = resample.interval(values.where("a < 500").select(F.col("a").alias("value")), replicates=1000).first()
+    assert (padded["low"], padded["high"], padded["replicates"]) == (0.0, 474.0, 1000)
+    p = resample.paired(spark.createDataFrame([(1.0, 0.0)] * 95 + [(0.0, 0.0)] * 5, "a double, b double")).first()
+    assert p["p_value"] == 0.1
+    study = resample.study(spark.createDataFrame([("a", "DUPLICATE", 0.2, 1, 1), ("a", "MATCH", 0.0, 0, 1), ("a", "AMOUNT_MISMATCH", 1.0, 0, 0)] * 20, "run string, kind string, weight double, caught int, right int"), 200)
+    got = {(r["metric"], r["part"]): r for r in study.collect()}
+    assert got["accuracy", "all"]["point"] == 0.6667 and got["weighted_recall", "all"]["point"] == 0.1667 and got["type_recall", "DUPLICATE"]["low"] == 1.0
+    assert got["accuracy", "all"]["low"] < 0.6667 < got["accuracy", "all"]["high"]
+
+
+def test_ranks_need_no_sort_of_a_group(spark):
+    from ledgerloom.operators.ranks import ranked
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"))
+    got = ranked(rows, ["g"], F.md5(F.col("id").cast("string")), "id")
+    want: dict = {}
+    import hashlib
+
+    for r in sorted(rows.collect(), key=lambda r: hashlib.md5(str(r["id"]).encode()).hexdigest()):
+        want.setdefault(r["g"], []).append(r["id"])
+    assert {(r["g"], r["_rank"], r["_n"]): r["id"] for r in got.collect()} == {(g, i + 1, len(ids)): x for g, ids in want.items() for i, x in enumerate(ids)}
 
 
 def test_stream_equals_table(spark, sf_dir, tmp_path):

@@ -35,7 +35,22 @@ CASES = [
     ("three decimals", {}, {"amount": "1250.000"}, "FIELD_CORRUPTION"),
     ("bad currency", {}, {"ccy": "EURO"}, "FIELD_CORRUPTION"),
     ("bad date", {}, {"value_date": "2026/08/07"}, "FIELD_CORRUPTION"),
-    ("short date", {}, {"value_date": "2026-8-7"}, "MATCH"),
+    ("short date", {}, {"value_date": "2026-8-7"}, "VALUE_DATE_MISMATCH"),
+    ("short date on both sides", {"value_date": "2026-8-7"}, {"value_date": "2026-8-7"}, "MATCH"),
+    ("exponent", {"amount": "100.00"}, {"amount": "1E2"}, "MATCH"),
+    ("exponent with too many digits", {}, {"amount": "1.25E-1"}, "FIELD_CORRUPTION"),
+    ("grouped digits", {}, {"amount": "1_250.00"}, "MATCH"),
+    ("seventeen digits", {"amount": "10000000000000000.00"}, {"amount": "90000000000000000.00"}, "AMOUNT_MISMATCH"),
+    ("seventeen equal digits", {"amount": "10000000000000000.00"}, {"amount": "10000000000000000.00"}, "MATCH"),
+    ("beyond decimals, equal", {"amount": "1E40"}, {"amount": "1E40"}, "MATCH"),
+    ("beyond decimals, unlike", {"amount": "1E40"}, {"amount": "2E40"}, "AMOUNT_MISMATCH"),
+    ("not a number", {}, {"amount": "NaN"}, "FIELD_CORRUPTION"),
+    ("great rate holds", {"amount": "100.00"}, {"ccy": "JPY", "amount": "1000000000.00", "fx_rate": 1e7}, "MATCH"),
+    ("great rate fails", {"amount": "100.00"}, {"ccy": "JPY", "amount": "1100000000.00", "fx_rate": 1e7}, "FX_CONVERSION_ERROR"),
+    ("rate of seven decimals", {"amount": "1000000.00"}, {"ccy": "EUR", "amount": "1.00", "fx_rate": 0.0000010}, "MATCH"),
+    ("rate of seven decimals fails", {"amount": "1000000.00"}, {"ccy": "EUR", "amount": "1.00", "fx_rate": 0.0000014}, "FX_CONVERSION_ERROR"),
+    ("tiny rate", {"amount": "100.00"}, {"ccy": "EUR", "amount": "0.00", "fx_rate": 1e-10}, "FX_CONVERSION_ERROR"),
+    ("tab at the edge of a name", {}, {"beneficiary": "\tAcme Corporation "}, "MATCH"),
     ("blank name", {}, {"beneficiary": "   "}, "FIELD_CORRUPTION"),
     ("tab in name", {}, {"beneficiary": "Acme\tCorporation"}, "FIELD_CORRUPTION"),
     ("null amount", {}, {"amount": None}, "FIELD_CORRUPTION"),
