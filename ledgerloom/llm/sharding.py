@@ -8,8 +8,10 @@ differ by one row at most; a larger slack moves fewer keys when shards are added
 The ring is walked on counts (one number for each of shards x vnodes arcs), never on rows: Spark
 counts the keys of each arc, the bounded table of counts decides which ranks of an arc go where, and
 a broadcast join of that plan, whose size depends on shards and vnodes only, gives each row its shard
-and slot.  Equal rows are folded to one row with a count before the shuffle, so a key that holds a
-third of all rows is a single row when ranks are dealt.
+and slot.  Equal rows are folded to one row with a count before the shuffle and stay a range of ranks
+until they are written out, in runs of bounded length.  Ranks in an arc come from windows over parts of
+it that hold about ``ARC_ROWS`` rows, so neither a crowded arc nor a key that holds a third of all rows
+is sorted in one task.
 
 Nulls: a null key is a key like any other; a null text has size ``overhead`` and the checksum of the
 empty text.  Repeated rows each get a slot of their own.  An empty table gives an empty result.
@@ -22,9 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .columns import inline_table, rank_in
+from .columns import inline_table, rank_in, repeated
 from .scratch import stage
 
+#: Folded rows of an arc in one window.
+ARC_ROWS = 100_000
+
 
 def _ring(df: DataFrame, shards: int, vnodes: int) -> tuple[list[int], list[int]]:
     """Places in ascending order and the shard of each."""
@@ -86,23 +91,25 @@ def assign_shards(
         .withColumn("arc", rank_in(places, F.col("at")) % len(places))
     )
     folded = stage(folded, "shard-keys").df
-    by_arc = {r["arc"]: r["n"] for r in folded.groupBy("arc").agg(F.sum("copies").alias("n")).collect()}
+    arcs = folded.groupBy("arc").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("folded"), F.max("copies").alias("longest")).collect()
+    by_arc = {r["arc"]: r["n"] for r in arcs}
     counts = [by_arc.get(a, 0) for a in range(len(places))]
     total = sum(counts)
     bounds = [int(total * (1 + slack)) // shards + (s < int(total * (1 + slack)) % shards) for s in range(shards)]
     plan = inline_table(
         spark, deal(counts, owner, bounds), "arc int, low bigint, high bigint, shard int, base bigint"
     )
-    before = F.sum("copies").over(W.partitionBy("arc").orderBy("at", "key", "size", "crc").rowsBetween(W.unboundedPreceding, -1))
-    ranked = folded.withColumn("first", F.coalesce(before, F.lit(0).cast("long"))).withColumn(
-        "rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1))
-    )
+    parts = inline_table(spark, [{"a": r["arc"], "parts": -(-r["folded"] // ARC_ROWS)} for r in arcs], "a int, parts bigint")
+    row = ["key", "size", "crc"]
+    dealt = folded.join(F.broadcast(parts), F.col("arc") == F.col("a")).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), *row), F.col("parts")))
+    held = dealt.groupBy("arc", "part").agg(F.sum("copies").alias("held"))
+    earlier = F.sum("held").over(W.partitionBy("arc").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = held.select("arc", "part", F.coalesce(earlier, F.lit(0).cast("long")).alias("start"))
+    before = F.sum("copies").over(W.partitionBy("arc", "part").orderBy("at", *row).rowsBetween(W.unboundedPreceding, -1))
+    ranked = dealt.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).join(starts, ["arc", "part"]).withColumn("first", F.col("start") + F.col("before"))
     rows, plan = ranked.alias("r"), F.broadcast(plan).alias("p")
-    held = (F.col("r.arc") == F.col("p.arc")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    return rows.join(plan, held).select(
-        F.col("key").alias(key),
-        "size",
-        F.col("crc").alias("text_crc32"),
-        "shard",
-        (F.col("base") + F.col("rank") - F.col("low")).alias("slot"),
-    )
+    overlap = (F.col("r.arc") == F.col("p.arc")) & (F.col("first") < F.col("high")) & (F.col("first") + F.col("copies") > F.col("low"))
+    begin, end = F.greatest("first", "low"), F.least(F.col("first") + F.col("copies"), F.col("high"))
+    ranges = rows.join(plan, overlap).select(*row, "shard", (F.col("base") + begin - F.col("low")).alias("begin"), (end - begin).alias("n"))
+    longest = max((r["longest"] for r in arcs), default=0)
+    return repeated(ranges, "slot", F.col("begin"), F.col("n"), longest).select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
