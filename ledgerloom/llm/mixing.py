@@ -12,10 +12,13 @@ the landing is short.
 
 Sizes are word counts of whole texts.  All sums over a source are partial before they are shuffled,
 and a source of any size is dealt into blocks by the hash of its documents, so a hot source is only
-more blocks.  Draws are seeded from source, level and block: reruns agree.
+more blocks.  Rows equal in key, source and size are folded to one unit: m of them are taken
+floor(m * r) times in all, and the unit flies with the fraction left, so a row that is repeated a billion
+times is one coordinate.  Draws are seeded from source, level and block: reruns agree.  The targets
+are found from one row a source, sorted in one task.
 
 Nulls: a null text has size 0; null sources are one source of their own, the last.  Repeated rows
-count once each.  An empty table gives an empty result.  Where all sizes are 0 nothing is taken.
+count once each and are taken equally often, or once more.  An empty table gives an empty result.  Where all sizes are 0 nothing is taken.
 Columns other than key, text and source are not read.
 """
 
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .columns import WORD
+from .columns import WORD, repeated
 from .scratch import stage
 
 #: Documents in one flight.
@@ -97,14 +100,14 @@ def _flight(level: int):
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, documents, source_size and target of each source.
+    """source, documents (distinct ones), source_size and target of each source, from sizes(source, size, rows).
 
     Sources in code-point order, null last, weigh 1, 2, 3, 1, 2, 3, ...; targets share all words by
     weight but stop at 3 times the source's words, what is over being shared again.  That is the level
     v with sum(min(3 * size, v * weight)) = all words, found by sorting sources by 3 * size / weight.
     """
     one = W.partitionBy(F.lit(0))
-    by = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("source_size"))
+    by = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     by = by.withColumn("nth", F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())))
     by = by.withColumn("weight", ((F.col("nth") - 1) % 3 + 1).cast("double")).withColumn("cap", 3.0 * F.col("source_size"))
     order = one.orderBy(F.col("cap") / F.col("weight"), "nth")
@@ -118,27 +121,26 @@ def targets(sizes: DataFrame) -> DataFrame:
     return by.select("source", "documents", "source_size", F.least("cap", F.col("share") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """key, source, size, source_size, target and copies of each row; size * copies words of it are taken."""
+def mix_folded(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """key, source, size, source_size, target, rows and copies: how often the rows that share key, source and size are taken in all."""
     kind = docs.schema[key].dataType.simpleString()
-    sized = stage(
-        docs.select(
-            F.col(key).alias("key"),
-            F.col(source).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ),
-        "mix-sizes",
-    ).df
-    goals = stage(targets(sized), "mix-targets").df
+    sized = docs.select(
+        F.col(key).alias("key"),
+        F.col(source).cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    )
+    folded = stage(sized.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "mix-sizes").df
+    goals = stage(targets(folded), "mix-targets").df
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goals = goals.withColumn("ratio", F.when(F.abs(ratio - F.round(ratio)) < NEAR, F.round(ratio)).otherwise(ratio))
-    goals = goals.withColumn("whole", F.floor("ratio").cast("int")).withColumn("p", F.col("ratio") - F.col("whole"))
-    units = sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select(
-        "key", "d.source", "size", "source_size", "target", "whole", "p", F.xxhash64("key", "size").alias("row"),
-        F.ceil(F.col("documents") / BLOCK_ROWS).cast("int").alias("blocks"),
-    )
-    schema = f"key {kind}, source string, size bigint, source_size bigint, target double, whole int, p double, row bigint, blocks int, block int"
-    done = units.where("p = 0 OR size = 0").select("key", "source", "size", "source_size", "target", "whole", F.lit(0.0).alias("p"))
+    due = F.col("rows") * F.col("ratio")
+    units = folded.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select(
+        "key", "d.source", "size", "source_size", "target", "rows", F.floor(due + NEAR).cast("long").alias("whole"), due.alias("due"),
+        F.xxhash64("key", "size").alias("row"), F.ceil(F.col("documents") / BLOCK_ROWS).cast("int").alias("blocks"),
+    )
+    units = units.withColumn("p", F.greatest(F.lit(0.0), F.col("due") - F.col("whole"))).drop("due")
+    schema = f"key {kind}, source string, size bigint, source_size bigint, target double, rows bigint, whole bigint, row bigint, blocks int, p double, block int"
+    done = units.where("p = 0 OR size = 0").select("key", "source", "size", "source_size", "target", "rows", "whole", F.lit(0.0).alias("p"))
     units = units.where("p > 0 AND size > 0")
     columns, level = done.columns, 0
     while True:
@@ -151,7 +153,23 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             break
         n = left.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
         units = left.drop("block", "blocks").alias("u").join(n.alias("n"), F.col("u.source").eqNullSafe(F.col("n.source"))).select("u.*", "blocks")
+        units = units.select(*[c for c in schema_columns(schema) if c != "block"])
         level += 1
     return done.select(
-        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies")
+        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "rows", (F.col("whole") + F.col("p").cast("long")).alias("copies")
     )
+
+
+def schema_columns(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """key, source, size, source_size, target and copies of each row; size * copies words of it are taken."""
+    folded = mix_folded(docs, key, text, source).withColumnRenamed(key, "__key").withColumnRenamed(source, "__source")
+    folded = stage(folded, "mix-copies").df
+    each, over = F.floor(F.col("copies") / F.col("rows")), F.col("copies") % F.col("rows")
+    runs = F.inline(F.array(F.struct(over.alias("n"), (each + 1).alias("taken")), F.struct((F.col("rows") - over).alias("n"), each.alias("taken"))))
+    longest = folded.agg(F.max("rows")).first()[0] or 0
+    rows = repeated(folded.select("__key", "__source", "size", "source_size", "target", runs), "nth", F.lit(1).cast("long"), F.col("n").cast("long"), longest)
+    return rows.select(F.col("__key").alias(key), F.col("__source").alias(source), "size", "source_size", "target", F.col("taken").cast("int").alias("copies"))
