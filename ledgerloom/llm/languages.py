@@ -6,20 +6,25 @@
 * Declared language (a table's own column, or a page's html lang attribute) and address suffix: how
   often each value goes with each language, from all rows, smoothed.
 * Host: the languages of its rows, smoothed towards those of its domain, these towards those of all
-  rows; a row's own part is left out of its prior.
+  rows; a row's own part is left out of its prior.  A name without a dot has no domain.
 
-The trigram models are fitted on at most ``train_rows`` rows of each declared language, those with
-the least hash of their key; they are tables of fixed size and are broadcast.  Everything else is
-counted over all rows by grouped aggregation and joined back on its key, so a host of any size is
-pre-aggregated and its rows are only a skewed join's side.  Texts are read once for the models and
-once for the scores, whole; scores, not texts, are shuffled.
+The ``most`` languages that most rows declare have a model each; all others share one model of what
+they have in common against these, and a row that it wins is named by its own declared language, or
+"mis" where it declares none of them.  So tables have a fixed size however many tags there are, and no
+row goes because its language is rare.
+
+The trigram models are fitted on a sample of about ``train_rows`` rows of each declared language (and
+of the shared one), by a hash of their key; they are tables of fixed size and are broadcast.  Everything
+else is counted over all rows by grouped aggregation and joined back on its key, so a host of any size is
+pre-aggregated and its rows are only a skewed join's side; rows without a host are dealt out.  Texts are
+read once for the models and once for the scores, whole; scores, not texts, are shuffled.
 
 A row is accepted if its best language is not "und" and has at least ``least`` of the posterior.
 
-Nulls: a null text is an empty one, which has no text evidence and is not accepted; null declared
-language, suffix or host is no evidence of that kind.  Repeated rows are scored alike.  Where no row
-declares a language, no language is known and nothing is accepted.  An empty table gives an empty
-result.  Columns other than those named are not read.
+Nulls: a null text is an empty one, which has no text evidence, counts for no language and is not
+accepted; null declared language, suffix or host is no evidence of that kind.  Repeated rows are scored
+alike.  Where no row declares a language, no language is known and nothing is accepted.  An empty table
+gives an empty result.  Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +40,9 @@ from .bytestext import LOWER, as_bytes, slices
 from .scratch import stage
 
 GRAMS = 1 << 15
-UNKNOWN = "und"
-#: Most languages that are modelled, by rows that declare them.
+#: No language; one of the languages that share a model, where the row does not say which.
+UNKNOWN, RARE = "und", "mis"
+#: Languages with a model of their own, by rows that declare them.
 LANGUAGES = 64
 
 
@@ -55,7 +61,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(languages: list[str]):
-    """Trigram counts of each language in a task's rows, as one row a language."""
+    """Trigram counts of each language in a task's rows; what is not listed counts for the last."""
     at = {name: i for i, name in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +69,7 @@ def _counts(languages: list[str]):
         for batch in batches:
             for part in slices(batch):
                 gram, row = grams(part.column(1))
-                which = np.array([at[x] for x in part.column(0).to_pylist()], np.int64)
+                which = np.array([at.get(x, len(at) - 1) for x in part.column(0).to_pylist()], np.int64)
                 total += np.bincount(which[row] * GRAMS + gram, minlength=total.size).reshape(total.shape)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen // GRAMS), pa.array(seen % GRAMS), pa.array(total.ravel()[seen])], ["language", "gram", "n"])
@@ -71,14 +77,20 @@ def _counts(languages: list[str]):
     return run
 
 
-def fit(rows: DataFrame, train_rows: int) -> tuple[list[str], np.ndarray]:
-    """Languages and log P(trigram | language), the last row being uniform for no language."""
-    known = rows.where("declared IS NOT NULL").groupBy("declared").count().orderBy(F.col("count").desc(), "declared").limit(LANGUAGES)
-    languages = sorted(r["declared"] for r in known.collect())
+def fit(rows: DataFrame, train_rows: int, most: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """Languages and log P(trigram | language): those of their own, RARE if there are more, and UNKNOWN, which is uniform."""
+    known = rows.where("declared IS NOT NULL").groupBy("declared").count()
+    known = stage(known, "language-tags").df
+    top = known.orderBy(F.col("count").desc(), "declared").limit(most).collect()
+    languages = sorted(r["declared"] for r in top)
     if not languages:
         return [UNKNOWN], np.full((1, GRAMS), -np.log(GRAMS))
-    share = rows.where(F.col("declared").isin(languages)).groupBy("declared").count().select("declared", F.least(F.lit(1.0), 2.0 * train_rows / F.col("count")).alias("share"))
-    part = rows.join(F.broadcast(share), "declared").where(F.pmod(F.xxhash64(F.lit("fit"), "key"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    rest = (known.agg(F.sum("count")).first()[0] or 0) - sum(r["count"] for r in top)
+    sizes = {r["declared"]: r["count"] for r in top}
+    if rest:
+        languages.append(RARE)
+    share = F.coalesce(F.get(F.lit([min(1.0, train_rows / sizes[x]) for x in languages if x in sizes]), F.array_position(F.lit([x for x in languages if x in sizes]), F.col("declared")).cast("int") - 1), F.lit(min(1.0, train_rows / max(rest, 1))))
+    part = rows.where("declared IS NOT NULL").where(F.pmod(F.xxhash64(F.lit("fit"), "key"), F.lit(1 << 20)) < share * (1 << 20))
     found = part.select("declared", "text").mapInArrow(_counts(languages), "language long, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((len(languages), GRAMS))
     total[found["language"].to_numpy(), found["gram"].to_numpy()] = found["n"].to_numpy()
@@ -117,7 +129,7 @@ def _added(a: Column, b: Column) -> Column:
 
 
 def identify(
-    docs: DataFrame, key: str, text: str, declared: str | None = None, host: str | None = None, train_rows: int = 2000, weight: int = 200, prior: float = 5.0, least: float = 0.5
+    docs: DataFrame, key: str, text: str, declared: str | None = None, host: str | None = None, train_rows: int = 4000, weight: int = 200, prior: float = 5.0, least: float = 0.5, most: int = LANGUAGES
 ) -> DataFrame:
     """The key, language, confidence, accepted and text_language of each row.
 
@@ -130,18 +142,26 @@ def identify(
         F.col(text).alias("text"), F.col(key).alias("key"), (F.lower(F.col(declared)) if declared else none).alias("declared"), F.nullif(name, F.lit("")).alias("host")
     )
     rows = rows.withColumn("declared", F.nullif(F.regexp_extract("declared", r"^\s*([a-z]+)", 1), F.lit("")))
-    languages, log = fit(rows, train_rows)
+    languages, log = fit(rows, train_rows, most)
     held = docs.sparkSession.sparkContext.broadcast(log.astype(np.float32))
     columns = ["key", "declared", "host"]
     scored = rows.mapInArrow(_text_scores(held, weight, columns), f"key {kind}, declared string, host string, n_grams bigint, scores array<double>")
     dotted = F.contains(F.col("host"), F.lit("."))
-    scored = scored.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.when(dotted, F.substring_index("host", ".", -1)))
-    scored = stage(scored.withColumn("best", _argmax(F.col("scores"))), "language-scores").df
+    scored = scored.withColumn("domain", F.when(dotted, F.substring_index("host", ".", -2))).withColumn("suffix", F.when(dotted, F.substring_index("host", ".", -1)))
+    best = F.when(F.col("n_grams") > 0, _argmax(F.col("scores")))
+    return fuse(stage(scored.withColumn("best", best), "language-scores").df, languages, prior, least).withColumnRenamed("key", key)
+
+
+def fuse(scored: DataFrame, languages: list[str], prior: float = 5.0, least: float = 0.5) -> DataFrame:
+    """The decision from scored(key, declared, host, domain, suffix, n_grams, scores, best): text scores and all other evidence.
+
+    ``scores`` are log-likelihoods by position in languages; best is the position of the greatest, null without trigrams.
+    """
     m = len(languages)
-    one_hot = lambda c: F.array(*[(c == i).cast("double") for i in range(m)])
+    one_hot = F.array(*[F.coalesce((F.col("best") == i).cast("double"), F.lit(0.0)) for i in range(m)])
 
     def counted(by: list[str]) -> DataFrame:
-        sums = [F.sum((F.col("best") == i).cast("double")).alias(f"_{i}") for i in range(m)]
+        sums = [F.coalesce(F.sum((F.col("best") == i).cast("double")), F.lit(0.0)).alias(f"_{i}") for i in range(m)]
         return scored.groupBy(*by).agg(*sums).select(*by, F.array(*[f"_{i}" for i in range(m)]).alias("c"))
 
     total = scored.agg(*[F.sum((F.col("best") == i).cast("double")).alias(f"_{i}") for i in range(m)]).first()
@@ -149,19 +169,26 @@ def identify(
     whole = sum(overall)
     base = F.lit([(x + 1) / (whole + m) for x in overall])
     sum_of = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    zero = F.array_repeat(F.lit(0.0), F.lit(m))
 
     def evidence(column: str) -> DataFrame:
         """log P(value | language) for each value of a column, over all rows."""
         n = counted([column]).where(f"{column} IS NOT NULL")
-        return n.select(column, F.zip_with("c", F.lit(overall), lambda c, t: F.log((c + 0.5) / (t + 0.5 * (m + 1)))).alias(f"{column}_log"))
+        return n.select(F.col(column).alias(f"of_{column}"), F.zip_with("c", F.lit(overall), lambda c, t: F.log((c + 0.5) / (t + 0.5 * (m + 1)))).alias(f"{column}_log"))
 
-    domains = counted(["domain"]).where("domain IS NOT NULL").select("domain", F.col("c").alias("domain_c"))
-    hosts = counted(["host", "domain"]).where("host IS NOT NULL").drop("domain").withColumnRenamed("c", "host_c")
-    joined = scored.join(hosts, "host", "left").join(domains, "domain", "left").join(evidence("declared"), "declared", "left").join(evidence("suffix"), "suffix", "left")
-    zero = F.array_repeat(F.lit(0.0), F.lit(m))
+    def beside(rows: DataFrame, told: DataFrame, column: str) -> DataFrame:
+        """rows with what is told of a column's values; rows without a value are dealt out, as they meet nothing."""
+        dealt = F.coalesce(F.col(column), F.concat(F.lit("\0"), F.pmod(F.hash("key", "scores"), F.lit(4096)).cast("string")))
+        return rows.join(told, dealt == F.col(f"of_{column}"), "left")
+
+    domains = counted(["domain"]).where("domain IS NOT NULL").select(F.col("domain").alias("of_domain"), F.col("c").alias("domain_c"))
+    hosts = counted(["host"]).where("host IS NOT NULL").select(F.col("host").alias("of_host"), F.col("c").alias("host_c"))
+    joined = scored
+    for told, column in ((hosts, "host"), (domains, "domain"), (evidence("declared"), "declared"), (evidence("suffix"), "suffix")):
+        joined = beside(joined, told, column)
 
     def others(c: str) -> Column:
-        return F.when(F.col(c).isNull(), zero).otherwise(F.zip_with(c, one_hot(F.col("best")), lambda x, own: F.greatest(x - own, F.lit(0.0))))
+        return F.when(F.col(c).isNull(), zero).otherwise(F.zip_with(c, one_hot, lambda x, own: F.greatest(x - own, F.lit(0.0))))
 
     def smoothed(c: str, towards: Column) -> Column:
         return F.zip_with(F.col(c), towards, lambda x, p: x + prior * p)
@@ -171,14 +198,16 @@ def identify(
     joined = joined.withColumn("hp", smoothed("hc", F.col("dp"))).withColumn("hp", F.transform("hp", lambda x: x / (sum_of(F.col("hc")) + prior)))
     fused = _added(F.transform("hp", lambda p: F.log(F.greatest(p, F.lit(1e-9)))), F.col("scores"))
     fused = _added(_added(fused, F.coalesce("declared_log", zero)), F.coalesce("suffix_log", zero))
-    joined = joined.select("key", "n_grams", "best", fused.alias("fused")).withColumn("posterior", _posterior(F.col("fused")))
+    joined = joined.select("key", "declared", "n_grams", "best", fused.alias("fused")).withColumn("posterior", _posterior(F.col("fused")))
     names = F.lit(languages)
-    top = _argmax(F.col("posterior"))
+    rare = F.when(~F.col("declared").isin(languages), F.col("declared"))
+    named = lambda at: F.when(F.get(names, at) == RARE, F.coalesce(rare, F.lit(RARE))).otherwise(F.get(names, at))
     out = joined.select(
-        F.col("key").alias(key), F.get(names, top).alias("language"), F.array_max("posterior").alias("confidence"), "n_grams", F.get(names, F.col("best")).alias("text_language")
-    )
+        "key", named(_argmax(F.col("posterior"))).alias("language"), F.array_max("posterior").alias("confidence"), "n_grams",
+        F.coalesce(named(F.col("best")), F.lit(UNKNOWN)).alias("text_language"),
+    )
     ok = (F.col("language") != UNKNOWN) & (F.col("confidence") >= least) & (F.col("n_grams") > 0)
-    return out.withColumn("accepted", ok).select(key, "language", "confidence", "accepted", "text_language")
+    return out.withColumn("accepted", ok).select("key", "language", "confidence", "accepted", "text_language")
 
 
 def page_rows(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
