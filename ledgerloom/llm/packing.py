@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from .columns import inline_table
 from .scratch import stage
 
-#: Pieces of one length in one window.
-BUCKET_ROWS = 2_000
+#: Pieces of one length in one window, and most windows in all: beyond so many, windows grow.
+BUCKET_ROWS, BUCKETS = 250, 4_000_000
 #: Distinct words, and parts of words, whose ids a Python worker keeps.
-WORDS_KEPT, PARTS_KEPT = 200_000, 1_000_000
+WORDS_KEPT, PARTS_KEPT = 50_000, 100_000
 
 #: Fixed: how the vocabulary's pre-tokenizer cuts a lower-cased word, for printable ASCII and Latin-1 letters.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -81,7 +81,7 @@ class _Ids(dict):
         return found
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _ids(vocabulary: str) -> _Ids:
     """One table a Python worker, kept from task to task."""
     return _Ids(vocabulary)
@@ -247,9 +247,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     plan = inline_table(
         spark, _intervals(plan_patterns(histogram, capacity)), "at bigint, low bigint, high bigint, base bigint, offset bigint"
     )
-    spread = inline_table(
-        spark, [{"at": n, "buckets": -(-c // BUCKET_ROWS)} for n, c in histogram.items()], "at bigint, buckets bigint"
-    )
+    each = max(BUCKET_ROWS, sum(histogram.values()) // BUCKETS)
+    spread = inline_table(spark, [{"at": n, "buckets": -(-c // each)} for n, c in histogram.items()], "at bigint, buckets bigint")
     row = ["key", "piece", "ids_crc32"]
     dealt = (
         pieces.join(F.broadcast(spread), F.col("length") == F.col("at"))
