@@ -6,9 +6,10 @@ that size is owned by its least-hashed k-mer (a minimizer): equal strings have e
 same place in them.  A maximal run of strings with one owner is a piece of at most 2 * size - k bytes.
 
 1. Equal texts are folded to one text with its least id; texts are dealt to buckets of about
-   ``BUCKET`` bytes, compressed, and kept on the executors' disks for three passes.
+   ``BUCKET`` bytes and written, compressed, as a table that is read three more times without being moved.
 2. Five bytes of each owner's hash go to the task of its hash group, which tells the buckets which
-   owners occur in more than one text.  (Unequal owners that look alike cost later work only.)
+   owners occur in more than one text, and which of them in more than ``HOT`` buckets.  (Unequal owners
+   that look alike cost later work only.)
 3. For these, hashes of owner and piece and the least id meet.  Where all pieces of an owner are
    equal, the least id settles all their strings.
 4. Where they differ, the distinct pieces themselves meet: a collection of short strings, whose
@@ -16,8 +17,11 @@ same place in them.  A maximal run of strings with one owner is a piece of at mo
    (``collection_bwt``); runs of common prefixes of ``size`` give the least id of each string.
 5. Buckets mark the settled and the resolved strings and cut them out.
 
-A hot passage, owner or text is one entry for each bucket, however many documents hold it; groups of
-owners and buckets are sized by the corpus, so a task's work stays the same when the corpus grows.
+A hot text or owner is one entry for each bucket, however many documents hold it.  Around the edges of a
+hot passage each holder adds pieces of its own to the same owners; there, in more than ``HOT`` buckets,
+every string of 50 bytes is an owner by itself, so that no task and no collection holds all pieces of one
+owner.  Groups of owners and buckets are sized by the corpus, so a task's work stays the same when the
+corpus grows.  Long texts are searched in stretches of ``STRETCH`` bytes that overlap by a string.
 
 Nulls: a null text is empty; a null id counts as larger than all.  Texts under ``size`` bytes keep all
 bytes.  Rows that share an id do not cut each other, unless their texts start in a smaller id too;
@@ -27,29 +31,42 @@ repeated rows have equal results.  An empty table gives an empty result.  Other
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytestext import SLICE, mixed, powers, prefix_sums, span_hashes
 from .collection_bwt import least_owner
-from .scratch import stage
+from .scratch import stage, stage_by
 
 #: Bytes of text in a bucket; owners' hashes in a group; pieces in a collection.
 BUCKET, GROUP, COLLECTION = 4 << 20, 1 << 20, 4096
+#: Buckets beyond which an owner is hot; bytes of a long text that are searched at once; most parts of the table of texts.
+HOT, STRETCH, PARTS = 256, 1 << 20, 50_000
 SIZE, K = 50, 24
 _LAST_ID = (1 << 63) - 1
 _MIXED = -1  # in place of the least id: the owner's pieces differ
 
 
-def owners(body: np.ndarray, offsets: np.ndarray, size: int = SIZE, k: int = K) -> tuple[np.ndarray, ...]:
-    """Of each run of strings with one owner: its hash, text, first and last start, piece's hash, and place in the piece."""
+def owners(body: np.ndarray, offsets: np.ndarray, hot: Callable | None = None, stretch: int = STRETCH) -> tuple[np.ndarray, ...]:
+    """Of each run of strings with one owner: its hash, text, first and last start, piece's hash, and place in the piece.
+
+    hot(hashes) says which owners are hot; each of their strings is a run and an owner of its own.
+    """
+    found = []
+    for begin in range(0, max(1, len(body) - SIZE + 1), stretch):
+        end = min(len(body), begin + stretch + SIZE - 1)
+        h, row, first, last, piece, inner = _owners(body[begin:end], np.clip(offsets, begin, end) - begin, hot)
+        found.append((h, row, first + begin, last + begin, piece, inner))
+    return found[0] if len(found) == 1 else tuple(map(np.concatenate, zip(*found)))
+
+
+def _owners(body: np.ndarray, offsets: np.ndarray, hot: Callable | None, size: int = SIZE, k: int = K) -> tuple[np.ndarray, ...]:
     n = len(body)
     if n < size:
         empty = np.empty(0, np.int64)
@@ -71,16 +88,24 @@ def owners(body: np.ndarray, offsets: np.ndarray, size: int = SIZE, k: int = K)
     last = np.append(first[1:], len(least)) - 1
     held = whole[first]
     first, last = first[held], last[held]
-    return mixed(plain[place[first]]), row[first].astype(np.int64), first, last, span_hashes(sums, first, last + size), place[first] - first
-
-
+    h = mixed(plain[place[first]])
+    single = np.flatnonzero(hot(h)) if hot else np.empty(0, np.int64)
+    if len(single):
+        many = (last - first + 1)[single]
+        starts = np.repeat(first[single] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        rest = np.delete(np.arange(len(h)), single)
+        own = mixed(span_hashes(sums, starts, starts + size) ^ _SINGLE)
+        h, first, last = np.concatenate([h[rest], own]), np.concatenate([first[rest], starts]), np.concatenate([last[rest], starts])
+    return h, row[first].astype(np.int64), first, last, span_hashes(sums, first, last + size), place[first] - first
+
+
+#: Keeps the hash of a string that is its own owner apart from those of owners.
+_SINGLE = np.uint64(0x5851F42D4C957F2D)
 #: The low bits of an order value are a place, the high ones a k-mer's hash: equal hashes go to the left.
 _PLACE = np.uint64((1 << 26) - 1)
 
 
 def _placed(hashes: np.ndarray) -> np.ndarray:
-    if len(hashes) > int(_PLACE):
-        raise ValueError("a text of more than 64 MB must be cut before passages are sought")
     return (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
 
 
@@ -122,12 +147,16 @@ class _Bucket:
     def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First text, bytes and offsets of each slice."""
         unzip, first, held, size = zstandard.ZstdDecompressor().decompress, 0, [], 0
+        whole = lambda: (first, np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)]))
         for i, blob in enumerate(self.blobs):
-            held.append(unzip(blob))
-            size += len(held[-1])
-            if size >= SLICE or i + 1 == len(self.blobs):
-                yield first, np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)])
-                first, held, size = i + 1, [], 0
+            text = unzip(blob)
+            if held and size + len(text) > SLICE:  # a long text stands alone, so that its stretches are the same in every pass
+                yield whole()
+                first, held, size = i, [], 0
+            held.append(text)
+            size += len(text)
+        if held:
+            yield whole()
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,25 +205,43 @@ def _suspects(groups: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of a group: which of each bucket's owners occur in more than one text."""
-    marks = [_from_five(x.as_py()) for x in table["marks"]]
-    value, place = np.concatenate(marks), np.repeat(np.arange(len(marks)), [len(m) for m in marks])
-    order = np.argsort(value, kind="stable")
-    plain = value[order] >> np.uint64(1)
-    begins = np.flatnonzero(np.append(True, plain[1:] != plain[:-1]))
-    sizes = np.diff(np.append(begins, len(plain)))
-    several = np.maximum.reduceat(value[order] & np.uint64(1), begins) > 0
-    kept = np.repeat((sizes > 1) | several, sizes)
-    at, plain = place[order][kept], plain[kept]
-    by = np.argsort(at, kind="stable")
-    edges = np.searchsorted(at[by], np.arange(len(marks) + 1))
-    rows = [
-        {"bucket": b, "g": table["g"][0].as_py(), "marks": _five(plain[by[edges[i] : edges[i + 1]]])}
-        for i, b in enumerate(table["bucket"].to_pylist())
-        if edges[i + 1] > edges[i]
-    ]
-    return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("marks", pa.binary())]))
+def _shared(most: int):
+    """Of a group: which of each bucket's owners occur in more than one text, and which of these in more than so many buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        marks = [_from_five(x.as_py()) for x in table["marks"]]
+        value, place = np.concatenate(marks), np.repeat(np.arange(len(marks)), [len(m) for m in marks])
+        order = np.argsort(value, kind="stable")
+        plain = value[order] >> np.uint64(1)
+        begins = np.flatnonzero(np.append(True, plain[1:] != plain[:-1]))
+        sizes = np.diff(np.append(begins, len(plain)))
+        several = np.maximum.reduceat(value[order] & np.uint64(1), begins) > 0
+        kept, hot = np.repeat((sizes > 1) | several, sizes), np.repeat(sizes > most, sizes)
+        at, plain, hot = place[order][kept], plain[kept], hot[kept]
+        by = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[by], np.arange(len(marks) + 1))
+        rows = []
+        for i, b in enumerate(table["bucket"].to_pylist()):
+            mine = by[edges[i] : edges[i + 1]]
+            if len(mine):
+                crowded = plain[mine][hot[mine]]
+                rows.append({"bucket": b, "g": table["g"][0].as_py(), "marks": _five(plain[mine]), "hot": _five(crowded) if len(crowded) else None})
+        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("g", pa.int64()), ("marks", pa.binary()), ("hot", pa.binary())]))
+
+    return run
+
+
+def _whole_marks(told: pa.Table, column: str, groups: int) -> np.ndarray:
+    """The marks in a column with their groups, ascending."""
+    there = told.filter(pc.is_valid(told[column]))
+    parts = [_from_five(m.as_py()) * np.uint64(groups) + np.uint64(g) for g, m in zip(there["g"].to_pylist(), there[column])]
+    return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def _hot_test(told: pa.Table, groups: int) -> Callable | None:
+    """What tells hot owners by their hashes, if the bucket has any."""
+    known = _whole_marks(told, "hot", groups)
+    return (lambda h: _lookup(known, _mark(h, groups) * np.uint64(groups) + h % np.uint64(groups))[1]) if len(known) else None
 
 
 def _candidates(groups: int):
@@ -203,13 +250,13 @@ def _candidates(groups: int):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         if texts.num_rows and told.num_rows:
-            known = np.sort(np.concatenate([_from_five(m.as_py()) * np.uint64(groups) + np.uint64(g) for g, m in zip(told["g"].to_pylist(), told["marks"])]))
+            known, hot = _whole_marks(told, "marks", groups), _hot_test(told, groups)
             bucket, held = _Bucket(texts), []
             for first, body, offsets in bucket.slices():
-                h, row, _, _, piece, _ = owners(body, offsets)
-                key = _mark(h, groups) * np.uint64(groups) + h % np.uint64(groups)
-                at = np.searchsorted(known, key)
-                hit = known[np.minimum(at, len(known) - 1)] == key
+                h, row, start, end, piece, _ = owners(body, offsets, hot)
+                hit = _lookup(known, _mark(h, groups) * np.uint64(groups) + h % np.uint64(groups))[1]
+                if hot:
+                    hit |= start == end
                 held.append((h[hit], piece[hit], bucket.ids[row[hit] + first]))
             h, piece, ids = (np.concatenate(c) for c in zip(*held))
             order = np.lexsort((ids, piece, h))
@@ -266,12 +313,13 @@ def _pieces(groups: int):
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        if texts.num_rows and told.num_rows:
-            h, least = _unpack(told["h"], told["least"])
-            known = np.sort(h[least.view(np.int64) == _MIXED])
+        mixed_ = told.filter(pc.is_valid(told["h"]))
+        if texts.num_rows and mixed_.num_rows:
+            h, least = _unpack(mixed_["h"], mixed_["least"])
+            known, hot = np.sort(h[least.view(np.int64) == _MIXED]), _hot_test(told, groups)
             bucket, found = _Bucket(texts), {}
             for first, body, offsets in bucket.slices():
-                h, row, start, end, piece, inner = owners(body, offsets)
+                h, row, start, end, piece, inner = owners(body, offsets, hot)
                 for i in np.flatnonzero(_lookup(known, h)[1]).tolist():
                     key, who = (int(h[i]), int(piece[i])), int(bucket.ids[row[i] + first])
                     if key in found:
@@ -370,13 +418,14 @@ def _whole_characters(gone: np.ndarray, body: np.ndarray) -> np.ndarray:
     return np.repeat(np.minimum.reduceat(gone, begins), np.diff(np.append(begins, len(body)))) if len(body) else gone
 
 
-def _cut(keep_text: bool):
+def _cut(keep_text: bool, groups: int):
     """Of each bucket: its texts with the settled and resolved strings cut out."""
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         if texts.num_rows:
-            simple = told.filter(pc.is_null(told["piece"]))
+            hot = _hot_test(told, groups)
+            simple = told.filter(pc.and_(pc.is_null(told["piece"]), pc.is_valid(told["h"])))
             h, least = _unpack(simple["h"], simple["least"])
             least = least.view(np.int64)
             order = np.argsort(h, kind="stable")
@@ -388,9 +437,9 @@ def _cut(keep_text: bool):
             pair, (low, high, who) = pair[order], (c[order].view(np.int64) for c in (low, high, who))
             bucket = _Bucket(texts)
             for first, body, offsets in bucket.slices():
-                h, row, start, end, piece, _ = owners(body, offsets)
+                h, row, start, end, piece, _ = owners(body, offsets, hot)
                 ids = bucket.ids[row + first] if len(row) else np.empty(0, np.int64)
-                edges = np.zeros(len(body) + 1, np.int64)
+                edges = np.zeros(len(body) + 1, np.int32)
                 at, there = _lookup(known, h)
                 hit = np.flatnonzero(there)
                 hit = hit[(least[at[hit]] != _MIXED) & (least[at[hit]] < ids[hit])]
@@ -423,7 +472,7 @@ def _cut(keep_text: bool):
     return run
 
 
-def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """One row for each distinct text: md5, first (its least id), n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     The counts are those of the least id's row; ``kept`` (with ``keep_text``, where anything went) is what
@@ -435,21 +484,22 @@ def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_
     id_ = F.coalesce(F.col(key).cast("long"), F.lit(_LAST_ID))
     texts = docs.select(id_.alias("id"), F.col(text).alias("text")).mapInArrow(_zipped, "md5 binary, id bigint, blob binary")
     texts = texts.withColumn("bucket", F.pmod(F.xxhash64("md5"), F.lit(buckets)))
-    texts = texts.repartition(max(1, min(buckets, 4096)), "bucket").persist(StorageLevel.DISK_ONLY)
-    by_bucket = texts.groupBy("bucket")
+    by_bucket = stage_by(texts, "passage-zipped", "bucket", min(buckets, PARTS)).groupBy("bucket")
     suspects = by_bucket.applyInArrow(_suspects(groups), "g bigint, bucket bigint, marks binary")
-    shared = suspects.groupBy("g").applyInArrow(_shared, "bucket bigint, g bigint, marks binary")
+    shared = stage(suspects.groupBy("g").applyInArrow(_shared(hot), "bucket bigint, g bigint, marks binary, hot binary"), "passage-shared").df
     packed = "h binary, piece binary, least binary, last binary"
     candidates = by_bucket.cogroup(shared.groupBy("bucket")).applyInArrow(_candidates(groups), f"g bigint, bucket bigint, {packed}")
     settled = stage(candidates.groupBy("g").applyInArrow(_settled, "bucket bigint, mixed boolean, h binary, least binary"), "passage-owners").df
-    pieces = by_bucket.cogroup(settled.where("mixed").groupBy("bucket")).applyInArrow(_pieces(groups), f"g bigint, bucket bigint, {packed}, inner binary, strings array<binary>")
+    crowded = shared.where("hot IS NOT NULL")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    told = settled.where("mixed").select("bucket", "h", "least", *none("bigint", "g"), *none("binary", "hot"))
+    told = told.union(crowded.select("bucket", *none("binary", "h", "least"), "g", "hot"))
+    pieces = by_bucket.cogroup(told.groupBy("bucket")).applyInArrow(_pieces(groups), f"g bigint, bucket bigint, {packed}, inner binary, strings array<binary>")
     runs = stage(pieces.groupBy("g").applyInArrow(_resolved, "bucket bigint, h binary, piece binary, low binary, high binary, least binary"), "passage-runs").df
-    told = settled.select("bucket", "h", *(F.lit(None).cast("binary").alias(c) for c in ("piece", "low", "high")), "least").union(
-        runs.select("bucket", "h", "piece", "low", "high", "least")
-    )
-    done = stage(by_bucket.cogroup(told.groupBy("bucket")).applyInArrow(_cut(keep_text), _CUT), "passage-texts").df
-    texts.unpersist()
-    return done
+    told = settled.select("bucket", "h", *none("binary", "piece", "low", "high"), "least", *none("bigint", "g"), *none("binary", "hot"))
+    told = told.union(runs.select("bucket", "h", "piece", "low", "high", "least", *none("bigint", "g"), *none("binary", "hot")))
+    told = told.union(crowded.select("bucket", *none("binary", "h", "piece", "low", "high", "least"), "g", "hot"))
+    return stage(by_bucket.cogroup(told.groupBy("bucket")).applyInArrow(_cut(keep_text, groups), _CUT), "passage-texts").df
 
 
 def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

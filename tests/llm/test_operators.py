@@ -119,7 +119,7 @@ def test_passages_equal_brute_force(docs, texts):
     assert got == brute_passages(texts)
 
 
-def test_passages_with_shared_parts(spark):
+def test_passages_with_shared_parts(spark, monkeypatch):
     rng = np.random.default_rng(4)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 5))
     shared = [" ".join(word() for _ in range(n)) for n in (9, 10, 12, 40)]
@@ -131,7 +131,24 @@ def test_passages_with_shared_parts(spark):
         texts[k] = "".join(parts) if k % 3 else " ".join(parts)
     texts[60], texts[61], texts[62] = "ab" * 100, "ba" * 90, "a" * 300
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r["doc_id"]: tuple(r)[1:] for r in passages.dedup_passages(rows).collect()} == brute_passages(texts)
+    want = brute_passages(texts)
+    assert {r["doc_id"]: tuple(r)[1:] for r in passages.dedup_passages(rows).collect()} == want
+    # owners that several buckets have are hot at once: each of their strings is settled by itself
+    for bucket, hot in ((3000, 1), (400, 3), (3000, 0)):
+        monkeypatch.setattr(passages, "BUCKET", bucket)
+        cut = passages.cut_passages(rows, hot=hot).select("first", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert {r["first"]: tuple(r)[1:] for r in cut} == {k: want[k] for k in (r["first"] for r in cut)}
+
+
+def test_owners_in_stretches_are_those_of_the_whole():
+    rng = np.random.default_rng(6)
+    body = rng.integers(97, 101, 9000).astype(np.uint8)
+    offsets = np.array([0, 40, 4000, 4000, 9000])
+    strings = lambda found: {(int(r), s): int(h) for h, r, a, b, _, _ in zip(*found) for s in range(a, b + 1)}
+    whole = strings(passages.owners(body, offsets))
+    assert whole == strings(passages.owners(body, offsets, stretch=333)) and len(whole) == 3960 - 49 + 5000 - 49
+    single = passages.owners(body, offsets, lambda h: h % np.uint64(2) == 0)
+    assert set(strings(single)) == set(whole) and len(single[0]) > len(passages.owners(body, offsets)[0])
 
 
 def test_fingerprints(docs, texts, awkward):
