@@ -290,23 +290,42 @@ def test_search_equals_sql(spark, sf_dir):
     assert sorted(map(tuple, queries.op8_ball_tree_topk(spark, sf_dir).collect())) == sorted(want) and want
 
 
-def test_search_over_many_shards(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 3)
+def brute_search(rows, k=5):
+    """Query rows by id % 50, candidates all other rows of the same length; rows are (id or None, vector)."""
+    q = [(i, v, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for a, (i, _, x) in enumerate(q):
+        if i is not None and i % 50 == 0:
+            found = sorted((-int(x @ y), j is None, j) for b, (j, _, y) in enumerate(q) if a != b and len(x) == len(y))[:k]
+            out += [(i, n + 1, j, -s) for n, (s, _, j) in enumerate(found)]
+    return sorted(out, key=str)
+
+
+def test_search_over_many_shards(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (200, 6))
     x[50:120] = x[3]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (250, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (300, [float("nan")] * 6), (350, [])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    q = np.floor(256 * x).astype(int)
-    want = []
-    for i in range(0, 200, 50):
-        s = q @ q[i]
-        want += [(i, k + 1, int(j), int(s[j])) for k, j in enumerate([j for j in np.lexsort((np.arange(200), -s)) if j != i][:5])]
-    assert sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
+    rows += [(0, x[7].tolist()), (0, x[7].tolist()), (5, x[9].tolist()), (None, x[3].tolist()), (400, [1.0, 2.0]), (401, [3.0, 1.0]), (450, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit("x").alias("row"), F.lit(1).alias("shard"), F.lit(1).alias("v"))
+    for sizes in ({}, {"shard_bytes": 40 * 48, "block_bytes": 3 * 48, "leaf": 4}):
+        got = topk.top_k(table, F.col("vec_id") % 50 == 0, **sizes).collect()
+        assert sorted(map(tuple, got), key=str) == brute_search(rows)
     assert topk.top_k(table.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_inner_nodes_prune():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.05, (256, 8)) * 256 for c in rng.normal(0, 4, (16, 8))])
+    q = np.floor(x[::64])
+    search = topk.Search(np.floor(x), np.arange(len(x)), q, np.full(len(q), -1), np.full(len(q), -np.inf), 5, leaf=32)
+    search.run()
+    assert search.opened < 0.5 * len(q) * len(search.tree.leaves)
+    score = q @ np.floor(x).T
+    for j in range(len(q)):
+        assert sorted(search.best_s[j]) == sorted(np.sort(score[j])[-5:])
+
+
 def test_pack_round_trip(docs, texts, awkward):
     from tokenizers import Tokenizer
 
