@@ -95,9 +95,52 @@ def test_a_new_shard_moves_few_rows(docs):
 
 
 def test_licenses(spark):
-    rows = [(1, "Some words. Released under the MIT License. And more."), (2, "Licensed  under the APACHE license, version 2.0"), (3, "nothing of the kind here at all"), (4, licenses.TEMPLATES["BSD"].replace("binary", "object"))]
+    rows = [(1, "Some words. Released under the MIT License. And more."), (2, "Licensed  under the APACHE license, version 2.0"), (3, "nothing of the kind here at all"), (4, licenses.TEMPLATES["BSD"].replace("binary", "object")), (5, "ends so. all RIGHTS reserved"), (6, "// spdx-license-identifier: mit"), (7, "all rights are reserved")]
     got = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), least=0.7).collect()}
-    assert got == {(1, "MIT"), (2, "Apache-2.0"), (4, "BSD")}
+    assert got == {(1, "MIT"), (2, "Apache-2.0"), (4, "BSD"), (5, "All-rights-reserved"), (6, "SPDX-MIT")}
+
+
+def brute_licenses(text, templates, least=0.8):
+    """The best share of a template's shingles in any stretch a quarter longer than it, over all stretches."""
+    w = re.findall(r"[a-z0-9]+", (text or "").lower())
+    out = {}
+    for name, t in templates.items():
+        tw = re.findall(r"[a-z0-9]+", t.lower())
+        size = min(5, len(tw))
+        gram = lambda x, i: tuple(x[i : i + size])  # noqa: E731, B023
+        want = {gram(tw, i) for i in range(len(tw) - size + 1)}
+        n = len(tw) - size + 1
+        mine = [gram(w, i) for i in range(len(w) - size + 1)]
+        best = max((len(want & set(mine[i : i + n + n // 4])) / len(want) for i in range(len(mine))), default=0.0)
+        if best >= least:
+            out[name] = round(best, 6)
+    return out
+
+
+def test_licenses_equal_brute_force_on_edited_notices(spark):
+    rng = np.random.default_rng(3)
+    names, texts = sorted(licenses.TEMPLATES), []
+    for k in range(120):
+        words = re.findall(r"\S+", licenses.TEMPLATES[names[k % len(names)]])
+        for _ in range(rng.integers(0, 2 + len(words) // 20)):
+            at = int(rng.integers(0, len(words)))
+            words[at : at + 1] = [[], ["new", "words"], ["other"]][rng.integers(0, 3)]
+        around = lambda: [f"w{x}" for x in rng.integers(0, 400, rng.integers(0, 60))]
+        texts.append(" ".join(around() + words + around()))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got: dict = {}
+    for r in licenses.scan(rows).collect():
+        got.setdefault(r["doc_id"], {})[r["license"]] = round(r["containment"], 6)
+    want = {i: f for i, t in enumerate(texts) if (f := brute_licenses(t, licenses.TEMPLATES))}
+    assert got == want and len(want) > 60
+
+
+def test_licenses_in_awkward_rows(awkward, spark):
+    notice = licenses.TEMPLATES["MIT"]
+    rows = awkward.where("doc_id in (2, 3, 4, 7)").unionByName(awkward.where("doc_id = 5 OR doc_id IS NULL").withColumn("text", F.concat("text", F.lit(" " + notice))))
+    rows = rows.unionByName(rows.where("doc_id = 5"))
+    got = sorted((str(r["doc_id"]), r["license"], r["containment"], r["end_word"] - r["first_word"]) for r in licenses.scan(rows).collect())
+    assert got == [("5", "MIT", 1.0, 5), ("5", "MIT", 1.0, 5), ("None", "MIT", 1.0, 5)]
 
 
 def brute_passages(texts: dict) -> dict:
