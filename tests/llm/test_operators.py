@@ -94,6 +94,94 @@ def test_a_new_shard_moves_few_rows(docs):
     assert moved <= 0.4 * len(before)
 
 
+def test_ring_placement_equals_a_walk_over_single_rows(spark, monkeypatch):
+    """Every key to the first place at or after its hash, clockwise past full shards, arc by arc and then round by round."""
+    rows = spark.range(300).select((F.col("id") % 97).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 110).cast("string")).alias("text"))
+    for slack in (0.0, 0.3):
+        got = sharding.assign_shards(rows, 4, vnodes=8, slack=slack)
+        places, owner = sharding._ring(rows, 4, 8)
+        hashes = {r["doc_id"]: r["h"] for r in rows.select("doc_id", F.xxhash64(F.lit("key"), "doc_id").alias("h")).distinct().collect()}
+        counts = [0] * 32
+        for r in rows.collect():
+            counts[next((i for i, p in enumerate(places) if p >= hashes[r["doc_id"]]), 0)] += 1
+        total = int(300 * (1 + slack))
+        room = [total // 4 + (s < total % 4) for s in range(4)]
+        want, waiting = {}, {i: (i, c) for i, c in enumerate(counts) if c}
+        while waiting:
+            step = {i: next((at + k) % 32 for k in range(32) if room[owner[(at + k) % 32]] > 0) for i, (at, _) in waiting.items()}
+            for i in sorted(waiting, key=lambda i: (waiting[i][0] - i) % 32):
+                at, c = step[i], waiting[i][1]
+                some = min(c, room[owner[at]])
+                room[owner[at]] -= some
+                want[i, owner[at]] = want.get((i, owner[at]), 0) + some
+                waiting[i] = ((at + 1) % 32, c - some)
+                if c == some:
+                    del waiting[i]
+        found: dict = {}
+        for r in got.collect():
+            arc = next((i for i, p in enumerate(places) if p >= hashes[r["doc_id"]]), 0)
+            found[arc, r["shard"]] = found.get((arc, r["shard"]), 0) + 1
+        assert found == {k: n for k, n in want.items() if n}
+    monkeypatch.setattr(sharding, "ARC_ROWS", 3)
+    slots = [(r["shard"], r["slot"]) for r in sharding.assign_shards(rows, 4, vnodes=8).collect()]
+    assert len(set(slots)) == 300 and max(s for _, s in slots) == 74
+
+
+def test_one_row_many_times(spark):
+    """A row that is most of the table stays one range or one unit until it is written, in many tasks."""
+    n = 200_000
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("doc_id"), F.lit("some words of a text").alias("text"), F.lit("a").alias("source")).union(spark.range(1000).select("id", F.lit("x y"), F.lit("b")))
+    placed = sharding.assign_shards(rows, 5)
+    sizes = {r["shard"]: (r["n"], r["top"], r["d"]) for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("top"), F.count_distinct("slot").alias("d")).collect()}
+    assert len(sizes) == 5 and all(x == d == top + 1 == (n + 1000) // 5 for x, top, d in sizes.values())
+    mixed = mixing.mix(rows).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most"), F.min("copies").alias("least")).collect()
+    by = {r["source"]: r for r in mixed}
+    assert by["a"]["n"] == n and abs(by["a"]["taken"] - by["a"]["target"]) <= 5 and by["a"]["most"] - by["a"]["least"] <= 1
+    assert by["b"]["n"] == 1000 and by["b"]["taken"] == by["b"]["target"] == 6000
+
+
+def test_fusion_equals_plain_bayes(spark):
+    rng = np.random.default_rng(4)
+    names = ["de", "en", "und"]
+    rows = []
+    for i in range(60):
+        scores = [float(x) for x in rng.normal(0, 3, 3)]
+        host = ["a.b.org", "c.b.org", "d.net", "plain", None][int(rng.integers(0, 5))]
+        dotted = host is not None and "." in host
+        n = int(rng.integers(0, 6))
+        rows.append((i, [None, "en", "de", "xx"][int(rng.integers(0, 4))], host, ".".join(host.split(".")[-2:]) if dotted else None, host.split(".")[-1] if dotted else None, n, scores, scores.index(max(scores)) if n else None))
+    table = spark.createDataFrame(rows, "key int, declared string, host string, domain string, suffix string, n_grams long, scores array<double>, best int")
+    got = {r["key"]: r for r in languages.fuse(table, names).collect()}
+    overall = [sum(r[7] == i for r in rows) for i in range(3)]
+    base = [(x + 1) / (sum(overall) + 3) for x in overall]
+    count = lambda place, value: [sum(r[place] == value and r[7] == i for r in rows) for i in range(3)]
+    for key, declared, host, domain, suffix, n, scores, best in rows:
+        own = [float(best == i) for i in range(3)]
+        towards = base
+        for place, value in ((3, domain), (2, host)):
+            c = [max(0.0, x - o) for x, o in zip(count(place, value), own)] if value is not None else [0.0] * 3
+            towards = [(x + 5 * t) / (sum(c) + 5) for x, t in zip(c, towards)]
+        z = [s + np.log(max(t, 1e-9)) for s, t in zip(scores, towards)]
+        for place, value in ((1, declared), (4, suffix)):
+            if value is not None:
+                z = [x + np.log((c + 0.5) / (o + 2.0)) for x, c, o in zip(z, count(place, value), overall)]
+        p = np.exp(np.array(z) - max(z))
+        p /= p.sum()
+        top = int(p.argmax())
+        assert got[key]["language"] == names[top] and got[key]["confidence"] == pytest.approx(p[top])
+        assert got[key]["accepted"] == bool(names[top] != "und" and p[top] >= 0.5 and n > 0)
+
+
+def test_rare_languages_share_a_model_and_keep_their_names(docs):
+    """With two models for four languages the others are named by what they declare, and nothing of them is lost."""
+    found = languages.identify(docs, "doc_id", "text", declared="lang", host="source", most=2).join(docs.select("doc_id", "lang", "text"), "doc_id").where("length(text) > 200")
+    n = found.count()
+    assert found.where("accepted").count() >= 0.97 * n
+    assert found.where("language = lang").count() >= 0.9 * n
+    undeclared = languages.identify(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))), "doc_id", "text", declared="lang", most=2)
+    assert {"mis"} <= {r["language"] for r in undeclared.where("doc_id % 2 = 1").select("language").distinct().collect()}
+
+
 def test_licenses(spark):
     rows = [(1, "Some words. Released under the MIT License. And more."), (2, "Licensed  under the APACHE license, version 2.0"), (3, "nothing of the kind here at all"), (4, licenses.TEMPLATES["BSD"].replace("binary", "object")), (5, "ends so. all RIGHTS reserved"), (6, "// spdx-license-identifier: mit"), (7, "all rights are reserved")]
     got = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), least=0.7).collect()}
@@ -273,6 +361,18 @@ def test_simhash_equals_brute_force(docs, texts):
     assert got == {i: (int(p), int(c)) for i, p, c in zip(ids, points, comp)}
 
 
+def test_the_tree_of_a_shard_finds_all_pairs():
+    """Beyond a leaf's size the vantage-point tree decides: all pairs within the radius, most distances never taken."""
+    rng = np.random.default_rng(12)
+    centres = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    points = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 63, 60).astype(np.uint64)) for c in centres]))
+    rng.shuffle(points)
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 3
+    want = {(i, j) for i, j in zip(*np.nonzero(near)) if i < j}
+    got = {(min(a, b), max(a, b)) for x, y in simhash.near_pairs(points, 3) for a, b in zip(x.tolist(), y.tolist())}
+    assert got == want and len(points) > 10 * simhash._LEAF
+
+
 def test_crowded_shards_lose_no_link(spark):
     rng = np.random.default_rng(11)
     base = rng.integers(0, 1 << 62, 6)
