@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .verify import once
 
-ENTITY_TYPES = ("Concept", "MessageType", "Field", "Currency", "Process", "System", "Role", "Rule", "Exception", "Metric")
-RELATION_TYPES = ("HAS_FIELD", "CAUSES", "RESOLVED_BY", "PART_OF", "DEFINES", "REQUIRES", "CONFLICTS_WITH", "EQUIVALENT_TO", "MEASURED_BY")
+#: Fixed: the graph's vocabulary.
+ENTITY_TYPES = ("MessageType", "Field", "PaymentInstruction", "SettlementSystem", "Risk", "Rule", "Instrument", "Workflow", "Currency", "DateConvention")
+RELATION_TYPES = ("COVERS", "REQUIRES", "HAS_FIELD", "CONFLICTS_WITH", "TRIGGERS", "APPLIES_TO", "MITIGATES", "RELATED_TO", "COUNTERPART_OF")
+#: Fixed: shares of a claim's stems that support or contradict it, and how many a contradiction needs at least.
 SUPPORT, CONTRADICT, CONTRADICT_WORDS = 0.35, 0.30, 2
+#: Fixed: how sure a field of a message type that is named is.
+MESSAGE_CONFIDENCE = 0.8
 #: Fixed: words that make a claim a question about relations.
 RELATIONAL = ("relation", "relate", "connect", "link", "difference", "between", "counterpart", "equivalent")
 FACT = "head string, head_type string, relation string, tail string, tail_type string, triggers array<string>, confidence double, aliases array<string>"
@@ -21,18 +29,72 @@ def facts_table(spark: SparkSession, facts: list[tuple]) -> DataFrame:
     return spark.createDataFrame(facts, FACT)
 
 
+def _prepared(docs: DataFrame, source: str, text: str) -> DataFrame:
+    """source, text and the two forms that terms are looked up in, each made once a document."""
+    lower = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "mt ", "mt")
+    rows = once(docs, "_lower", lower).select(F.col(source).alias("source"), F.col(text).alias("text"), F.col("_lower").alias("lower"))
+    return once(rows, "padded", T.padded(F.col("lower")))
+
+
 def extract(docs: DataFrame, facts: DataFrame, source: str, text: str) -> DataFrame:
     """One triple for each document and fact whose triggers it has, with the sentence of the first trigger.
 
-    Facts are a rule table, broadcast; only documents with a trigger make a row.
+    Facts are a rule table of fixed size, broadcast; only documents with a trigger make a row.
     """
-    lower = F.regexp_replace(F.lower(F.col(text)), "mt ", "mt")
-    rows = docs.select(F.col(source).alias("source"), F.col(text).alias("text"), lower.alias("lower"))
-    hit = F.forall(F.col("triggers"), lambda t: T.has_term(F.col("lower"), F.lower(t)))
+    rows = _prepared(docs, source, text)
+    hit = F.forall(F.col("triggers"), lambda t: T.has_term(F.col("lower"), F.col("padded"), F.lower(t)))
     found = rows.join(F.broadcast(facts), hit)
     return found.select("head", "head_type", "relation", "tail", "tail_type", T.sentence_with(F.col("text"), F.element_at("triggers", 1)).alias("evidence"), "confidence", "source", "aliases")
 
 
+def named(docs: DataFrame, names: tuple[str, ...], kind: str, source: str, text: str) -> DataFrame:
+    """Entities of a closed list (message types, currencies) that a document names: name, type, source."""
+    rows = _prepared(docs, source, text)
+    there = F.filter(F.array(*map(F.lit, names)), lambda n: T.has_term(F.col("lower"), F.col("padded"), F.lower(n)))
+    return rows.select(F.explode(there).alias("name"), F.lit(kind).alias("type"), "source", "text")
+
+
+def message_fields(docs: DataFrame, fields: DataFrame, source: str, text: str) -> DataFrame:
+    """For each message type that a document names, a HAS_FIELD triple for each of its fields(message_type, tag, label)."""
+    types = tuple(sorted(r["message_type"] for r in fields.select("message_type").distinct().limit(1000).collect()))
+    found = named(docs, types, "MessageType", source, text).withColumnRenamed("name", "message_type")
+    rows = found.join(F.broadcast(fields), "message_type")
+    return rows.select(
+        F.col("message_type").alias("head"), F.lit("MessageType").alias("head_type"), F.lit("HAS_FIELD").alias("relation"), F.concat_ws(" ", "tag", "label").alias("tail"), F.lit("Field").alias("tail_type"),
+        T.sentence_with(F.col("text"), F.col("message_type")).alias("evidence"), F.lit(MESSAGE_CONFIDENCE).alias("confidence"), "source", F.array().cast("array<string>").alias("aliases"),
+    )
+
+
+def merge_corpus(triples: DataFrame) -> DataFrame:
+    """One row for head, relation, tail and source, in order of source; of repeats the most confident, then the first evidence."""
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), "evidence"))
+    return triples.groupBy("head", "relation", "tail", "source").agg(best.alias("b")).select(
+        "head", "relation", "tail", "source", F.col("b.evidence").alias("evidence"), (-F.col("b.c")).alias("confidence")
+    ).orderBy("source", "head", "relation", "tail")
+
+
+def with_gold(triples: DataFrame, gold: DataFrame) -> DataFrame:
+    """Extracted triples and gold ones as one bag; merging decides what stays."""
+    return triples.unionByName(gold, allowMissingColumns=True)
+
+
+def coerce_chunk(reply: Column) -> Column:
+    """Entities and relations in a reply of a language model, names trimmed and gaps filled; null where it holds no object."""
+    entity = "struct<name:string,type:string>"
+    relation = "struct<head:string,relation:string,tail:string,evidence:string,confidence:double>"
+    parsed = F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")), f"entities array<{entity}>, relations array<{relation}>", {"mode": "PERMISSIVE"})
+    made = F.struct(
+        F.transform(F.coalesce(parsed["entities"], F.array()), lambda e: F.struct(F.trim(e["name"]).alias("name"), F.trim(F.coalesce(e["type"], F.lit(""))).alias("type"))).alias("entities"),
+        F.transform(
+            F.coalesce(parsed["relations"], F.array()),
+            lambda r: F.struct(
+                F.trim(r["head"]).alias("head"), F.trim(r["relation"]).alias("relation"), F.trim(r["tail"]).alias("tail"), F.coalesce(r["evidence"], F.lit("")).alias("evidence"), F.coalesce(r["confidence"], F.lit(0.7)).alias("confidence")
+            ),
+        ).alias("relations"),
+    )
+    return F.when(parsed.isNotNull() & (parsed["entities"].isNotNull() | parsed["relations"].isNotNull()), made)
+
+
 def merge_relations(triples: DataFrame) -> DataFrame:
     """One row for head, relation and tail: the most confident, of equals the first source."""
     best = F.min(F.struct((-F.col("confidence")).alias("c"), "source", "evidence"))
@@ -41,26 +103,45 @@ def merge_relations(triples: DataFrame) -> DataFrame:
     )
 
 
-def entities(triples: DataFrame) -> DataFrame:
+def entities(triples: DataFrame, last: bool = False) -> DataFrame:
+    """One row for name and type, from the first source or the last."""
     both = triples.select(F.col("head").alias("name"), F.col("head_type").alias("type"), "source").union(triples.select("tail", "tail_type", "source"))
-    return both.groupBy("name", "type").agg(F.min("source").alias("source"))
+    return both.groupBy("name", "type").agg((F.max if last else F.min)("source").alias("source"))
+
+
+def broken_entities(rows: DataFrame) -> DataFrame:
+    """name, type and why: an empty name or an unknown type."""
+    empty = F.trim(F.coalesce("name", F.lit(""))) == ""
+    why = F.when(empty, "name").when(~F.coalesce(F.col("type").isin(*ENTITY_TYPES), F.lit(False)), "type")
+    return rows.select("name", "type", why.alias("why")).where("why IS NOT NULL")
 
 
 def broken(entity_rows: DataFrame, relations: DataFrame) -> DataFrame:
-    """Relations with an unknown type, a confidence out of bounds or an end that is no entity."""
+    """head, relation, tail and why: an unknown type, an empty end, a confidence out of bounds, or an end that is no entity."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    why = (
+        F.when(blank("head") | blank("tail"), "empty")
+        .when(~F.coalesce(F.col("relation").isin(*RELATION_TYPES), F.lit(False)), "relation")
+        .when(~F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False)), "confidence")
+    )
+    bad = relations.select("head", "relation", "tail", why.alias("why")).where("why IS NOT NULL")
     names = entity_rows.select("name").distinct()
-    wrong = ~F.col("relation").isin(*RELATION_TYPES) | ~F.col("confidence").between(0.0, 1.0)
-    bad = relations.where(wrong).select("head", "relation", "tail", F.lit("relation").alias("why"))
     for end in ("head", "tail"):
         lost = relations.join(names, F.col(end) == F.col("name"), "left_anti").select("head", "relation", "tail", F.lit(end).alias("why"))
         bad = bad.union(lost)
     return bad
 
 
+def checked(entity_rows: DataFrame, relations: DataFrame) -> DataFrame:
+    """relations, or an error where any of them or an entity breaks the graph's rules."""
+    wrong = broken(entity_rows, relations).select("why").union(broken_entities(entity_rows).select("why")).agg(F.count(F.lit(1)).alias("n"))
+    sound = wrong.select(F.when(F.col("n") > 0, F.raise_error(F.lit("the graph breaks its rules"))).otherwise(F.lit(True)).alias("_sound"))
+    return relations.crossJoin(F.broadcast(sound)).where("_sound").drop("_sound")
+
+
 def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9.#]+"), F.lit(0))
-    return rows.select(F.col(key).alias("key"), F.explode(found).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.select(F.col(key).alias("key"), F.explode(T.terms(F.col(text))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -120,12 +201,84 @@ def gate(claims: DataFrame, claim: str, text: str, triples: DataFrame, k: int =
     return claims.select(F.col(claim).alias("claim")).join(judged, "claim", "left").withColumn("verdict", F.coalesce("verdict", F.lit("SILENT")))
 
 
+def build_claim(ledger: Column, statement: Column, verdict: Column, kind: Column, severity: Column, reason: Column) -> Column:
+    """Fixed: the sentence by which a pair and its provisional verdict are put to the gate."""
+    some = lambda c: F.nullif(c.cast("string"), F.lit(""))
+    told = lambda before, c: F.concat(F.lit(before), some(c))
+    return F.concat_ws(
+        " ",
+        F.concat(F.lit("Ledger message "), F.coalesce(some(ledger["message_type"]), F.lit("UNKNOWN")), F.lit(" against statement message "), F.coalesce(some(statement["message_type"]), F.lit("UNKNOWN"))),
+        F.rtrim(F.concat(told("for ", ledger["amount"]), F.lit(" "), F.coalesce(ledger["ccy"], F.lit("")))),
+        told("with value date ", ledger["value_date"]),
+        told("has provisional verdict ", verdict),
+        told("with exception ", kind),
+        told("severity ", severity),
+        told("reason: ", reason),
+    )
+
+
+def evidence_entry(row: Column) -> Column:
+    """What a verdict shows of a triple that it rests on."""
+    return F.struct(F.concat_ws(" ", row["head"], row["relation"], row["tail"]).alias("triple"), row["source"].alias("source"), row["evidence"].alias("text"), F.round(row["confidence"], 4).alias("confidence"))
+
+
+def ground_pairs(pairs: DataFrame, key: str, triples: DataFrame, k: int = 8) -> DataFrame:
+    """claim and verdict of each pair; equal claims are judged once."""
+    kind = F.when(F.col("kind") != "MATCH", F.col("kind"))
+    told = pairs.select(key, build_claim(F.col("ledger"), F.col("statement"), F.col("verdict"), kind, F.col("severity"), F.col("reason")).alias("text"))
+    claims = told.select("text").distinct().withColumn("id", F.xxhash64("text"))
+    judged = gate(claims, "id", "text", triples, k)
+    return told.withColumn("claim", F.xxhash64("text")).join(judged, "claim").select(key, F.col("text").alias("claim"), "verdict", "evidence_id", "coverage")
+
+
+def probe_agreement(probes: DataFrame, triples: DataFrame, k: int = 8, first: int | None = None, ids: tuple[str, ...] = ()) -> DataFrame:
+    """id, target, verdict and agrees of probes(id, question, target): all, the first so many by id, or those named."""
+    asked = probes.where(F.col("id").isin(*ids)) if ids else probes
+    asked = asked.orderBy("id").limit(first) if first else asked
+    judged = gate(asked.select("id", "question"), "id", "question", triples, k)
+    return asked.join(judged, F.col("id") == F.col("claim")).select("id", "target", "verdict", (F.col("verdict") == F.col("target")).alias("agrees"))
+
+
+#: Vectors of a shard and of a query block that meet in a task.
+SHARD_ROWS, BLOCK_ROWS = 16_384, 2_048
+
+
+def _cosines(k: int):
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if rows.num_rows and asked.num_rows:
+            order = pc.sort_indices(rows["key"])
+            names = rows["key"].take(order).to_pylist()
+            stacked = lambda c: np.stack([np.asarray(v, float) for v in c.to_pylist()])
+            x, q = stacked(rows["v"].take(order)), stacked(asked["q"])
+            size = np.sqrt((q**2).sum(axis=1))[:, None] * np.sqrt((x**2).sum(axis=1))[None, :]
+            score = np.round(np.divide(q @ x.T, size, out=np.zeros(size.shape), where=size > 0), 4)
+            for i, name in enumerate(asked["query_id"].to_pylist()):
+                best = [j for j in np.argsort(-score[i], kind="stable")[: k + 1].tolist() if names[j] != name][:k]
+                out[0].extend([name] * len(best))
+                out[1].extend(names[j] for j in best)
+                out[2].extend(score[i][best].tolist())
+        kind = asked.schema.field("query_id").type
+        return pa.table({"query_id": pa.array(out[0], kind), "key": pa.array(out[1], kind), "score": pa.array(out[2], pa.float64())})
+
+    return run
+
+
 def dense_top(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """Cosine top k of a bounded query table against all rows; each partition's best meet in one aggregation."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q"))
-    pairs = rows.join(F.broadcast(q), F.col(key) != F.col("query_id"))
-    cosine = dot(F.col("q"), F.col(vector)) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col(vector), F.col(vector)))
-    scored = pairs.select("query_id", F.col(key).alias("key"), F.round(cosine, 4).alias("score"))
+    """Cosine top k of each query against all rows but itself, ties to the smaller key.
+
+    Queries in blocks meet rows in shards, both of bounded size; each meeting sends k rows a query to the last ranking.
+    Null vectors take no part; keys are unique and vectors of one length.
+    """
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
+    held = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
+    n, m = held.count(), asked.count()
+    shards = max(-(-n // SHARD_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 1024)), 1)
+    blocks = max(1, -(-m // BLOCK_ROWS))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+    held = held.select("key", "v", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), every(blocks).alias("block"))
+    asked = asked.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), every(shards).alias("shard"))
+    found = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_cosines(k), f"query_id {kind}, key {kind}, score double")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

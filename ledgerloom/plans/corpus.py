@@ -11,15 +11,21 @@ from .registry import query, table
 
 #: Rules over the words of the driver's documents.
 FACTS = [
-    ("Apache License", "Rule", "REQUIRES", "Notice", "Concept", ["apache license"], 0.9, ["apache"]),
-    ("MIT License", "Rule", "DEFINES", "PermissiveUse", "Concept", ["mit license"], 0.9, ["mit"]),
-    ("GPL", "Rule", "CONFLICTS_WITH", "ClosedSource", "Concept", ["general public license", "version"], 0.8, ["gnu"]),
-    ("CC BY-NC", "Rule", "CONFLICTS_WITH", "CommercialUse", "Concept", ["licensed", "cc"], 0.7, ["creative commons"]),
-    ("Idiot", "Concept", "CAUSES", "ToxicText", "Metric", ["idiot"], 0.6, []),
-    ("The", "Concept", "PART_OF", "English", "System", ["the", "and"], 0.5, ["en"]),
-    ("Der", "Concept", "PART_OF", "German", "System", ["der", "die"], 0.5, ["de"]),
-    ("Les", "Concept", "PART_OF", "French", "System", ["les", "et"], 0.5, ["fr"]),
-    ("Los", "Concept", "PART_OF", "Spanish", "System", ["los", "el"], 0.5, ["es"]),
+    ("Apache License", "Rule", "REQUIRES", "Notice", "Field", ["apache license"], 0.9, ["apache"]),
+    ("MIT License", "Rule", "COVERS", "PermissiveUse", "Instrument", ["mit license"], 0.9, ["mit"]),
+    ("GPL", "Rule", "CONFLICTS_WITH", "ClosedSource", "Instrument", ["general public license", "version"], 0.8, ["gnu"]),
+    ("CC BY-NC", "Rule", "CONFLICTS_WITH", "CommercialUse", "Instrument", ["licensed", "cc"], 0.7, ["creative commons"]),
+    ("Idiot", "Risk", "TRIGGERS", "ToxicText", "Risk", ["idiot"], 0.6, []),
+    ("The", "Field", "RELATED_TO", "English", "Workflow", ["the", "and"], 0.5, ["en"]),
+    ("Der", "Field", "RELATED_TO", "German", "Workflow", ["der", "die"], 0.5, ["de"]),
+    ("Les", "Field", "RELATED_TO", "French", "Workflow", ["les", "et"], 0.5, ["fr"]),
+    ("Los", "Field", "RELATED_TO", "Spanish", "Workflow", ["los", "el"], 0.5, ["es"]),
+]
+#: Rules that break the graph's: a relation and a type that there are not, a confidence beyond 1.
+BROKEN = [
+    ("And", "Field", "CAUSES", "English", "Workflow", ["and"], 0.5, []),
+    ("Und", "Word", "RELATED_TO", "German", "Workflow", ["und"], 0.5, []),
+    ("Est", "Field", "RELATED_TO", "French", "Workflow", ["est"], 1.5, []),
 ]
 
 
@@ -27,14 +33,19 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-_FACTS_SQL = "facts(head, head_type, relation, tail, tail_type, triggers, confidence) AS (VALUES " + ", ".join(
-    "(" + ", ".join([_quoted(x) for x in f[:5]] + ["[" + ", ".join(map(_quoted, f[5])) + "]", f"{f[6]}::DOUBLE"]) + ")" for f in FACTS
-) + ")"
-_HAS = "CASE WHEN regexp_full_match(t, '[A-Za-z0-9_.#]+') THEN contains(padded, ' ' || lower(t) || ' ') ELSE contains(lt, lower(t)) END"
-_TRIPLES = f"WITH {_FACTS_SQL}, d AS (SELECT doc_id, text, replace(lower(text), 'mt ', 'mt') AS lt FROM documents), p AS (SELECT *, regexp_replace(' ' || regexp_replace(lt, '[^a-z0-9.]', ' ', 'g') || ' ', '\\.( )', ' ', 'g') AS padded0 FROM d)," + (
-    " q AS (SELECT doc_id, text, lt, ' ' || array_to_string(list_transform(string_split(regexp_replace(lt, '[^a-z0-9.]', ' ', 'g'), ' '), lambda w: CASE WHEN ends_with(w, '.') THEN left(w, length(w) - 1) || ' ' ELSE w END), ' ') || ' ' AS padded FROM d),"
-    f" triples AS (SELECT head, head_type, relation, tail, tail_type, confidence, doc_id AS source FROM q, facts WHERE len(list_filter(triggers, lambda t: NOT ({_HAS}))) = 0) "
-)
+_HAS = "CASE WHEN regexp_full_match(t, '[a-z0-9.]+') THEN contains(padded, ' ' || t || ' ') OR contains(padded, ' ' || t || '.') ELSE contains(lt, t) END"
+
+
+def _triples_sql(facts: list[tuple], docs: str = "SELECT doc_id, text FROM documents") -> str:
+    values = ", ".join("(" + ", ".join([_quoted(x) for x in f[:5]] + ["[" + ", ".join(map(_quoted, f[5])) + "]", f"{f[6]}::DOUBLE"]) + ")" for f in facts)
+    return (
+        f"WITH facts(head, head_type, relation, tail, tail_type, triggers, confidence) AS (VALUES {values}), d AS ({docs}), l AS (SELECT *, replace(lower(text), 'mt ', 'mt') AS lt FROM d),"
+        " q AS (SELECT *, ' ' || regexp_replace(lt, '[^a-z0-9.]', ' ', 'g') || ' ' AS padded FROM l),"
+        f" triples AS (SELECT head, head_type, relation, tail, tail_type, confidence, doc_id AS source, text, triggers FROM q, facts WHERE len(list_filter(triggers, lambda t: NOT ({_HAS}))) = 0) "
+    )
+
+
+_TRIPLES = _triples_sql(FACTS)
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +67,33 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples(spark, sf_dir).groupBy("relation").agg(F.count_distinct(F.struct("head", "tail")).alias("edges"), F.count_distinct("source").alias("sources"))
 
 
-@query(_TRIPLES + ", names AS (SELECT head AS name FROM triples WHERE source % 2 = 0 UNION SELECT tail FROM triples WHERE source % 2 = 0), m AS (SELECT DISTINCT head, relation, tail FROM triples)"
-       " SELECT head, relation, tail, 'head' AS why FROM m WHERE head NOT IN (SELECT name FROM names) UNION ALL SELECT head, relation, tail, 'tail' FROM m WHERE tail NOT IN (SELECT name FROM names)")
+@query(
+    _triples_sql(FACTS + BROKEN) + ", m AS (SELECT head, relation, tail, max(confidence) AS confidence FROM triples GROUP BY ALL), names AS (SELECT head AS name FROM triples WHERE head_type <> 'Field' UNION SELECT tail FROM triples WHERE tail_type <> 'Field')"
+    f" SELECT head, relation, tail, 'relation' AS why FROM m WHERE relation NOT IN ({', '.join(map(_quoted, evidence.RELATION_TYPES))}) UNION ALL SELECT head, relation, tail, 'confidence' FROM m WHERE confidence > 1"
+    " UNION ALL SELECT head, relation, tail, 'head' FROM m WHERE head NOT IN (SELECT name FROM names) UNION ALL SELECT head, relation, tail, 'tail' FROM m WHERE tail NOT IN (SELECT name FROM names)"
+)
 def dangling_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged relations whose ends are no entities of the documents with even ids."""
-    rows = triples(spark, sf_dir)
-    return evidence.broken(evidence.entities(rows.where("source % 2 = 0")), evidence.merge_relations(rows))
+    """What is wrong with the graph of all rules, sound and broken, when no field is an entity."""
+    rows = evidence.extract(table(spark, sf_dir, "documents").select("doc_id", "text"), evidence.facts_table(spark, FACTS + BROKEN), "doc_id", "text")
+    return evidence.broken(evidence.entities(rows).where("type <> 'Field'"), evidence.merge_relations(rows))
+
+
+@query(_triples_sql(FACTS + BROKEN) + "SELECT head AS name, head_type AS type, 'type' AS why FROM triples WHERE head_type = 'Word' GROUP BY ALL")
+def unknown_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evidence.extract(table(spark, sf_dir, "documents").select("doc_id", "text"), evidence.facts_table(spark, FACTS + BROKEN), "doc_id", "text")
+    return evidence.broken_entities(evidence.entities(rows))
+
+
+@query(_TRIPLES + "SELECT head, relation, tail, source, max(confidence) AS confidence FROM triples GROUP BY ALL")
+def corpus_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of the corpus, one for each source that tells them."""
+    return evidence.merge_corpus(triples(spark, sf_dir)).select("head", "relation", "tail", "source", "confidence")
+
+
+@query(_TRIPLES + "SELECT name, type, max(source) AS source FROM (SELECT head AS name, head_type AS type, source FROM triples UNION ALL SELECT tail, tail_type, source FROM triples) GROUP BY ALL")
+def corpus_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of the corpus, as the last source has them."""
+    return evidence.entities(triples(spark, sf_dir), last=True)
 
 
 @query("SELECT doc_id, sha256(text) AS signature FROM documents")
@@ -122,9 +154,9 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TERMS = (
-    "t AS (SELECT doc_id AS key, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9.#]+')) AS term FROM documents) GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),"
+    "t AS (SELECT doc_id AS key, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '[^\\x00-\\x7F\\P{L}]', '_', 'g'), '\\b[a-z0-9.#]+\\b')) AS term FROM documents) GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),"
     " idf AS (SELECT term, ln((1 + n)::DOUBLE / (1 + count(*))) + 1 AS idf FROM t, n GROUP BY term, n), raw AS (SELECT key, term, tf * idf AS raw FROM t JOIN idf USING (term)), norm AS (SELECT key, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY key),"
-    " c AS (SELECT item_id AS claim, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9.#]+')) AS term FROM benchmark) GROUP BY ALL), cr AS (SELECT claim, term, tf * idf AS raw FROM c JOIN idf USING (term)),"
+    " c AS (SELECT item_id AS claim, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(regexp_replace(lower(text), '[^\\x00-\\x7F\\P{L}]', '_', 'g'), '\\b[a-z0-9.#]+\\b')) AS term FROM benchmark) GROUP BY ALL), cr AS (SELECT claim, term, tf * idf AS raw FROM c JOIN idf USING (term)),"
     " cn AS (SELECT claim, sqrt(sum(raw * raw)) AS norm FROM cr GROUP BY claim),"
     " sc AS (SELECT cr.claim, raw.key, round(sum(cr.raw / cn.norm * raw.raw / norm.norm), 4) AS score FROM cr JOIN cn USING (claim) JOIN raw ON raw.term = cr.term JOIN norm ON norm.key = raw.key GROUP BY cr.claim, raw.key) "
 )
@@ -145,14 +177,14 @@ def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),"
+    "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),"
     " s AS (SELECT query_id, vec_id AS key, round(list_dot_product(q, v) / sqrt(list_dot_product(q, q) * list_dot_product(v, v)), 4) AS score FROM q, e WHERE vec_id <> query_id)"
     " SELECT query_id, key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"
 )
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten nearest vectors of the first five: the queries are the feature's bounded table."""
+    """Ten nearest vectors of every one whose id is divisible by 100."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return evidence.dense_top(rows.where("vec_id < 5"), rows, "vec_id", "embedding", 10)
+    return evidence.dense_top(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 10)
 
 
 @query("SELECT item_id, CAST(len(list_distinct(list_transform(range(1, length(text) - 3), lambda i: substring(text, i, 5)))) AS INTEGER) AS shingles FROM benchmark WHERE length(text) >= 5")
