@@ -36,6 +36,22 @@ def stats(entries: DataFrame, as_of, hours: int = 168, at: str = "created_at") -
     return kept.groupBy(F.coalesce("kind", F.lit("NONE")).alias("exception_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def severity_counts(entries: DataFrame, as_of, hours: int = 168, at: str = "created_at") -> DataFrame:
+    """Entries with a verdict by severity in the window before as_of, matches too, system entries left out."""
+    if not 1 <= hours <= 2160:
+        raise ValueError("hours must be from 1 to 2160")
+    since = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours))
+    kept = entries.where((F.col("source") != "system") & F.col("verdict").isNotNull() & (F.col(at) >= since))
+    return kept.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def overdue(events: DataFrame, as_of, key: str, at: str, tie: str, hours: int = 24) -> DataFrame:
+    """The timeouts that are due: one for each review still pending so many hours after it was opened."""
+    since = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours))
+    late = fold_reviews(events, key, at, tie).where((F.col("status") == "pending") & (F.col("opened_at") <= since))
+    return late.select(key, (F.col("opened_at") + F.make_dt_interval(hours=F.lit(hours))).alias("due_at"))
+
+
 def fold_reviews(events: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """State of each review from open / resolve / timeout events.
 

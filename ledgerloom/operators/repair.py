@@ -11,25 +11,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 
+_MARKS = re.compile(r'[{}\[\]"]|\\.', re.S)
+
+
+def _objects(text: str) -> list[str]:
+    """Every stretch from an opening brace to the one that closes it, in order of where they begin; what the end cuts off is closed.
+
+    One pass with a stack over brackets and quotation marks; marks outside of all braces are running text.
+    """
+    found, open_, quoted = [], [], False
+    for m in _MARKS.finditer(text):
+        mark = m.group()
+        if quoted or mark[0] == "\\":
+            quoted = quoted and mark != '"'
+        elif mark == '"':
+            quoted = bool(open_)
+        elif mark in "{[":
+            if open_ or mark == "{":
+                open_.append((mark, m.start()))
+        elif open_ and (open_[-1][0] == "{") == (mark == "}"):
+            opened, at = open_.pop()
+            if opened == "{":
+                found.append((at, text[at : m.end()]))
+        else:
+            open_.clear()
+    if open_:
+        tail = ('"' if quoted else "") + "".join("}" if mark == "{" else "]" for mark, _ in reversed(open_))
+        found.append((open_[0][1], text[open_[0][1] :] + tail))
+    return [s for _, s in sorted(found, key=lambda f: f[0])]
+
+
 def balanced(text: str | None) -> str | None:
-    """The first object in a text that parses; an object cut off at the end is closed."""
-    for start in (m.start() for m in re.finditer(r"\{", text or "")):
-        stack, quoted, escaped = [], False, False
-        for at in range(start, len(text)):
-            c = text[at]
-            if quoted:
-                quoted, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
-                continue
-            if c == '"':
-                quoted = True
-            elif c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif c in "}]":
-                if not stack or stack.pop() != c:
-                    break
-                if not stack:
-                    break
-        made = text[start : at + 1] + ('"' if quoted else "") + "".join(reversed(stack))
+    """The first object in a text that parses; an object cut off at the end is closed.
+
+    An outer stretch that does not parse gives way to those in it, so running text in braces does no harm.
+    """
+    for made in _objects(text or ""):
         try:
             json.loads(made)
         except ValueError:

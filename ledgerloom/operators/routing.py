@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .taxonomy import RESOLUTIONS, SEVERITIES, TYPES, VERDICTS, severity_of
+from .taxonomy import MESSAGE_TYPES, RESOLUTIONS, SEVERITIES, TYPES, VERDICTS, severity_of
 
 
 def route(verdict: Column, severity: Column, confidence: Column, threshold: float = 0.6, severities: tuple[str, ...] = ("HIGH",)) -> Column:
@@ -57,23 +57,62 @@ def normalise(verdict: Column, kind: Column, severity: Column, confidence: Colum
     return F.when(F.coalesce(sound, F.lit(False)), made)
 
 
+#: Fixed: where a review can stand, and how long notes and reasons may be.
+STATES = ("resolved", "timed-out", "pending", "rejected")
+NOTE, REASON = 2000, 200
+
+
+def _codes(checks: list[tuple[Column, str]]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(code)) for broken, code in checks]))
+
+
 def violations(pair: DataFrame) -> Column:
-    """Codes of what breaks the wire contract in a pair; an empty array for a sound one."""
-    side = lambda s, f: F.col(s)[f]
-    checks = [
-        (F.col("task_id").isNull() | (F.length("task_id") == 0), "task_id"),
-        (F.col("ledger").isNull(), "ledger"),
-        (side("ledger", "amount").isNull() & F.col("ledger").isNotNull(), "ledger.amount"),
-        (F.col("statement").isNotNull() & side("statement", "amount").isNull(), "statement.amount"),
-    ]
+    """Codes of what breaks the wire contract in a pair; an empty array for a sound one.  Dates are left as text (they are judged later)."""
+    there = {"ledger": F.col("ledger").isNotNull(), "statement": F.col("statement").isNotNull()}
+    checks = [(F.col("task_id").isNull() | (F.length("task_id") == 0), "task_id"), (~there["ledger"], "ledger")]
+    for side, is_there in there.items():
+        of = F.col(side)
+        checks.append((is_there & ~F.coalesce(of["message_type"].isin(*MESSAGE_TYPES), F.lit(False)), f"{side}.message_type"))
+        checks += [(is_there & of[f].isNull(), f"{side}.{f}") for f in ("ref", "amount", "ccy", "value_date", "counterparty")]
     if "difficulty" in pair.columns:
-        checks.append((~F.coalesce(F.col("difficulty").between(0.0, 2.0), F.lit(True)), "difficulty"))
-    return F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in checks]))
+        checks.append((~F.col("difficulty").between(0.0, 2.0), "difficulty"))
+    if "expected" in pair.columns:
+        e = F.col("expected")
+        checks += [(e.isNotNull() & ~F.coalesce(e[f].isin(*known), F.lit(False)), f"expected.{f}") for f, known in (("verdict", VERDICTS), ("severity", SEVERITIES))]
+        checks += [(e.isNotNull() & e[f].isNull(), f"expected.{f}") for f in ("explanation", "resolution")]
+    return _codes(checks)
+
+
+def verdict_violations(v: Column) -> Column:
+    """Codes of what breaks the contract of a verdict(verdict, exception_type, severity, confidence, reason, resolution, review_state)."""
+    unknown = lambda f, known: ~F.coalesce(v[f].isin(*known), F.lit(False))
+    return _codes(
+        [
+            (unknown("verdict", VERDICTS), "verdict"),
+            (v["exception_type"].isNotNull() & unknown("exception_type", TYPES), "exception_type"),
+            (unknown("severity", SEVERITIES), "severity"),
+            (~F.coalesce(v["confidence"].between(0.0, 1.0), F.lit(False)), "confidence"),
+            (~F.coalesce(F.length(v["reason"]).between(1, REASON), F.lit(False)), "reason"),
+            (unknown("resolution", RESOLUTIONS), "resolution"),
+            (v["review_state"].isNotNull() & unknown("review_state", STATES), "review_state"),
+        ]
+    )
+
+
+def resolution_violations(task_id: Column, decision: Column, note: Column) -> Column:
+    """Codes of what breaks the contract of a reviewer's answer."""
+    return _codes([(task_id.isNull(), "task_id"), (~F.coalesce(decision.isin("APPROVE", "REJECT", "CHANGE"), F.lit(False)), "decision"), (F.length(note) > NOTE, "note")])
+
+
+def prompt(ledger: Column, statement: Column) -> Column:
+    """The two records as a question's text: keys in order, one a line, a missing record as null."""
+    side = lambda s: F.when(s.isNull(), "null").otherwise(F.to_json(s, {"pretty": "true", "ignoreNullFields": "false"}))
+    return F.concat(F.lit("Ledger entry:\n"), side(ledger), F.lit("\n\nBank statement:\n"), side(statement))
 
 
-def vote(samples: Column) -> Column:
-    """The most frequent sample by whole equality; of equally frequent ones that first met from the second on."""
-    return F.transform(F.array_distinct(samples), lambda s: F.struct(F.size(F.filter(samples, lambda x: x == s)).alias("n"), s.alias("sample")))
+def loose_object(text: Column, schema: str) -> Column:
+    """What stands between the first opening and the last closing brace of a reply, parsed; null where that is no object."""
+    return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), schema)
 
 
-__all__ = ["fold_review", "normalise", "override", "route", "route_reason", "violations", "vote"]
+__all__ = ["fold_review", "loose_object", "normalise", "override", "prompt", "resolution_violations", "route", "route_reason", "verdict_violations", "violations"]

@@ -131,6 +131,46 @@ def top_confusions(rows: DataFrame, k: int = 3) -> DataFrame:
     return wrong.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def class_summary(rows: DataFrame, k: int = 3) -> DataFrame:
+    """class, n, correct, recall and its k most frequent confusions, as (label, n) in falling order; ties by the labels' order."""
+    cells = rows.groupBy(F.col("kind").alias("class"), predicted_label().alias("label")).agg(F.count(F.lit(1)).alias("cell"))
+    place = F.array_position(F.array(*map(F.lit, LABELS)), F.col("label"))
+    wrong = F.when(F.col("label") != F.col("class"), F.struct((-F.col("cell")).alias("c"), place.alias("p"), F.col("label").alias("label")))
+    by = cells.groupBy("class").agg(
+        F.sum("cell").alias("n"), F.coalesce(F.sum(F.when(F.col("label") == F.col("class"), F.col("cell"))), F.lit(0)).alias("correct"), F.slice(F.array_sort(F.collect_list(wrong)), 1, k).alias("worst")
+    )
+    confusions = F.array_join(F.transform("worst", lambda w: F.concat(w["label"], F.lit(":"), (-w["c"]).cast("string"))), " ")
+    return by.select("class", "n", "correct", share(F.col("correct"), F.col("n")).alias("recall"), confusions.alias("top_confusions"))
+
+
+def pilot(rows: DataFrame) -> DataFrame:
+    """How a verifier agrees with the labels of rows(task_id, difficulty, expected, kind, by seed): one row a seed.
+
+    ``expected`` and ``kind`` are 'MATCH' or a type; recall is weighted, by the severity of the expected type.
+    """
+    weight, ex = weight_of(F.col("expected")), F.col("expected") != "MATCH"
+    caught = F.when(severity_of(F.col("expected")) == "HIGH", F.col("kind") != "MATCH").otherwise(F.col("kind") == F.col("expected"))
+    same = n_of(F.col("kind") == F.col("expected"))
+    return rows.groupBy("seed").agg(
+        F.count(F.lit(1)).alias("n"), same.alias("agreed"), F.round(same / F.count(F.lit(1)), ROUND).alias("oracle_agreement"), n_of(ex).alias("exceptions"),
+        F.round(F.coalesce(F.try_divide(F.sum(F.when(ex & caught, weight)), F.sum(F.when(ex, weight))), F.lit(0.0)), ROUND).alias("weighted_recall"),
+        F.round(F.avg("difficulty"), ROUND).alias("difficulty_mean"), F.min("difficulty").alias("difficulty_min"), F.max("difficulty").alias("difficulty_max"),
+    )
+
+
+def pilot_distribution(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("seed", "expected").agg(F.count(F.lit(1)).alias("n"))
+
+
+def disagreements(rows: DataFrame) -> DataFrame:
+    return rows.where("kind <> expected").select("seed", "task_id", "expected", "kind")
+
+
+def pilots(by_seed: DataFrame) -> DataFrame:
+    """Of several seeds the least agreement."""
+    return by_seed.agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("n"), F.min("oracle_agreement").alias("oracle_agreement_min"))
+
+
 def accuracy(rows: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return rows.agg(n.alias("n"), share(n_of(correct()), n).alias("accuracy"), share(n_of(F.col("p_verdict").isNotNull()), n).alias("parse_rate"))

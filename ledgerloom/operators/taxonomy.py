@@ -17,6 +17,7 @@ TAXONOMY = (
     ("DUPLICATE", 0.2, "LOW", "auto-adjust", "statement duplicates booked instruction"),
     ("FIELD_CORRUPTION", 0.2, "LOW", "flag-review", "malformed field on one side"),
 )
+#: Fixed: the same of a pair without an exception, and the closed vocabularies of verdicts, severities, resolutions, currencies and messages.
 MATCH = ("MATCH", 0.0, "LOW", "auto-adjust", "fields agree within tolerance")
 TYPES = tuple(t[0] for t in TAXONOMY)
 VERDICTS = ("MATCH", "EXCEPTION", "ESCALATE")

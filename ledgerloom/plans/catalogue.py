@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, events, reconciliation  # noqa: F401  each registers its queries
+from . import artifacts, corpus, events, payments, reconciliation  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -207,17 +207,6 @@ def token_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(T.stem(F.col("w")).alias("stem")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def camel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", T.split_name(F.initcap("p_name")).alias("name"), T.split_name("p_brand").alias("brand"))
-
-
-@query()
-def sentence_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentence with the first trigger of each fact found."""
-    return triples(spark, sf_dir).select("source", "head", "evidence")
-
-
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(repair.chunked(F.col("text"))).alias("chunk", "piece"))

@@ -52,7 +52,7 @@ def ledger_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REVIEWS = (
-    "WITH acts AS (SELECT user_id AS task_id, ts AS tm, event_id AS n, CASE event_id % 5 WHEN 0 THEN 'resolve' WHEN 1 THEN 'timeout' ELSE 'open' END AS act FROM events),"
+    "WITH acts AS (SELECT user_id AS task_id, ts AS tm, event_id AS n, CASE WHEN user_id % 7 <> 0 AND event_id % 5 = 0 THEN 'resolve' WHEN user_id % 7 <> 0 AND event_id % 5 = 1 THEN 'timeout' ELSE 'open' END AS act FROM events),"
     " opened AS (SELECT task_id, tm AS o_tm, n AS o_n FROM acts WHERE act = 'open' QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY tm, n) = 1),"
     " after AS (SELECT a.task_id, act, row_number() OVER (PARTITION BY a.task_id ORDER BY tm, n) AS nth, count(*) OVER (PARTITION BY a.task_id) AS ends FROM acts a JOIN opened USING (task_id) WHERE act <> 'open' AND (tm > o_tm OR (tm = o_tm AND n > o_n))),"
     " reviews AS (SELECT o.task_id, o_tm AS opened_at, CASE act WHEN 'resolve' THEN 'resolved' WHEN 'timeout' THEN 'timed_out' ELSE 'pending' END AS status, CAST(greatest(coalesce(ends, 0) - 1, 0) AS BIGINT) AS refused"
@@ -60,12 +60,17 @@ _REVIEWS = (
 )
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def review_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings, and for most tasks (those with an id that seven does not divide) endings too."""
     i = F.col("event_id")
-    acts = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("task_id"), F.col("ts").alias("at"), i.alias("n"), F.when(i % 5 == 0, "resolve").when(i % 5 == 1, "timeout").otherwise("open").alias("action")
+    ends = F.col("user_id") % 7 != 0
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("task_id"), F.col("ts").alias("at"), i.alias("n"), F.when(ends & (i % 5 == 0), "resolve").when(ends & (i % 5 == 1), "timeout").otherwise("open").alias("action")
     )
-    return ledger.fold_reviews(acts, "task_id", "at", "n")
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.fold_reviews(review_acts(spark, sf_dir), "task_id", "at", "n")
 
 
 @query(_REVIEWS + "SELECT * FROM reviews")

@@ -11,9 +11,22 @@ def canonical(columns: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
+def write_named(lines: DataFrame, folder: str, name: str) -> None:
+    """A bounded table of one text column as one file of that name: written by one task, then renamed."""
+    spark, tmp = lines.sparkSession, f"{folder}/_{name}"
+    lines.coalesce(1).write.mode("overwrite").text(tmp)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(tmp).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(path(tmp)) if f.getPath().getName().startswith("part-"))
+    fs.delete(path(f"{folder}/{name}"), False)
+    fs.rename(part, path(f"{folder}/{name}"))
+    fs.delete(path(tmp), True)
+
+
 def write_artifact(one_row: DataFrame, path: str) -> None:
-    """A summary of one row as one line of canonical JSON."""
-    one_row.select(canonical(one_row.columns).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """A summary of one row as a file of one line of canonical JSON."""
+    folder, _, name = path.rpartition("/")
+    write_named(one_row.select(canonical(one_row.columns).alias("value")), folder, name)
 
 
 def write_split(rows: DataFrame, path: str, key: str = "task_id") -> None:
