@@ -42,8 +42,8 @@ from .scratch import stage
 GRAMS = 1 << 15
 #: No language; one of the languages that share a model, where the row does not say which.
 UNKNOWN, RARE = "und", "mis"
-#: Languages with a model of their own, by rows that declare them.
-LANGUAGES = 64
+#: Languages with a model of their own, by rows that declare them; bytes of a table that is broadcast.
+LANGUAGES, SMALL = 64, 32 << 20
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,14 @@ def fuse(scored: DataFrame, languages: list[str], prior: float = 5.0, least: flo
         return n.select(F.col(column).alias(f"of_{column}"), F.zip_with("c", F.lit(overall), lambda c, t: F.log((c + 0.5) / (t + 0.5 * (m + 1)))).alias(f"{column}_log"))
 
     def beside(rows: DataFrame, told: DataFrame, column: str) -> DataFrame:
-        """rows with what is told of a column's values; rows without a value are dealt out, as they meet nothing."""
+        """rows with what is told of a column's values.
+
+        A table of few values is broadcast, so that the rows of a hot one stay where they are.  Else rows are dealt
+        by value, those without one being dealt out, as they meet nothing.
+        """
+        told = stage(told, f"language-{column}").df
+        if told.count() * 8 * (m + 4) <= SMALL:
+            return rows.join(F.broadcast(told), F.col(column) == F.col(f"of_{column}"), "left")
         dealt = F.coalesce(F.col(column), F.concat(F.lit("\0"), F.pmod(F.hash("key", "scores"), F.lit(4096)).cast("string")))
         return rows.join(told, dealt == F.col(f"of_{column}"), "left")
 
