@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text worked on at once (a longer text is worked on alone).
-SLICE = 1 << 20
+#: Bytes of text worked on at once (a longer text is worked on alone); an operator holds some hundred times as much.
+SLICE = 1 << 18
 #: Odd, so that it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 
