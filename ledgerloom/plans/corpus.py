@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import contamination, evidence, repair, split
 from .registry import query, table
+from .views import VERIFIED, verified
 
 #: Rules over the words of the driver's documents.
 FACTS = [
@@ -129,18 +130,26 @@ def passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_.union(brief)
 
 
+_CLASSES = (
+    "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),"
+    " s AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) END AS s FROM w),"
+    " m AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS class_id FROM s), c AS (SELECT class_id AS c, unnest(s) AS g, len(s) AS n FROM m WHERE doc_id = class_id),"
+    " p AS (SELECT x.c AS a, y.c AS b, count(*)::DOUBLE / (max(x.n) + max(y.n) - count(*)) AS j FROM c x JOIN c y ON x.g = y.g AND x.c < y.c GROUP BY ALL) "
+)
+
+
 def near_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination.near_duplicates(rows, "doc_id", T.word_shingles(F.col("text")))
 
 
-@query()
+@query(_CLASSES + "SELECT a, b, round(j, 4) AS similarity FROM p WHERE j >= 0.8")
 def near_dup_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of classes of documents whose sets of five-word shingles are 0.8 alike or more; a class has equal sets."""
     return near_classes(spark, sf_dir)[0]
 
 
-@query()
+@query(_CLASSES + "SELECT doc_id, class_id FROM m")
 def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of each document: the least id of those with its set of five-word shingles."""
     return near_classes(spark, sf_dir)[1].select(F.col("key").alias("doc_id"), F.col("class").alias("class_id"))
@@ -213,11 +222,12 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "chunk", F.length("piece").alias("n_chars"), F.sha2("piece", 256).alias("signature"))
 
 
-@query()
+@query(
+    VERIFIED + "SELECT task_id, CASE k % 4 WHEN 3 THEN NULL WHEN 2 THEN left(verdict, length(verdict) - 1) ELSE verdict END AS verdict, CASE WHEN k % 4 <> 3 AND kind <> 'MATCH' THEN kind END AS exception_type,"
+    " CASE WHEN k % 4 <> 3 THEN severity END AS severity FROM verified"
+)
 def repair_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts read back from replies that are fenced, chatty or cut off."""
-    from .views import verified
-
     rows = verified(spark, sf_dir).select("k", "task_id", "kind", "verdict", "severity", "resolution", "reason")
     whole = split.verdict_json(F.col("verdict"), F.when(F.col("kind") != "MATCH", F.col("kind")), F.col("severity"), F.col("resolution"), F.col("reason"))
     told = F.when(F.col("k") % 4 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(F.col("k") % 4 == 1, F.concat(F.lit("My verdict {is}: "), whole, F.lit(" I am sure.")))

@@ -29,10 +29,16 @@ def _readable(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+#: Parts of the ledger by task: a batch reads those only that its tasks fall in.
+PARTS = 256
+
+
 def run(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Drains a folder of pairs into ``target``: ledger, verdicts, exceptions, escalations, dead.
 
-    The ledger takes the first entry of each task only, so a batch that is run again adds nothing.
+    The ledger takes the first entry of each task only, so a batch that is run again adds nothing, and only
+    what it takes is routed on.  What breaks the contract goes to ``dead`` with its codes; if it has a task,
+    the ledger gets an entry of the system's for it, an escalation of a corrupt record.
     """
 
     def land(batch: DataFrame, number: int) -> None:
@@ -41,11 +47,19 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str) -> Strea
         checked.where(bad).select("task_id", "codes", "_corrupt_record").write.mode("overwrite").parquet(f"{target}/dead/batch={number}")
         routed = decide(checked.where(~bad).drop("codes", "_corrupt_record"))
         entries = routed.select("task_id", "created_at", "event_id", "verdict", F.when(F.col("kind") != "MATCH", F.col("kind")).alias("kind"), "severity", F.lit("model").alias("source"), "route", "why")
-        held = f"{target}/ledger"
-        before = spark.read.parquet(held).where(F.col("batch") != number) if _readable(spark, held) else entries.limit(0)
+        lit = lambda value, name: F.lit(value).alias(name)
+        lost = checked.where(bad & F.col("task_id").isNotNull()).select(
+            "task_id", "created_at", "event_id", lit("ESCALATE", "verdict"), lit("FIELD_CORRUPTION", "kind"), lit("LOW", "severity"), lit("system", "source"), lit("DEAD", "route"), F.array_join("codes", ",").alias("why")
+        )
+        entries = entries.union(lost).withColumn("part", F.pmod(F.xxhash64("task_id"), F.lit(PARTS)).cast("int"))
+        held, parts = f"{target}/ledger", [r["part"] for r in entries.select("part").distinct().collect()]
+        there = _readable(spark, held)
+        before = spark.read.parquet(held).where((F.col("batch") != number) & F.col("part").isin(parts)) if there else entries.limit(0)
         new = append_new(before, entries, "task_id", "created_at", "event_id")
-        new.write.mode("overwrite").parquet(f"{held}/batch={number}")
-        for name, keep in (("escalations", "route = 'ESCALATE'"), ("exceptions", "route = 'EXCEPTION'"), ("verdicts", "route <> 'ESCALATE'")):
-            entries.where(keep).write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+        new.write.mode("overwrite").partitionBy("part").parquet(f"{held}/batch={number}")
+        if _readable(spark, f"{held}/batch={number}") and parts:
+            taken = spark.read.schema(new.schema).parquet(f"{held}/batch={number}").drop("part")
+            for name, keep in (("escalations", "route = 'ESCALATE'"), ("exceptions", "route = 'EXCEPTION'"), ("verdicts", "route IN ('EXCEPTION', 'VERDICT')")):
+                taken.where(keep).write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
 
     return incoming(spark, source).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

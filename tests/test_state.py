@@ -162,15 +162,16 @@ def test_pipeline_runs_twice_without_doubling(spark, tmp_path):
     source, target = tmp_path / "in", f"{tmp_path}/out"
     source.mkdir()
     tasks = [{"task_id": f"t{i}", "ledger": LEDGER, "statement": {**STATEMENT, "amount": "1250.00" if i % 2 else "9.00"}, "event_id": f"e{i}", "created_at": "2026-01-01T00:00:00Z"} for i in range(6)]
-    (source / "a.json").write_text("\n".join(map(json.dumps, tasks)) + "\n{broken\n" + json.dumps({"task_id": "x"}) + "\n")
+    (source / "a.json").write_text("\n".join(map(json.dumps, tasks)) + "\n{broken\n" + json.dumps({"task_id": "x"}) + "\n" + json.dumps({**tasks[1], "task_id": "odd", "difficulty": 9.0, "ledger": {**LEDGER, "fx_rate": 1e300}}) + "\n")
     for name in ("b.json",):
         pipeline.run(spark, str(source), target, f"{tmp_path}/cp").awaitTermination()
         (source / name).write_text(json.dumps(tasks[0]) + "\n")
         pipeline.run(spark, str(source), target, f"{tmp_path}/cp").awaitTermination()
     held = spark.read.parquet(f"{target}/ledger")
-    assert held.count() == 6 and held.select("task_id").distinct().count() == 6
-    assert spark.read.parquet(f"{target}/escalations").count() == 4
-    assert spark.read.parquet(f"{target}/dead").count() == 2
+    assert held.where("source = 'model'").count() == 6 and held.select("task_id").distinct().count() == held.count() == 8
+    assert [tuple(r) for r in held.where("source = 'system'").select("task_id", "verdict", "kind").orderBy("task_id").collect()] == [("odd", "ESCALATE", "FIELD_CORRUPTION"), ("x", "ESCALATE", "FIELD_CORRUPTION")]
+    assert spark.read.parquet(f"{target}/escalations").count() == 3 and spark.read.parquet(f"{target}/verdicts").count() == 3
+    assert spark.read.parquet(f"{target}/dead").count() == 3
 
 
 def test_files_round_trip(spark, tmp_path):
