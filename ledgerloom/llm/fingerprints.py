@@ -15,7 +15,9 @@ Sketches are made in one pass and written, four bytes a
 hash; the texts are shuffled once, by id, and the beginnings, a quarter of that, once more.  The next id comes
 from windows over ranges of ids, whose edges are joined from one row a range.
 
-Nulls: a null text is empty; a null id sorts first.  Rows that share an id keep a row each; they have
+``anchors`` tells where each anchor stands, which places a passage that two texts share.
+
+Nulls: a null text is empty; a null id sorts first, and the id -2**63 counts as null.  Rows that share an id keep a row each; they have
 the same next document, and where that id is repeated its least text serves.  An only document is its
 own next one.  An empty table gives an empty result.  Other columns are not read.
 """
@@ -102,6 +104,13 @@ def sketch(body: Column) -> Column:
     return F.when(F.octet_length(body) < SHORT, short).otherwise(anchor_sketch(body, anchor_places(body)))
 
 
+def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, at (bytes before it) and hash of every anchor of each row; texts too short for a k-mer have none."""
+    held = lambda body: _let(anchor_places(body), lambda places: F.transform(places, lambda at: F.struct((at - 1).alias("at"), _hash(body, at, K).alias("hash"))))
+    found = F.explode(_let(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), held))
+    return docs.select(F.col(key).alias("key"), found.alias("a")).select(F.col("key").alias(key), "a.at", "a.hash")
+
+
 def shown(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
 

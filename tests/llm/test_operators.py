@@ -299,6 +299,40 @@ def test_fingerprints(docs, texts, awkward):
     assert own[5]["near_next"] == 1.0
 
 
+def brute_sketch(b: bytes) -> tuple[list[int], list[int]]:
+    """Places of the closed syncmers and the fingerprint's hashes, from the definition."""
+    h = lambda x: xxhash.xxh64_intdigest(x, 42) & 0xFFFFFFFF
+    at = []
+    for i in range(len(b) - 11):
+        inner = [h(b[i + j : i + j + 5]) for j in range(8)]
+        if min(inner) in (inner[0], inner[-1]):
+            at.append(i)
+    if len(b) >= 24:
+        hashes = {h(b[i : i + 12]) for i in at}
+    else:
+        hashes = {h(b[i : i + 4]) for i in range(len(b) - 3)} if len(b) >= 4 else {h(b)} if b else set()
+    return at, sorted(hashes)[:48]
+
+
+def test_fingerprints_are_closed_syncmers_by_definition(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9)))
+    passage = " ".join(word() for _ in range(40))
+    texts = ["", "ab", "abcdefg", "x" * 23, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "é" * 30, passage, word() + passage, " ".join(word() for _ in range(300)) + passage + word()]
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.edit_check(rows).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == "".join(f"{h:08x}" for h in brute_sketch(t.encode())[1]), t[:30]
+    assert got[99] == ""
+    places: dict = {}
+    for r in fingerprints.anchors(rows).collect():
+        places.setdefault(r["doc_id"], []).append(r["at"])
+    assert {i: sorted(p) for i, p in places.items()} == {i: p for i, t in enumerate(texts) if (p := brute_sketch(t.encode())[0])}
+    # a passage has the same anchors wherever it stands
+    begin = texts[8].encode().index(passage.encode())
+    assert [a - begin for a in sorted(places[8]) if begin <= a <= begin + len(passage) - 12] == sorted(places[6])
+
+
 def test_merged_edited_fingerprint_is_that_of_the_edited_text(spark, docs, texts):
     rows = fingerprints.edit_check(docs).select("doc_id", "edited_fingerprint").collect()
     ids = sorted(texts)
