@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.ledger import append_new
 from ..operators.routing import route, route_reason, violations
@@ -54,7 +55,8 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str) -> Strea
         entries = entries.union(lost).withColumn("part", F.pmod(F.xxhash64("task_id"), F.lit(PARTS)).cast("int"))
         held, parts = f"{target}/ledger", [r["part"] for r in entries.select("part").distinct().collect()]
         there = _readable(spark, held)
-        before = spark.read.parquet(held).where((F.col("batch") != number) & F.col("part").isin(parts)) if there else entries.limit(0)
+        written = StructType([*entries.schema.fields, StructField("batch", IntegerType())])  # a batch may have written no row
+        before = spark.read.schema(written).parquet(held).where((F.col("batch") != number) & F.col("part").isin(parts)) if there else entries.limit(0)
         new = append_new(before, entries, "task_id", "created_at", "event_id")
         new.write.mode("overwrite").partitionBy("part").parquet(f"{held}/batch={number}")
         if _readable(spark, f"{held}/batch={number}") and parts:

@@ -174,6 +174,18 @@ def test_pipeline_runs_twice_without_doubling(spark, tmp_path):
     assert spark.read.parquet(f"{target}/dead").count() == 3
 
 
+def test_a_first_batch_of_broken_lines_only_stops_nothing(spark, tmp_path):
+    from tests.test_verify import LEDGER, STATEMENT
+
+    source, target = tmp_path / "in", f"{tmp_path}/out"
+    source.mkdir()
+    (source / "a.json").write_text("{broken\n")
+    pipeline.run(spark, str(source), target, f"{tmp_path}/cp").awaitTermination()
+    (source / "b.json").write_text(json.dumps({"task_id": "t", "ledger": LEDGER, "statement": STATEMENT, "event_id": "e", "created_at": "2026-01-01T00:00:00Z"}) + "\n")
+    pipeline.run(spark, str(source), target, f"{tmp_path}/cp").awaitTermination()
+    assert spark.read.parquet(f"{target}/ledger").count() == 1 and spark.read.parquet(f"{target}/verdicts").count() == 1
+
+
 def test_files_round_trip(spark, tmp_path):
     from tests.test_verify import LEDGER, STATEMENT
 
