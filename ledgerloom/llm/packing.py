@@ -32,7 +32,7 @@ from .scratch import stage
 #: Pieces of one length in one window, and most windows in all: beyond so many, windows grow.
 BUCKET_ROWS, BUCKETS = 250, 4_000_000
 #: Distinct words, and parts of words, whose ids a Python worker keeps.
-WORDS_KEPT, PARTS_KEPT = 50_000, 100_000
+WORDS_KEPT, PARTS_KEPT = 200_000, 300_000
 
 #: Fixed: how the vocabulary's pre-tokenizer cuts a lower-cased word, for printable ASCII and Latin-1 letters.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
