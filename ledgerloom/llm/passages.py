@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .bytestext import SLICE, mixed, powers, prefix_sums, span_hashes
 from .collection_bwt import least_owner
-from .scratch import stage, stage_by
+from .scratch import only, stage, stage_by
 
 #: Bytes of text in a bucket; owners' hashes in a group; pieces in a collection.
 BUCKET, GROUP, COLLECTION = 4 << 20, 1 << 20, 4096
@@ -478,6 +478,10 @@ def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_
     The counts are those of the least id's row; ``kept`` (with ``keep_text``, where anything went) is what
     stays when only whole characters go.
     """
+    return only(docs.sparkSession, "passage-texts", lambda: _cut_passages(docs, key, text, keep_text, hot))
+
+
+def _cut_passages(docs: DataFrame, key: str, text: str, keep_text: bool, hot: int) -> DataFrame:
     whole = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = whole // BUCKET + 1
     groups = whole // (GROUP * 13) + 1
@@ -499,7 +503,7 @@ def cut_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_
     told = settled.select("bucket", "h", *none("binary", "piece", "low", "high"), "least", *none("bigint", "g"), *none("binary", "hot"))
     told = told.union(runs.select("bucket", "h", "piece", "low", "high", "least", *none("bigint", "g"), *none("binary", "hot")))
     told = told.union(crowded.select("bucket", *none("binary", "h", "piece", "low", "high", "least"), "g", "hot"))
-    return stage(by_bucket.cogroup(told.groupBy("bucket")).applyInArrow(_cut(keep_text, groups), _CUT), "passage-texts").df
+    return by_bucket.cogroup(told.groupBy("bucket")).applyInArrow(_cut(keep_text, groups), _CUT)
 
 
 def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ class Staged(NamedTuple):
 
 _roots: dict[str, SparkSession] = {}
 _tables: list[str] = []
+#: What has been staged by each build that is under way, the innermost last.
+_frames: list[list[tuple[str, str | None]]] = []
 
 
 def _root(spark: SparkSession) -> str:
@@ -51,17 +54,47 @@ def remove(spark: SparkSession, *paths: str) -> None:
 def stage(df: DataFrame, name: str) -> Staged:
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _note(path)
     df.write.parquet(path)
     return Staged(spark.read.schema(df.schema).parquet(path), path)
 
 
+def _note(path: str, table: str | None = None) -> None:
+    if _frames:
+        _frames[-1].append((path, table))
+
+
+def only(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build() describes, written; what was staged on the way to it goes as soon as it is."""
+    _frames.append([])
+    try:
+        df = build()
+    except BaseException:
+        _clear(spark, _frames.pop())
+        raise
+    mine = _frames.pop()
+    try:
+        return stage(df, name).df
+    finally:
+        _clear(spark, mine)
+
+
+def _clear(spark: SparkSession, staged: list[tuple[str, str | None]]) -> None:
+    for path, table in staged:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            _tables.remove(table)
+        remove(spark, path)
+
+
 def stage_by(df: DataFrame, name: str, column: str, parts: int) -> DataFrame:
     """A table in the shared folder that is dealt by a column once and for all: grouping by it later moves no row."""
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
     table = f"corpus_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.repartition(parts, column).write.bucketBy(parts, column).sortBy(column).option("path", path).saveAsTable(table)
+    _note(path, table)
     _tables.append(table)
+    df.repartition(parts, column).write.bucketBy(parts, column).sortBy(column).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
