@@ -24,10 +24,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts come to about SLICE bytes."""
+def slices(batch: pa.RecordBatch, column: int = 1, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts come to about so many bytes."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    cut = np.cumsum(sizes) // SLICE
+    cut = np.cumsum(sizes) // size
     starts = np.flatnonzero(np.diff(cut, prepend=-1)).tolist()
     for a, b in zip(starts, [*starts[1:], batch.num_rows]):
         yield batch.slice(a, b - a)

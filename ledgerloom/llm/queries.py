@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, languages, licenses, mixing, packing, passages, quality, sharding, simhash, topk
+from . import bpe, fingerprints, languages, licenses, middles, mixing, packing, passages, quality, sharding, simhash, topk, whitening
 
 #: Where the public vocabulary files live; None asks the installed package.
 TOKENIZERS: str | None = None
@@ -86,6 +86,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), capacity=2048)
 
 
+def op11_chan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the first eight components of their covariance, each to unit variance."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents, and of the texts that these decode to."""
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary())
+    decoded = bpe.decode(encoded.withColumn("ids_sha256", F.sha2("ids", 256)), vocabulary())
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rewritten with a middle of whole lines last, and rebuilt from that."""
+    made = middles.fill_in_middle(_table(spark, sf_dir, "documents"))
+    restored = F.sha2(middles.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", restored)
+
+
 QUERIES = {
     "op1_consistent_ring": op1_consistent_ring,
     "op2_license_scan": op2_license_scan,
@@ -98,6 +117,9 @@ QUERIES = {
     "op8_ball_tree_topk": op8_ball_tree_topk,
     "op9_factorization_quality": op9_factorization_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_chan_whitening": op11_chan_whitening,
+    "op12_trie_bpe": op12_trie_bpe,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
