@@ -5,7 +5,8 @@ and statistics of structure and length (shares of capitals, digits, symbols, rep
 lines, ...), each as a number and as the bucket it falls into; the declared length is metadata.  The
 score is  w0 + sum w x + 1/2 sum_f [(sum v x)^2 - sum v^2 x^2],  linear in the number of features.
 
-The machine is fitted on at most ``train_rows`` labelled rows, those with the least hash of their id;
+The machine is fitted on at most ``train_rows`` labelled rows, one for each of the ids with the least hash (of rows
+that share an id, the one of least hash, whatever their number);
 the model's size is fixed by its tables and it is broadcast.  Every row is scored from its whole text
 in one pass without a shuffle.
 
@@ -178,7 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int, key: str, text: s
         labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.min(label).cast("double").alias("label"))
         .orderBy(F.xxhash64(key), key).limit(train_rows)
     )
-    rows = docs.select(key, F.col(text).alias("text"), _declared(docs, declared)).join(F.broadcast(chosen), key)
+    rows = docs.select(F.col(key).alias(key), F.col(text).alias("text"), _declared(docs, declared)).join(F.broadcast(chosen), key)
+    # an id that many rows have counts as one: that of the least hash, found where the rows are and then among tasks
+    rows = rows.groupBy(key).agg(F.min_by(F.struct("label", "text", "declared"), F.struct(F.xxhash64("text", "declared"), "declared")).alias("one")).select("one.*")
     featured = rows.select("label", "text", "declared").mapInArrow(_featured, "label double, ids array<int>, values array<float>")
     fitted = featured.groupBy(F.lit(0).alias("one")).applyInPandas(_trained, "model binary").collect()
     if not fitted:

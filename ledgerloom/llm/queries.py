@@ -125,13 +125,13 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op8_ball_tree_topk": """
         WITH v AS (
-            SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+            SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS q FROM embeddings
             WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT a.r, a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+            SELECT a.r, a.vec_id AS query_id, b.vec_id AS vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS score
             FROM v AS a JOIN v AS b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
         )
-        SELECT query_id, rank, vec_id, score FROM (
+        SELECT query_id, rank, vec_id, CAST(score AS BIGINT) AS score FROM (
             SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s
         ) WHERE rank <= 5
     """,

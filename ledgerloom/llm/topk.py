@@ -12,6 +12,11 @@ their k-th score, and the child with the higher bounds first, so that scores fou
 other.  Equal bounds are still opened, so ties go to smaller ids.  The best k of each shard meet in one
 aggregation by query.
 
+Scores are exact integers.  Where the norms of a block's queries and of a shard's vectors multiply to less than
+2**53, products of doubles are; beyond that components are multiplied as 64-bit integers, or as unbounded ones
+where these could overflow, and pruning bounds have a margin for their rounding.  Components saturate at
+2**56 either way, so a score has 38 digits at most; one that does not fit a long is null, its rank right.
+
 A query is a row: it excludes itself only, so another row of its id is a candidate, and each query row
 of a repeated id has a result of its own.  Vectors that are null, or hold a null, NaN or infinity, take
 no part, neither do those of another length than the query's.  Equal vectors are split by position, so
@@ -22,6 +27,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,8 @@ from .scratch import shuffle_partitions, stage
 
 #: Bytes of vectors, as doubles, in a shard and in a query block; vectors of a tree's leaf.
 SHARD_BYTES, BLOCK_BYTES, LEAF = 32 << 20, 8 << 20, 128
+#: Greatest component; products below EXACT are exact in doubles.
+MOST, EXACT, _WIDE = 1 << 56, float(1 << 53), "decimal(38,0)"
 
 
 class BallTree:
@@ -60,36 +68,54 @@ class BallTree:
 
 
 class Search:
-    """The best k of a shard for each query of a block; ``order`` ranks vectors of equal score, ``own`` is a query's place here or -1."""
+    """The best k of a shard for each query of a block; ``order`` ranks vectors of equal score, ``own`` is a query's place here or -1.
+
+    x and q are integers; ``floor`` is a score that each query is known to reach, or a little less.
+    """
 
     def __init__(self, x: np.ndarray, order: np.ndarray, q: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int, leaf: int = LEAF) -> None:
-        self.x, self.order, self.q, self.own, self.k = x, order, q, own, k
-        self.tree, self.norm = BallTree(x, leaf), np.linalg.norm(q, axis=1)
-        self.kth = floor.copy()
-        self.best_s = np.full((len(q), k), -np.inf)
+        self.order, self.own, self.k, self.queries = order, own, k, q.astype(float)
+        near = x.astype(float)
+        self.tree, self.norm = BallTree(near, leaf), np.linalg.norm(self.queries, axis=1)
+        greatest = float(self.norm.max(initial=0.0)) * float(np.linalg.norm(near, axis=1).max(initial=0.0))
+        self.wide = greatest >= EXACT
+        kind = object if greatest >= 2.0**62 else np.int64
+        self.x, self.q = (x.astype(np.int64).astype(kind), q.astype(np.int64).astype(kind)) if self.wide else (near, self.queries)
+        self.kth = np.nextafter(floor, -np.inf) if self.wide else floor.copy()
+        self.best_s = np.full((len(q), k), -np.inf, object if self.wide else float)
         self.best_i = np.full((len(q), k), -1)
         self.opened = 0
-        self.seen: list[tuple[int, np.ndarray]] = []
 
     def bound(self, node: int, who: np.ndarray) -> np.ndarray:
-        return self.q[who] @ self.tree.centres[node] + self.norm[who] * (self.tree.radii[node] * (1 + 1e-9)) + 1e-6
+        """No less than any score in a node, whatever the rounding."""
+        centre = self.tree.centres[node]
+        slack = self.tree.radii[node] * (1 + 1e-9) + 1e-9 * float(np.linalg.norm(centre))
+        return self.queries[who] @ centre + self.norm[who] * slack + 1e-6
 
     def open(self, node: int, who: np.ndarray) -> None:
         """Scores a leaf's vectors for some queries and keeps each query's best k."""
         at = self.tree.members[node]
         self.opened += len(who)
-        score = np.rint(self.q[who] @ self.x[at].T)
-        score[at[None, :] == self.own[who][:, None]] = -np.inf
-        hit = np.flatnonzero((score >= self.kth[who][:, None]).any(axis=1))
+        score = self.q[who] @ self.x[at].T
+        mine = at[None, :] == self.own[who][:, None]
+        if not self.wide:
+            score[mine] = -np.inf
+        hit = np.flatnonzero(((score >= self.kth[who][:, None]) & ~mine).any(axis=1))
         if not len(hit):
             return
         rows = who[hit]
-        s = np.concatenate([self.best_s[rows], score[hit]], axis=1)
         i = np.concatenate([self.best_i[rows], np.broadcast_to(at, (len(rows), len(at)))], axis=1)
         place = np.where(i >= 0, self.order[i], np.iinfo(np.int64).max)
-        top = np.lexsort((place, -s), axis=1)[:, : self.k]
+        if self.wide:
+            s = np.concatenate([self.best_s[rows], score[hit].astype(object)], axis=1)
+            s[:, self.k :][mine[hit]] = -np.inf
+            top = np.array([sorted(range(s.shape[1]), key=lambda c: (-s[r, c], place[r, c]))[: self.k] for r in range(len(rows))])  # noqa: B023
+        else:
+            s = np.concatenate([self.best_s[rows], score[hit]], axis=1)
+            top = np.lexsort((place, -s), axis=1)[:, : self.k]
         self.best_s[rows], self.best_i[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-        self.kth[rows] = np.maximum(self.kth[rows], self.best_s[rows, -1])
+        last = self.best_s[rows, -1].astype(float)
+        self.kth[rows] = np.maximum(self.kth[rows], np.nextafter(last, -np.inf) if self.wide else last)
 
     def run(self) -> None:
         everyone = np.arange(len(self.q))
@@ -122,12 +148,14 @@ class Search:
             first, second = children if high[0] >= high[1] else children[::-1]
             todo += [(second, who), (first, who)]
 
-    def found(self) -> Iterator[tuple[int, int, float]]:
-        for j, i in zip(*np.nonzero((self.best_i >= 0) & np.isfinite(self.best_s))):
-            yield int(j), int(self.best_i[j, i]), float(self.best_s[j, i])
+    def found(self) -> Iterator[tuple[int, int, int]]:
+        """Query, vector and score."""
+        for j, i in zip(*np.nonzero((self.best_i >= 0) & (self.best_s.astype(float) > -np.inf))):
+            yield int(j), int(self.best_i[j, i]), int(self.best_s[j, i])
 
 
-_FOUND = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.int64())])
+_FOUND = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.decimal128(38, 0))])
+_FOUND_ROW = f"query bigint, vec_id bigint, row bigint, score {_WIDE}"
 
 
 def _searched(k: int, leaf: int):
@@ -139,7 +167,7 @@ def _searched(k: int, leaf: int):
                 part, held = block.filter(pc.equal(wide, width)), shard.filter(pc.equal(pc.list_value_length(shard["x"]), width))
                 if not held.num_rows:
                     continue
-                matrix = lambda c: np.asarray(pc.list_flatten(c.combine_chunks()), dtype=float).reshape(-1, width)  # noqa: E731, B023
+                matrix = lambda c: np.asarray(pc.list_flatten(c.combine_chunks()), dtype=np.int64).reshape(-1, width)  # noqa: E731, B023
                 rows = held["row"].to_numpy()
                 order = np.empty(held.num_rows, np.int64)
                 order[np.asarray(pc.sort_indices(held, [("vec_id", "ascending"), ("row", "ascending")], null_placement="at_end"))] = np.arange(held.num_rows)
@@ -151,7 +179,7 @@ def _searched(k: int, leaf: int):
                 for j, i, score in search.found():
                     out[0].append(int(asked[j]))
                     out[1].append(int(rows[i]))
-                    out[2].append(int(score))
+                    out[2].append(Decimal(score))
         ids = dict(zip(shard["row"].to_pylist(), shard["vec_id"].to_pylist())) if out[0] else {}
         return pa.table({"query": out[0], "vec_id": [ids[r] for r in out[1]], "row": out[1], "score": out[2]}, _FOUND)
 
@@ -167,7 +195,8 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def quantized(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of each component, or null where the vector can take no part."""
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return F.when(whole & (F.size(vector) > 0), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
+    top = F.lit(MOST)
+    return F.when(whole & (F.size(vector) > 0), F.transform(vector, lambda x: F.least(F.greatest(F.floor(x.cast("double") * scale), -top), top)))
 
 
 def top_k(
@@ -187,7 +216,7 @@ def top_k(
 
     def wave(rows: DataFrame, queries: DataFrame) -> DataFrame:
         by = ["shard", "block"]
-        return rows.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(_searched(k, leaf), "query bigint, vec_id bigint, row bigint, score bigint")
+        return rows.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(_searched(k, leaf), _FOUND_ROW)
 
     rows = dealt.select("vec_id", "row", F.col("v").alias("x"), F.col("shard").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     none = F.lit(float("-inf"))
@@ -198,5 +227,5 @@ def top_k(
     best = _best(first.union(rest), k)
     names = held.where("asks").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
     return best.select("query", F.posexplode("top").alias("at", "t")).join(names, "query").select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).alias("score")
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).try_cast("bigint").alias("score")
     )

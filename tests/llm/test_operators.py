@@ -491,6 +491,36 @@ def test_search_over_many_shards(spark):
     assert topk.top_k(table.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_scores_beyond_doubles_are_exact_and_beyond_longs_null(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(1e6 + int(c)) for c in rng.integers(0, 4, 6)]) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 50 == 0).collect()), key=str) == brute_search(rows)
+    con = duckdb.connect()
+    held = table.toPandas()  # noqa: F841
+    con.execute("CREATE TABLE embeddings AS SELECT vec_id, embedding FROM held")
+    want = con.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.ORACLES['op8_ball_tree_topk']})").fetchall()
+    assert sorted(want) == sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 50 == 0).collect()))
+    huge = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [1e12, 3.0]), (3, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 2, None), (0, 2, 1, None), (0, 3, 3, None)]
+
+
+def test_a_hot_id_is_one_row_of_the_fit(spark, monkeypatch):
+    """400 ids, one of them on 20,000 rows: the fit takes 400 rows, and the same ones in any order of the table."""
+    rows = spark.range(20_399).select(F.when(F.col("id") < 399, F.col("id")).otherwise(399).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    was = quality._trained
+    seen = spark.sparkContext.accumulator(0)
+
+    def trained(sample):
+        seen.add(len(sample))
+        return was(sample)
+
+    monkeypatch.setattr(quality, "_trained", trained)
+    one, two = (quality.train(t, labels, 400, "doc_id", "text", "n_chars", "quality") for t in (rows, rows.repartition(7)))
+    assert seen.value == 800 and sorted(one) == sorted(two) and one["w0"] == pytest.approx(two["w0"], abs=0.2)
+
+
 def test_inner_nodes_prune():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(c, 0.05, (256, 8)) * 256 for c in rng.normal(0, 4, (16, 8))])

@@ -123,15 +123,21 @@ def test_fingerprint_edges():
     assert simhash.fingerprint("A b") == simhash.fingerprint("a  B") != simhash.fingerprint("a c")
 
 
-def test_ball_tree_search_is_exact():
+@pytest.mark.parametrize("size", [1, 1 << 24, 1 << 30, 1 << 50])
+def test_ball_tree_search_is_exact(size):
+    """Also where scores are beyond what doubles, or longs, hold exactly: many of them differ by a few units only."""
     rng = np.random.default_rng(7)
-    x = np.floor(rng.normal(0, 40, (900, 8)))
+    x = np.floor(rng.normal(0, 40, (900, 8))).astype(np.int64) + (size if size > 1 else 0)
     x[300:500] = x[0]
-    ids, q = rng.permutation(900), x[::90]
-    for i, found, score in topk.search(x, ids, q, ids[::90], np.full(len(q), -np.inf), 5):
-        s = x @ q[i]
-        order = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[::90][i]][:5]
-        assert found.tolist() == ids[order].tolist() and score.tolist() == s[order].tolist()
+    ids, own = rng.permutation(900), np.arange(0, 900, 90)
+    search = topk.Search(x, ids, x[own], own, np.full(len(own), -np.inf), 5, leaf=32)
+    search.run()
+    got = sorted(search.found(), key=lambda f: (f[0], -f[2], ids[f[1]]))
+    want = []
+    for n, j in enumerate(own):
+        s = [sum(int(a) * int(b) for a, b in zip(x[j], y)) for y in x]
+        want += [(n, i, s[i]) for i in sorted((i for i in range(900) if i != j), key=lambda i: (-s[i], ids[i]))[:5]]
+    assert got == want
 
 
 def test_license_bands_find_what_containment_holds():
