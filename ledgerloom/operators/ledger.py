@@ -64,6 +64,23 @@ def fold_reviews(events: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return opened.join(first, key, "left").select(key, F.col(f"o.{at}").alias("opened_at"), state.alias("status"), F.greatest(F.coalesce("ends", F.lit(0)) - 1, F.lit(0)).cast("bigint").alias("refused"))
 
 
+def deadlines(events: DataFrame, as_of, key: str, at: str, tie: str, hours: int = 24) -> DataFrame:
+    """key, opened_at, status, ended_at, refused of each review when one that nobody ends in time has timed out.
+
+    An ending at the deadline is in time; later ones are refused, as are all but the first.
+    """
+    opened = events.where("action = 'open'").groupBy(key).agg(F.min(F.struct(at, tie)).alias("o"))
+    wait = F.make_dt_interval(hours=F.lit(hours))
+    ends = events.where("action <> 'open'").join(opened, key).where(F.struct(F.col(at), F.col(tie)) > F.col("o"))
+    in_time = F.col(at) <= F.col(f"o.{at}") + wait
+    first = ends.groupBy(key).agg(F.min(F.when(in_time, F.struct(at, tie, "action"))).alias("e"), F.count(F.lit(1)).alias("ends"))
+    due = F.col(f"o.{at}") + wait
+    over = F.col("e").isNull() & (due <= F.lit(as_of).cast("timestamp_ntz"))
+    status = F.when(F.col("e.action") == "resolve", "resolved").when(F.col("e.action") == "timeout", "timed_out").when(over, "timed_out").otherwise("pending")
+    refused = F.coalesce("ends", F.lit(0)) - F.col("e").isNotNull().cast("int")
+    return opened.join(first, key, "left").select(key, F.col(f"o.{at}").alias("opened_at"), status.alias("status"), F.coalesce(F.col(f"e.{at}"), F.when(over, due)).alias("ended_at"), refused.cast("bigint").alias("refused"))
+
+
 def pending(reviews: DataFrame, key: str, limit: int = 100) -> DataFrame:
     """Oldest first; limit from 1 to 1000."""
     if not 1 <= limit <= 1000:

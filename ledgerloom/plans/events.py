@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import drift, ledger
 from ..operators.taxonomy import TYPES
+from ..sources.shared import folder
+from ..streaming import reviews as review_stream
 from ..streaming import windows
 from .registry import query, table
 
@@ -83,6 +85,48 @@ def pending_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.pending(reviews(spark, sf_dir), "task_id")
 
 
+@query(
+    _REVIEWS + ", w AS (SELECT a.*, o_tm + INTERVAL 24 HOUR AS due FROM acts a JOIN opened USING (task_id) WHERE act <> 'open' AND (tm > o_tm OR (tm = o_tm AND n > o_n))),"
+    " e AS (SELECT task_id, count(*) AS ends, min({'tm': tm, 'n': n, 'act': act}) FILTER (tm <= due) AS e FROM w GROUP BY task_id),"
+    " d AS (SELECT o.task_id, o_tm, e, coalesce(ends, 0) AS ends, e IS NULL AND o_tm + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) AS late FROM opened o LEFT JOIN e USING (task_id))"
+    " SELECT task_id, o_tm AS opened_at, CASE WHEN e.act = 'resolve' THEN 'resolved' WHEN e.act = 'timeout' OR late THEN 'timed_out' ELSE 'pending' END AS status,"
+    " coalesce(e.tm, CASE WHEN late THEN o_tm + INTERVAL 24 HOUR END) AS ended_at, ends - CASE WHEN e IS NULL THEN 0 ELSE 1 END AS refused FROM d"
+)
+def review_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of each review at the newest event when nobody's ending in 24 hours is an ending too."""
+    acts = review_acts(spark, sf_dir)
+    return ledger.deadlines(acts, acts.agg(F.max("at")).first()[0], "task_id", "at", "n")
+
+
+#: Parts, by time, in which a table is replayed as a stream.
+SLICES = 3
+
+
+def streamed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happens to the reviews of the events, replayed as a stream that is stopped and started again after each part."""
+    acts, path = review_acts(spark, sf_dir), folder(spark, "reviews")
+    spans = acts.agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    part = F.least(F.floor(SLICES * (F.unix_micros("ts_") - F.col("a_")) / F.greatest(F.col("b_") - F.col("a_"), F.lit(1))), F.lit(SLICES - 1))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    timed = acts.crossJoin(F.broadcast(spans.select(micros("a").alias("a_"), micros("b").alias("b_")))).withColumn("ts_", F.col("at").cast("timestamp"))
+    timed.select(*acts.columns, part.cast("int").alias("part")).write.partitionBy("part").parquet(f"{path}/parts")
+    with review_stream.rocks(spark):
+        for i in range(SLICES):
+            stream = spark.readStream.schema(acts.schema).parquet(f"{path}/parts/part={{{','.join(map(str, range(i + 1)))}}}")
+            told = review_stream.timeouts(stream, "task_id")
+            keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/told/batch={number}")
+            told.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{path}/told")
+
+
+@query(_REVIEWS + "SELECT task_id, opened_at + INTERVAL 24 HOUR AS due_at FROM reviews WHERE status = 'pending' AND opened_at <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
+def streamed_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews whose timer went off on the stream and that nobody has ended since."""
+    told = streamed_reviews(spark, sf_dir)
+    ended = told.where("status = 'refused'").select("task_id").distinct()
+    return told.where("by = 'timer'").join(ended, "task_id", "left_anti").select("task_id", F.col("at").cast("timestamp_ntz").alias("due_at"))
+
+
 _HALVES = "WITH a AS (SELECT event_type, count(*) AS na FROM events WHERE event_id % 10 >= 3 GROUP BY ALL), b AS (SELECT event_type, count(*) AS nb FROM events WHERE event_id % 10 < 3 GROUP BY ALL)," + (
     " f AS (SELECT event_type, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM a FULL JOIN b USING (event_type)), s AS (SELECT *, sum(na) OVER () AS ta, sum(nb) OVER () AS tb FROM f),"
     " p AS (SELECT *, least(greatest(na::DOUBLE / ta, 1e-6), 1.0) AS pa, least(greatest(nb::DOUBLE / tb, 1e-6), 1.0) AS pb FROM s) "
