@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,12 @@ from .bytestext import slices
 from .packing import _PARTS, _PLAIN, _byte_letters, _words
 
 #: Bytes of text in a slice; bytes of words and ids that a worker keeps; borders that it remembers.
-PART, HELD, BORDERS = 1 << 20, 64 << 20, 1_000_000
+PART, HELD, BORDERS = 1 << 20, 128 << 20, 1_000_000
+#: Bytes that a table's entry has beside its letters and ids.
+ENTRY, _SWAP = 180, sys.byteorder == "big"
 _NEVER = 1 << 62
+#: Letters of an ending by which the lengths of possible last tokens are known, and the lengths below it.
+ENDING, _SHORT = 3, (2, 1)
 
 
 class Vocabulary:
@@ -60,8 +66,11 @@ class Vocabulary:
             if self.made.setdefault(self.ids[a + b], (rank, *pair)) != (rank, *pair):
                 raise ValueError("a token has two merges")
         self.edges: tuple[dict, dict] = {}, {}
-        self.stands: dict[tuple[int, int], bool] = {}
+        self.stands: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
+        usable = {t: i for t, i in self.ids.items() if self.is_whole(i)}
+        self.inner = _by_ending({t: i for t, i in usable.items() if not self.end or not t.endswith(self.end)})
+        self.final = _by_ending({t.removesuffix(self.end): i for t, i in usable.items() if t.endswith(self.end)}) if self.end else self.inner
         self.added: dict[str, int] = {}
         for token in self.file.get("added_tokens", []):
             if token["lstrip"] or token["rstrip"] or token["single_word"] or token["normalized"]:
@@ -71,7 +80,6 @@ class Vocabulary:
         self.texts: list[str | None] = [None] * size
         for text, i in [*self.ids.items(), *self.added.items()]:
             self.texts[i] = text
-        self.longest = max(len(t.removesuffix(self.end)) for t in self.ids)
 
     def edge(self, token: int, right: bool) -> list[tuple[int, int]]:
         """The pieces at one edge of a token while it is made, each with the rank of the merge that ends it."""
@@ -118,77 +126,75 @@ class Vocabulary:
             self.whole[token] = found
         return found
 
-    def follows(self, left: int, right: int) -> bool:
-        pair = left, right
-        found = self.stands.get(pair)
-        if found is None:
-            found = self.crossed(left, right) is None
-            if len(self.stands) >= BORDERS:
-                self.stands.clear()
-            self.stands[pair] = found
+    def follows(self, border: int) -> bool:
+        """Whether the border of two tokens (left << 32 | right) stands; remembered."""
+        if len(self.stands) >= BORDERS:
+            self.stands.clear()
+        found = self.stands[border] = self.crossed(border >> 32, border & 0xFFFFFFFF) is None
         return found
 
-    def last(self, path: str, n: int, states: array, end: str = "") -> tuple[int, int]:
+    def last(self, path: str, n: int, states: array, final: bool = False) -> tuple[int, int]:
         """The last token of the first n letters of a path, and its length, from the states of what is before it."""
-        for size in range(min(self.longest, n), 0, -1):
-            token = self.ids.get(path[n - size : n] + end)
-            if token is not None and self.is_whole(token) and (size == n or self.follows(states[n - size], token)):
-                return token, size
+        tokens, sizes = self.final if final else self.inner
+        stands = self.stands
+        for size in sizes.get(path[n - ENDING : n], _SHORT) if n >= ENDING else range(n, 0, -1):
+            token = tokens.get(path[n - size : n]) if size <= n else None
+            if token is not None:
+                if size == n:
+                    return token, size
+                border = states[n - size] << 32 | token
+                found = stands.get(border)
+                if found is None:
+                    found = self.follows(border)
+                if found:
+                    return token, size
         raise KeyError(f"the vocabulary has no token for {path[n - 1]!r}")
 
 
+def _by_ending(tokens: dict[str, int]) -> tuple[dict[str, int], dict[str, tuple[int, ...]]]:
+    """Tokens, and for each ending of ENDING letters the lengths, falling, that tokens with this ending can have."""
+    sizes: dict[str, set[int]] = {}
+    for token in tokens:
+        if len(token) >= ENDING:
+            sizes.setdefault(token[-ENDING:], set(_SHORT)).add(len(token))
+    return tokens, {ending: tuple(sorted(held, reverse=True)) for ending, held in sizes.items()}
+
+
 class Trie:
-    """A trie of words whose branches without a fork are one edge: a word of any length is one node at most, plus one for a fork."""
+    """A trie of distinct words, kept as the words in order and the letters that each shares with the one before.
+
+    That is the trie in depth-first order: a word's nodes are its prefixes, those that it shares with the word before it
+    are there already, and the others come with it.
+    """
 
     def __init__(self, words: Iterable[str] = ()) -> None:
-        self.root: dict = {}
-        for word in words:
-            self.insert(word)
-
-    def insert(self, word: str) -> None:
-        """An entry is [label, children, the word that ends here or None], under its label's first letter."""
-        at, children = 0, self.root
-        while True:
-            entry = children.get(word[at])
-            if entry is None:
-                children[word[at]] = [word[at:], {}, word]
-                return
-            label = entry[0]
-            same, most = 1, min(len(label), len(word) - at)
-            if word.startswith(label[:most], at):
-                same = most
-            else:
-                while label[same] == word[at + same]:
-                    same += 1
-            if same < len(label):
-                below = [label[same:], entry[1], entry[2]]
-                entry[0], entry[1], entry[2] = label[:same], {label[same]: below}, None
-            at += same
-            if at == len(word):
-                entry[2] = word
-                return
-            children = entry[1]
+        self.words = sorted(set(words))
+        self.shared = array("I", [0])
+        for before, word in zip(self.words, self.words[1:]):
+            n, most = 0, min(len(before), len(word))
+            while n < most and before[n] == word[n]:
+                n += 1
+            self.shared.append(n)
 
     def encoded(self, vocabulary: Vocabulary) -> Iterator[tuple[str, array]]:
-        """Each word and its ids, in one depth-first walk; a state is a last token and its length."""
-        states, sizes = array("i", [-1]), array("H", [0])
-        todo = [(0, "", entry) for entry in self.root.values()]
-        while todo:
-            depth, path, (label, children, word) = todo.pop()
-            del states[depth + 1 :], sizes[depth + 1 :]
-            path += label
-            for n in range(depth + 1, len(path) + bool(children)):
-                token, size = vocabulary.last(path, n, states)
+        """Each word and its ids, in one depth-first walk; a state is a last token and its length.
+
+        A node's state is computed once it is needed: a word's last letter has one of its own, as the word ends there.
+        """
+        states, sizes, last = array("i", [-1]), array("H", [0]), vocabulary.last
+        for word, shared in zip(self.words, self.shared):
+            del states[shared + 1 :], sizes[shared + 1 :]
+            for n in range(len(states), len(word)):
+                token, size = last(word, n, states)
                 states.append(token)
                 sizes.append(size)
-            if word is not None:
-                token, size = vocabulary.last(word, len(word), states, vocabulary.end)
-                ids, at = array("I", [token]), len(word) - size
-                while at:
-                    ids.append(states[at])
-                    at -= sizes[at]
-                yield word, ids[::-1]
-            todo += [(len(path), path, entry) for entry in children.values()]
+            token, size = last(word, len(word), states, True)
+            ids, at = array("I", [token]), len(word) - size
+            while at:
+                ids.append(states[at])
+                at -= sizes[at]
+            ids.reverse()
+            yield word, ids
 
 
 #: Fixed: normalizer and pre-tokenizer of vocabularies whose words white space separates and no id shows.
@@ -222,41 +228,47 @@ class Encoder:
         self.added = re.compile("(" + "|".join(map(re.escape, self.vocabulary.added)) + ")") if self.vocabulary.added else None
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Begins anew; added tokens are pieces with a blank before them, which no other piece has."""
+        self.words.clear()
+        self.pieces.clear()
+        self.pieces.update({f" {t}": i.to_bytes(4, "little") for t, i in self.vocabulary.added.items()})
         self.held = 0
 
-    def cut(self, word: str) -> list[str | int]:
-        """The pieces of a word in byte letters, and ids of added tokens."""
+    def cut(self, word: str) -> list[str]:
+        """The pieces of a word in byte letters."""
         if _PLAIN.fullmatch(word) and "<|" not in word:
-            return [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in _PARTS.findall(word.lower())]
-        out: list[str | int] = []
+            found = _PARTS.findall(word.lower())
+            return found if word.isascii() else [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in found]
+        out: list[str] = []
         for k, part in enumerate(self.added.split(word) if self.added else [word]):
             if k % 2:
-                out.append(self.vocabulary.added[part])
+                out.append(f" {part}")
             elif part:
                 out += [p for p, _ in self.parts.pre_tokenizer.pre_tokenize_str(self.parts.normalizer.normalize_str(part))]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Adds the ids of words: what is new of their pieces goes into one trie."""
-        if self.held > HELD:
-            self.words.clear()
-            self.pieces.clear()
-            self.held = 0
-        new = {w: self.cut(w) for w in words if w not in self.words}
-        unknown = {p for pieces in new.values() for p in pieces if isinstance(p, str) and p not in self.pieces}
+    def learn(self, words: Iterable[str]) -> None:
+        """Adds the ids of new words: what is new of their pieces goes into one trie."""
+        new, known = [(w, self.cut(w)) for w in words], self.pieces
+        unknown = {p for _, pieces in new for p in pieces}.difference(known)
         for piece, ids in Trie(unknown).encoded(self.vocabulary):
-            self.pieces[piece] = np.asarray(ids, "<u4").tobytes()
-            self.held += 200 + len(piece) + 4 * len(ids)
-        for word, pieces in new.items():
-            self.words[word] = b"".join(p.to_bytes(4, "little") if isinstance(p, int) else self.pieces[p] for p in pieces)
-            self.held += 200 + len(word) + len(self.words[word])
+            if _SWAP:
+                ids.byteswap()
+            known[piece] = ids.tobytes()
+            self.held += len(piece) + 4 * len(ids)
+        for word, pieces in new:
+            self.words[word] = found = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+            self.held += len(word) + len(found)
+        self.held += ENTRY * (len(unknown) + len(new))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if self.held > HELD:
+            self.forget()
         cut = [_words(t or "") for t in texts]
-        missing = {w for words in cut for w in words if w not in self.words}
-        if missing and self.held > HELD:
-            missing = {w for words in cut for w in words}
-        self.learn(missing)
+        self.learn(set(chain.from_iterable(cut)).difference(self.words))
         of = self.words.__getitem__
         return [b"".join(map(of, words)) for words in cut]
 

@@ -147,12 +147,12 @@ def test_trie_computes_a_shared_prefix_once(monkeypatch):
     v = bpe.Vocabulary(VOCABULARY)
     asked = []
     last = v.last
-    monkeypatch.setattr(v, "last", lambda path, n, states, end="": asked.append((path[:n], end)) or last(path, n, states, end))
+    monkeypatch.setattr(v, "last", lambda path, n, states, final=False: asked.append((path[:n], final)) or last(path, n, states, final))
     words = ["international", "internationally", "internet", "interval", "in"]
     assert {w for w, _ in bpe.Trie(words).encoded(v)} == set(words)
     assert len(asked) == len(set(asked))
     prefixes = {w[:n] for w in words for n in range(1, len(w))}
-    assert {p for p, end in asked if not end} <= prefixes and sum(bool(end) for _, end in asked) == len(words)
+    assert {p for p, final in asked if not final} <= prefixes and sum(final for _, final in asked) == len(words)
 
 
 def test_words_are_forgotten_at_a_bound(monkeypatch):
