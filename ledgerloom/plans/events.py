@@ -149,6 +149,25 @@ def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift(*halves(spark, sf_dir), "event_type")
 
 
+_DAY_DRIFT = (
+    "WITH h AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS t, event_type, count(*) AS n FROM events GROUP BY ALL), w AS (SELECT t - i * INTERVAL 1 HOUR AS start, event_type, CAST(sum(n) AS BIGINT) AS na FROM h, range(24) r(i) GROUP BY ALL),"
+    " b AS (SELECT event_type, count(*) AS nb FROM events WHERE event_id % 10 < 3 GROUP BY ALL), every AS (SELECT * FROM (SELECT DISTINCT start FROM w), (SELECT event_type FROM b UNION SELECT event_type FROM w)),"
+    " f AS (SELECT start, event_type, coalesce(na, 0) AS na, coalesce(nb, 0) AS nb FROM every LEFT JOIN w USING (start, event_type) LEFT JOIN b USING (event_type)), s AS (SELECT *, sum(na) OVER (PARTITION BY start) AS ta, (SELECT sum(nb) FROM b) AS tb FROM f),"
+    " p AS (SELECT *, least(greatest(na::DOUBLE / ta, 1e-6), 1.0) AS pa, least(greatest(nb::DOUBLE / tb, 1e-6), 1.0) AS pb FROM s)"
+    " SELECT start, start + INTERVAL 24 HOUR AS end, round(sum((pa - pb) * ln(pa / pb)), 6) AS psi, sum((pa - pb) * ln(pa / pb)) > 0.1 AS fired, CAST(max(ta) AS BIGINT) AS n FROM p GROUP BY start"
+)
+
+
+def typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_id % 10 < 3").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_DAY_DRIFT)
+def hourly_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of each day that begins on the hour."""
+    return _plain(drift.windowed(table(spark, sf_dir, "events").select("ts", "event_type"), typical(spark, sf_dir), "event_type", size="24 hours"))
+
+
 def _plain(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 

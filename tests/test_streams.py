@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import ledger
+from ledgerloom.operators import drift, ledger
 from ledgerloom.plans import events as plans
 from ledgerloom.streaming import reviews
 
@@ -70,3 +70,23 @@ def test_replayed_events_give_the_timeouts_of_the_table(spark, sf_dir):
     from ledgerloom.plans.payments import review_timeouts
 
     assert rows_of(got) == rows_of(review_timeouts(spark, sf_dir)) and got.columns == ["task_id", "due_at"]
+
+
+def test_streamed_drift_is_the_tables_and_alerts_once(spark, tmp_path):
+    """Three slices with a restart after each; events in disorder within the delay."""
+    rng = random.Random(5)
+    events = [(T0 + i * dt.timedelta(minutes=7) + rng.random() * 9 * dt.timedelta(minutes=1), rng.choice("abc") if i % 200 < 140 else rng.choice(["d", None])) for i in range(600)]
+    schema = "ts timestamp_ntz, kind string"
+    base = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10), ("gone", 3)], "kind string, n long")
+    over = lambda rows: drift.windowed(rows, base, "kind", size="6 hours", late="10 minutes")
+    for i in range(3):
+        spark.createDataFrame(events[i * 200 : (i + 1) * 200], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = over(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).where("fired")
+        stream.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/alerts").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    alerts = spark.read.parquet(f"{tmp_path}/alerts")
+    closed = max(t for t, _ in events) - dt.timedelta(minutes=10)
+    table = over(spark.createDataFrame(events, schema)).where("fired").where(F.col("end") <= F.lit(closed))
+    assert rows_of(alerts) == rows_of(table) and alerts.count() == alerts.select("start").distinct().count() > 10
+    assert over(spark.createDataFrame([], schema)).count() == 0
+    none = drift.windowed(spark.createDataFrame(events[:5], schema), base.limit(0), "kind", size="6 hours")
+    assert {(r["psi"], r["fired"]) for r in none.collect()} == {(float("inf"), False)}
