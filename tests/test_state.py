@@ -167,7 +167,7 @@ def test_pipeline_runs_twice_without_doubling(spark, tmp_path):
         pipeline.run(spark, str(source), target, f"{tmp_path}/cp").awaitTermination()
         (source / name).write_text(json.dumps(tasks[0]) + "\n")
         pipeline.run(spark, str(source), target, f"{tmp_path}/cp").awaitTermination()
-    held = spark.read.parquet(f"{target}/ledger")
+    held = pipeline.ledger(spark, target).read()
     assert held.where("source = 'model'").count() == 6 and held.select("task_id").distinct().count() == held.count() == 8
     assert [tuple(r) for r in held.where("source = 'system'").select("task_id", "verdict", "kind").orderBy("task_id").collect()] == [("odd", "ESCALATE", "FIELD_CORRUPTION"), ("x", "ESCALATE", "FIELD_CORRUPTION")]
     assert spark.read.parquet(f"{target}/escalations").count() == 3 and spark.read.parquet(f"{target}/verdicts").count() == 3
@@ -183,7 +183,7 @@ def test_a_first_batch_of_broken_lines_only_stops_nothing(spark, tmp_path):
     pipeline.run(spark, str(source), target, f"{tmp_path}/cp").awaitTermination()
     (source / "b.json").write_text(json.dumps({"task_id": "t", "ledger": LEDGER, "statement": STATEMENT, "event_id": "e", "created_at": "2026-01-01T00:00:00Z"}) + "\n")
     pipeline.run(spark, str(source), target, f"{tmp_path}/cp").awaitTermination()
-    assert spark.read.parquet(f"{target}/ledger").count() == 1 and spark.read.parquet(f"{target}/verdicts").count() == 1
+    assert pipeline.ledger(spark, target).read().count() == 1 and spark.read.parquet(f"{target}/verdicts").count() == 1
 
 
 def test_files_round_trip(spark, tmp_path):

@@ -4,12 +4,13 @@ import datetime as dt
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.operators import drift, ledger
 from ledgerloom.plans import events as plans
-from ledgerloom.streaming import reviews
+from ledgerloom.streaming import pipeline, reviews
+from ledgerloom.streaming.ledger_log import LedgerLog
 
 T0 = dt.datetime(2026, 1, 1)
 H = dt.timedelta(hours=1)
@@ -90,3 +91,63 @@ def test_streamed_drift_is_the_tables_and_alerts_once(spark, tmp_path):
     assert over(spark.createDataFrame([], schema)).count() == 0
     none = drift.windowed(spark.createDataFrame(events[:5], schema), base.limit(0), "kind", size="6 hours")
     assert {(r["psi"], r["fired"]) for r in none.collect()} == {(float("inf"), False)}
+
+
+ENTRY = "task string, at long, n long, v string"
+
+
+def test_a_ledger_of_many_batches_equals_the_first_writes_and_reads_as_little_at_the_end(spark, tmp_path):
+    """Batches of 8 tasks, half of which the ledger has; some come again; buckets are merged and doubled."""
+    log = LedgerLog(spark, f"{tmp_path}/log", StructType.fromDDL(ENTRY), "task", "at", "n", buckets=4, bucket_rows=20, most_folders=3)
+    rng, every, looked_up, first = random.Random(2), [], [], {}
+    for number in range(50):
+        fresh = [f"t{number}-{i}" for i in range(4)]
+        old = [rng.choice(every)[0] if every else "t" for _ in range(3)]
+        rows = [(task, rng.randrange(1000), number * 10 + i, f"v{number}") for i, task in enumerate(fresh + old + [fresh[0]])]
+        every += rows
+        new = {}
+        for r in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+            new.setdefault(r[0], r)
+        new = {k: r for k, r in new.items() if k not in first}
+        first |= new
+        batch = spark.createDataFrame(rows, ENTRY).coalesce(1)
+        assert rows_of(log.append(number, batch)) == sorted(new.values())
+        if number % 20 == 7:
+            before = log.manifest()
+            assert rows_of(log.append(number, batch)) == sorted(new.values()) and log.append(number - 3, batch).count() == 0
+            assert log.manifest() == before
+        looked_up.append(log.manifest().looked_up)
+    held = log.manifest()
+    assert rows_of(log.read()) == sorted(first.values()) and held.rows == len(first) and held.buckets > 8
+    assert all(len(folders) <= 4 for folders in held.live.values())
+    assert sum(looked_up[-15:]) < 2 * sum(looked_up[10:25])
+
+
+def pair(i, **changed):
+    from tests.test_verify import LEDGER, STATEMENT
+
+    return {"task_id": f"t{i}", "ledger": LEDGER, "statement": STATEMENT, "event_id": f"e{i}", "created_at": "2026-01-01T00:00:00Z", **changed}
+
+
+def test_a_letter_mended_at_the_second_try_enters_the_ledger_once(spark, tmp_path):
+    source, target, now = tmp_path / "in", f"{tmp_path}/out", dt.datetime(2026, 1, 2)
+    source.mkdir()
+    lines = [json.dumps(pair(1)), json.dumps(pair(2))[:-1] + ",", json.dumps(pair(3, difficulty=9.0)), "{hopeless"]
+    (source / "a.json").write_text("\n".join(lines) + "\n")
+    run = lambda hours: pipeline.run(spark, str(source), target, f"{tmp_path}/cp", attempts=3, backoff_s=3600, now=now + hours * H).awaitTermination()
+    tasks = lambda: {r["task_id"]: (r["verdict"], r["source"]) for r in pipeline.ledger(spark, target).read().collect()}
+    mend = lambda letters: letters.withColumn("payload", F.regexp_replace("payload", ",$", "}"))
+    run(0)
+    assert set(tasks()) == {"t1"} and spark.read.parquet(f"{target}/waiting").count() == 3 and spark.read.parquet(f"{target}/dead").count() == 0
+    assert pipeline.requeue(spark, target, now + 0.5 * H, mend) == 0
+    assert pipeline.requeue(spark, target, now + H, mend) == 3 and pipeline.requeue(spark, target, now + H, mend) == 0
+    run(1)
+    assert set(tasks()) == {"t1", "t2"} and tasks()["t2"][1] == "model"
+    assert pipeline.requeue(spark, target, now + 2 * H, mend) == 0  # the second wait is two hours
+    assert pipeline.requeue(spark, target, now + 3 * H, mend) == 2
+    run(3)
+    assert tasks() == {"t1": tasks()["t1"], "t2": tasks()["t2"], "t3": ("ESCALATE", "system")}
+    assert sorted((r["task_id"] or "", r["attempt"]) for r in spark.read.parquet(f"{target}/dead").collect()) == [("", 3), ("t3", 3)]
+    assert pipeline.requeue(spark, target, now + 99 * H, mend) == 0
+    run(4)
+    assert pipeline.ledger(spark, target).read().count() == 3 and spark.read.parquet(f"{target}/verdicts").count() + spark.read.parquet(f"{target}/escalations").count() >= 2
