@@ -87,14 +87,17 @@ def _clear(spark: SparkSession, staged: list[tuple[str, str | None]]) -> None:
         remove(spark, path)
 
 
-def stage_by(df: DataFrame, name: str, column: str, parts: int) -> DataFrame:
-    """A table in the shared folder that is dealt by a column once and for all: grouping by it later moves no row."""
+def stage_by(df: DataFrame, name: str, column: str, parts: int, dealt: bool = False) -> DataFrame:
+    """A table in the shared folder that is dealt by a column once and for all: grouping by it later moves no row.
+
+    ``dealt`` tells that df is so already (it comes from ``repartition(parts, column)`` and what keeps that).
+    """
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
     table = f"corpus_{name.replace('-', '_')}_{uuid.uuid4().hex}"
     _note(path, table)
     _tables.append(table)
-    df.repartition(parts, column).write.bucketBy(parts, column).sortBy(column).option("path", path).saveAsTable(table)
+    (df if dealt else df.repartition(parts, column)).write.bucketBy(parts, column).sortBy(column).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
