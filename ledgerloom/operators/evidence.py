@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .triggers import holding
 from .verify import once
 
 #: Fixed: the graph's vocabulary.
@@ -30,33 +31,40 @@ def facts_table(spark: SparkSession, facts: list[tuple]) -> DataFrame:
 
 
 def _prepared(docs: DataFrame, source: str, text: str) -> DataFrame:
-    """source, text and the two forms that terms are looked up in, each made once a document."""
+    """source, text and the form that terms are looked up in, made once a document."""
     lower = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "mt ", "mt")
-    rows = once(docs, "_lower", lower).select(F.col(source).alias("source"), F.col(text).alias("text"), F.col("_lower").alias("lower"))
-    return once(rows, "padded", T.padded(F.col("lower")))
+    return once(docs, "_lower", lower).select(F.col(source).alias("source"), F.col(text).alias("text"), F.col("_lower").alias("lower"))
+
+
+def _holding(docs: DataFrame, rules: DataFrame, triggers: Column, source: str, text: str) -> DataFrame:
+    """The rows of a rule table that hold of each document, with its source and text; one pass over a text for all rules."""
+    spark = rules.sparkSession
+    held = rules.select("*", F.transform(triggers, F.lower).alias("_terms")).collect()
+    fields = rules.schema.fieldNames()
+    numbered = spark.createDataFrame([(i, *[r[f] for f in fields]) for i, r in enumerate(held)], "_rule int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rules.schema.fields))
+    rows = _prepared(docs, source, text).select("source", "text", F.explode(holding(F.col("lower"), [r["_terms"] for r in held])).alias("_rule"))
+    return rows.join(F.broadcast(numbered), "_rule").drop("_rule")
 
 
 def extract(docs: DataFrame, facts: DataFrame, source: str, text: str) -> DataFrame:
     """One triple for each document and fact whose triggers it has, with the sentence of the first trigger.
 
-    Facts are a rule table of fixed size, broadcast; only documents with a trigger make a row.
+    Facts are a rule table that the driver has, of thousands of rules if need be; only documents with a fact make a row.
     """
-    rows = _prepared(docs, source, text)
-    hit = F.forall(F.col("triggers"), lambda t: T.has_term(F.col("lower"), F.col("padded"), F.lower(t)))
-    found = rows.join(F.broadcast(facts), hit)
-    return found.select("head", "head_type", "relation", "tail", "tail_type", T.sentence_with(F.col("text"), F.element_at("triggers", 1)).alias("evidence"), "confidence", "source", "aliases")
+    found = _holding(docs, facts, F.col("triggers"), source, text)
+    return found.select("head", "head_type", "relation", "tail", "tail_type", T.sentence_with(F.col("text"), F.get("triggers", F.lit(0))).alias("evidence"), "confidence", "source", "aliases")
 
 
 def named(docs: DataFrame, names: tuple[str, ...], kind: str, source: str, text: str) -> DataFrame:
-    """Entities of a closed list (message types, currencies) that a document names: name, type, source."""
-    rows = _prepared(docs, source, text)
-    there = F.filter(F.array(*map(F.lit, names)), lambda n: T.has_term(F.col("lower"), F.col("padded"), F.lower(n)))
-    return rows.select(F.explode(there).alias("name"), F.lit(kind).alias("type"), "source", "text")
+    """Entities of a list (message types, currencies) that a document names: name, type, source, text."""
+    rules = docs.sparkSession.createDataFrame([(n,) for n in sorted(set(names))], "name string")
+    found = _holding(docs, rules, F.array("name"), source, text)
+    return found.select("name", F.lit(kind).alias("type"), "source", "text")
 
 
 def message_fields(docs: DataFrame, fields: DataFrame, source: str, text: str) -> DataFrame:
-    """For each message type that a document names, a HAS_FIELD triple for each of its fields(message_type, tag, label)."""
-    types = tuple(sorted(r["message_type"] for r in fields.select("message_type").distinct().limit(1000).collect()))
+    """For each message type that a document names, a HAS_FIELD triple for each of its fields(message_type, tag, label), a rule table."""
+    types = tuple(r["message_type"] for r in fields.select("message_type").where("message_type IS NOT NULL").distinct().collect())
     found = named(docs, types, "MessageType", source, text).withColumnRenamed("name", "message_type")
     rows = found.join(F.broadcast(fields), "message_type")
     return rows.select(

@@ -9,7 +9,7 @@ from ..operators import agreement, evidence, predictions, score, split
 from ..operators.generator import generate
 from ..operators.taxonomy import TYPES, severity_of
 from ..operators.verify import verify
-from ..sources import artifacts, shared, sinks
+from ..sources import artifacts, extractions, shared, sinks
 from ..sources.pairs import order_pairs
 from . import views
 from .corpus import FACTS, _triples_sql
@@ -81,6 +81,24 @@ def extraction_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.best_triples(docs, path, f"{path}/canonical", extract).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    _triples_sql(FACTS) + ", r AS (SELECT relation AS what, count(*) AS n FROM triples GROUP BY relation), c AS (SELECT CASE WHEN doc_id % 7 = 3 THEN 'extracted' WHEN doc_id % 10 = 0 THEN 'extracted' END AS what FROM documents"
+    " UNION ALL SELECT 'dropped' FROM documents WHERE doc_id % 10 = 0 AND doc_id % 7 <> 3 UNION ALL SELECT 'revived' FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 7 <> 3 AND doc_id % 9 = 4)"
+    " SELECT * FROM r UNION ALL SELECT what, count(*) FROM c WHERE what IS NOT NULL GROUP BY what"
+)
+def extraction_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of extractions that is refreshed three times: some texts are of old at first and some documents missing, then
+    some are gone, then all is as it is now.  What it holds in the end, and what the last refresh had to do."""
+    path, i = shared.folder(spark, "extractions"), F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", i.cast("string").alias("source"), "text")
+    extract = lambda d: evidence.extract(d, evidence.facts_table(spark, FACTS), "source", "text")
+    old = docs.where(i % 7 != 3).withColumn("text", F.when(i % 10 == 0, F.concat(F.lit("the version before and "), "text")).otherwise(F.col("text")))
+    extractions.refresh(old, path, extract)
+    extractions.refresh(old.where((i % 10 == 0) | (i % 9 != 4)), path, extract)
+    held = extractions.refresh(docs, path, extract).groupBy(F.col("relation").alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return held.unionByName(extractions.changes(spark, path, 3).withColumnRenamed("change", "what"))
+
+
 _GOLD = [("GPL", "CONFLICTS_WITH", "ClosedSource", 0.95, "gold"), ("Der", "RELATED_TO", "German", 0.4, "gold"), ("GPL", "RELATED_TO", "Apache License", None, None), ("GPL", "COVERS", "Nowhere", 0.9, "gold")]
 _GOLD_SQL = "(VALUES ('GPL','CONFLICTS_WITH','ClosedSource',0.95::DOUBLE), ('Der','RELATED_TO','German',0.4), ('GPL','RELATED_TO','Apache License',0.9)) AS g(head, relation, tail, confidence)"
 
