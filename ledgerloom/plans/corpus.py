@@ -138,21 +138,26 @@ _CLASSES = (
 )
 
 
-def near_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contamination.near_duplicates(rows, "doc_id", T.word_shingles(F.col("text")))
+    return contamination.near_groups(rows, "doc_id", T.word_shingles(F.col("text")))
 
 
-@query(_CLASSES + "SELECT a, b, round(j, 4) AS similarity FROM p WHERE j >= 0.8")
+@query(
+    _CLASSES.replace("WITH w", "WITH RECURSIVE w") + ", e AS (SELECT a, b FROM p WHERE j >= 0.8 UNION ALL SELECT b, a FROM p WHERE j >= 0.8), r AS (SELECT a AS x, b AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)"
+    " SELECT doc_id, class_id, least(class_id, coalesce((SELECT min(y) FROM r WHERE x = class_id), class_id)) AS group_id FROM m"
+)
 def near_dup_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of classes of documents whose sets of five-word shingles are 0.8 alike or more; a class has equal sets."""
-    return near_classes(spark, sf_dir)[0]
+    """The class and the group of each document: a class has equal sets of five-word shingles, a group all that links of 0.8 or more reach."""
+    return near_classes(spark, sf_dir).select(F.col("key").alias("doc_id"), F.col("class").alias("class_id"), F.col("group").alias("group_id"))
 
 
 @query(_CLASSES + "SELECT doc_id, class_id FROM m")
 def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of each document: the least id of those with its set of five-word shingles."""
-    return near_classes(spark, sf_dir)[1].select(F.col("key").alias("doc_id"), F.col("class").alias("class_id"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64(F.array_sort(T.word_shingles(F.col("text")))).alias("content"))
+    least = rows.groupBy("content").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, "content").select("doc_id", "class_id")
 
 
 @query("SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS record FROM conversations GROUP BY conv_id")

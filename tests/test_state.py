@@ -46,10 +46,51 @@ def test_near_duplicates(spark):
     from ledgerloom.functions.text import word_shingles
 
     text = " ".join(f"w{i}" for i in range(200))
-    rows = spark.createDataFrame([(1, text), (2, text), (3, text.replace("w100", "x")), (4, text[::-1])], "id long, text string")
-    pairs, members = contamination.near_duplicates(rows, "id", word_shingles(F.col("text")))
-    assert {(r["a"], r["b"], r["similarity"]) for r in pairs.collect()} == {(1, 3, round(191 / 201, 4))}
-    assert {r["key"]: r["class"] for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    rows = spark.createDataFrame([(1, text), (2, text), (3, text.replace("w100", "x")), (4, text[::-1]), (None, text), (9, None), (8, "")], "id long, text string")
+    got = {r["key"]: (r["class"], r["group"]) for r in contamination.near_groups(rows, "id", word_shingles(F.col("text"))).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 4), None: (1, 1), 9: (8, 8), 8: (8, 8)}
+    assert contamination.near_groups(rows.limit(0), "id", word_shingles(F.col("text"))).collect() == []
+
+
+def test_near_duplicates_of_crowds_and_chains_equal_brute_force(spark):
+    """Copies of a text with two edits each, most of them unlike each other, and chains that leave it step by step."""
+    import random
+
+    from ledgerloom.functions.text import word_shingles
+
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(5000)}"
+
+    def edited(words, n):
+        at = set(rng.sample(range(len(words)), n))
+        return [word() if i in at else w for i, w in enumerate(words)]
+
+    base = [word() for _ in range(200)]
+    texts = [base] + [edited(base, 2) for _ in range(300)]
+    for _ in range(15):
+        chain = base
+        for _ in range(5):
+            chain = edited(chain, 3)
+            texts.append(chain)
+    texts += [edited(base, 50) for _ in range(15)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    group = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if group[i] != group[j] and len(x & y) >= 0.8 * len(x | y):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    rows = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "id long, text string")
+    got = {r["key"]: r["group"] for r in contamination.near_groups(rows, "id", word_shingles(F.col("text"))).collect()}
+    assert got == dict(enumerate(group)) and 15 < len(set(group)) < 60
+
+
+def test_components_of_a_long_chain(spark):
+    from ledgerloom.operators.groups import components
+
+    links = spark.range(400).select((F.col("id") * 7919 % 401).alias("a"), ((F.col("id") + 1) * 7919 % 401).alias("b"))
+    assert components(links).where("group <> 0").count() == 0
+    pairs = spark.createDataFrame([(5, 9), (9, 7), (3, 4), (8, 8)], "a long, b long")
+    assert {tuple(r) for r in components(pairs).collect()} == {(5, 5), (9, 5), (7, 5), (3, 3), (4, 3)}
 
 
 def test_nearest_neighbours_equal_brute_force(spark):
