@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 TOLERANCE = "0.005"
 #: A decimal number as written: sign, digits before and after the point, exponent.
 NUMBER = r"^(?U)\s*([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d{1,5}))?\s*$"
+#: The plain ones of these, which are well formed without a closer look.
+PLAIN = r"^\+?(?:[0-9]+(?:\.[0-9]{0,2})?|\.[0-9]{1,2})$"
 #: Amounts of more integer digits than this have no exact decimal here and are compared as text.
 EXACT = "decimal(30,2)"
 
@@ -28,11 +30,12 @@ def well_formed(amount: Column) -> Column:
     digits = F.concat(part(2), part(3))
     power = F.coalesce(F.nullif(part(4), F.lit("")).try_cast("int"), F.lit(0))
     sound = F.rlike(_plain(amount), F.lit(NUMBER)) & (digits != "") & (power - F.length(part(3)) >= -2) & ((part(1) != "-") | ~F.rlike(digits, F.lit("[1-9]")))
-    return F.coalesce(sound, F.lit(False))
+    return F.coalesce(F.when(F.rlike(amount, F.lit(PLAIN)), True).otherwise(sound), F.lit(False))
 
 
 def exact(amount: Column) -> Column:
-    return F.regexp_replace(_plain(amount), r"(?U)\s", "").try_cast(EXACT)
+    """The number as it stands, else without its underscores and blanks."""
+    return F.coalesce(amount.try_cast(EXACT), F.regexp_replace(_plain(amount), r"(?U)\s", "").try_cast(EXACT))
 
 
 def within_tolerance(a: Column, b: Column) -> Column:

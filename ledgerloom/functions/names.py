@@ -6,8 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Printable ASCII with no blank at its edges: neither to be trimmed nor to be looked at closely.
+PLAIN = r"^[!-~](?:[ -~]*[!-~])?$"
+
+
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.when(F.rlike(x, F.lit(PLAIN)), x).otherwise(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", ""))
 
 
 def squashed(x: Column) -> Column:
@@ -21,7 +25,7 @@ def tokens(x: Column) -> Column:
 
 def present(x: Column) -> Column:
     """Not blank, and within its blank edges of printable characters and plain spaces only."""
-    return F.rlike(trimmed(x), F.lit(r"^(?:[^\p{C}\p{Z}]| )+$"))
+    return F.when(F.rlike(x, F.lit(PLAIN)), True).otherwise(F.rlike(trimmed(x), F.lit(r"^(?:[^\p{C}\p{Z}]| )+$")))
 
 
 def _bound(value: Column, body) -> Column:

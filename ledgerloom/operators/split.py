@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groups import written
 from .ranks import ranked
 
 
@@ -15,8 +16,10 @@ def decile(difficulty: Column, bins: int = 10) -> Column:
 def stratified(rows: DataFrame, strata: list[str], key: str, fraction: float = 0.8, seed: int = 7) -> DataFrame:
     """rows with split: in each stratum the first round(n * fraction) by a seeded hash train, one at least on each side.
 
-    A stratum may hold any share of the rows: ranks are made from counts (``ranks``), not by one sort a stratum.
+    A stratum may hold any share of the rows: ranks are made from counts (``ranks``), not by one sort a stratum.  The
+    rows are written first, as counts and ranks both read them.
     """
+    rows, _ = written(rows, "split-rows")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
     wanted = F.bround(F.col("_n") * F.lit(fraction)).cast("bigint")
     wanted = F.when(F.col("_n") >= 2, F.greatest(F.lit(1), F.least(F.col("_n") - 1, wanted))).otherwise(wanted)

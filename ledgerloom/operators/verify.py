@@ -38,8 +38,9 @@ def _judged(pairs: DataFrame) -> DataFrame:
     in_time = dates.due_in_time(c("_ld"), c("_booked")) & (c("_lv") == c("_sv"))
 
     def name_rule(field: str, other: str) -> Column:
-        differs = names.squashed(c(f"_l{field}")) != names.squashed(c(f"_s{field}"))
-        return F.when(differs, F.when(names.near_equal(c(f"_l{field}"), c(f"_s{field}")), "PARTIAL_MATCH").otherwise(other))
+        a, b = c(f"_l{field}"), c(f"_s{field}")
+        differs = ~a.eqNullSafe(b) & (names.squashed(a) != names.squashed(b))
+        return F.when(differs, F.when(names.near_equal(a, b), "PARTIAL_MATCH").otherwise(other))
 
     kind = (
         F.when(~c("_there"), "MISSING_MESSAGE")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agreement, evidence, predictions, score, split
 from ..operators.generator import generate
+from ..operators.groups import written
 from ..operators.taxonomy import TYPES, severity_of
 from ..operators.verify import verify
 from ..sources import artifacts, extractions, shared, sinks
@@ -161,7 +162,7 @@ def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def told_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of predictions as a run leaves it: none for every thirteenth pair, two for every seventh, and some for pairs that there are not."""
-    rows = views.predicted(spark, sf_dir).select("k", "task_id", "p_verdict", "p_type", "confidence", F.lit(2).alias("at"))
+    rows, _ = written(views.predicted(spark, sf_dir).select("k", "task_id", "p_verdict", "p_type", "confidence", F.lit(2).alias("at")), "predictions")
     kept = rows.where("k % 13 <> 0")
     first = kept.where("k % 7 = 0").select("k", "task_id", F.lit("ESCALATE").alias("p_verdict"), F.lit(None).cast("string").alias("p_type"), F.lit(0.0).alias("confidence"), F.lit(1).alias("at"))
     odd = kept.where("k % 11 = 0").withColumn("task_id", F.concat(F.lit("gone-"), "task_id"))
