@@ -13,6 +13,7 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Staged(NamedTuple):
@@ -90,7 +91,7 @@ def _clear(spark: SparkSession, staged: list[tuple[str, str | None]]) -> None:
 def stage_by(df: DataFrame, name: str, column: str, parts: int, dealt: bool = False) -> DataFrame:
     """A table in the shared folder that is dealt by a column once and for all: grouping by it later moves no row.
 
-    ``dealt`` tells that df is so already (it comes from ``repartition(parts, column)`` and what keeps that).
+    ``dealt`` tells that df is so already: it is grouped by the column into as many partitions, or neighbours of these.
     """
     spark = df.sparkSession
     path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
@@ -101,5 +102,15 @@ def stage_by(df: DataFrame, name: str, column: str, parts: int, dealt: bool = Fa
     return spark.table(table)
 
 
+#: Rows of keys that are sent to all tasks; a table with more of them is shuffled.
+SENT_ROWS = 200_000
+
+
+def sent(keys: DataFrame, name: str) -> DataFrame:
+    """Keys to be joined with: written, counted, and broadcast if they are few."""
+    held = stage(keys, name).df
+    return F.broadcast(held) if held.count() <= SENT_ROWS else held
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
