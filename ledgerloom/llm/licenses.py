@@ -207,31 +207,57 @@ class Library:
                 bands.append((filtered, known, owners))
             self.tables[width] = bands
 
-    def candidates(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(template, shingle where a window with one of its keys starts)."""
-        found = set()
+    def candidates(self, h: np.ndarray) -> dict[int, np.ndarray]:
+        """For each template the shingles, ascending, where a window with one of its keys starts."""
+        found: dict[int, list[np.ndarray]] = {}
         for width, bands in self.tables.items():
             for (filtered, known, owners), key in zip(bands, window_keys(h, width)):
                 at = np.flatnonzero(filtered[(key & np.uint64(0xFFFF)).astype(np.int64)])
                 at = at[np.isin(key[at], known)]
-                for i in at.tolist():
-                    found.update((t, i) for t in owners[int(key[i])])
-        return found
+                if not len(at):
+                    continue
+                at = at[np.argsort(key[at], kind="stable")]
+                for part in np.split(at, np.flatnonzero(np.diff(key[at])) + 1):
+                    for t in owners[int(key[part[0]])]:
+                        found.setdefault(t, []).append(part)
+        return {t: np.unique(np.concatenate(parts)) for t, parts in found.items()}
 
-    def verify(self, h: np.ndarray, edges: tuple[int, int], t: int, at: int) -> tuple[float, int, int]:
-        """Best share of the template's shingles in a stretch around the window, and the stretch that holds them."""
-        size = self.sizes[t]
-        low, high = max(edges[0], at - size), min(edges[1], at + 2 * size)
-        here = np.flatnonzero(np.isin(h[low:high], self.sets[t])) + low
-        reach, best = size + size // 4, (0.0, at, at)
-        for i in here.tolist():
-            inside = here[(here >= i) & (here < i + reach)]
-            share = len(np.unique(h[inside])) / len(self.sets[t])
-            if share > best[0]:
-                best = (share, i, int(inside[-1]))
+    def verify(self, h: np.ndarray, edges: tuple[int, int], t: int, starts: np.ndarray) -> tuple[float, int, int]:
+        """Best share of the template's shingles in a stretch around some windows, and the first stretch that holds them.
+
+        Windows whose surroundings meet are looked at together, and all stretches of these in one pass.
+        """
+        size, known = self.sizes[t], self.sets[t]
+        low, high = np.maximum(edges[0], starts - size), np.minimum(edges[1], starts + 2 * size)
+        apart = np.flatnonzero(low[1:] > high[:-1]) + 1
+        best = (0.0, int(starts[0]), int(starts[0]))
+        for a, b in zip(low[np.append(0, apart)].tolist(), high[np.append(apart - 1, len(high) - 1)].tolist()):
+            place = np.minimum(np.searchsorted(known, h[a:b]), len(known) - 1)
+            here = np.flatnonzero(known[place] == h[a:b])
+            if len(here):
+                counts, last = distinct_ahead(here, place[here], size + size // 4)
+                i = int(counts.argmax())
+                if counts[i] / len(known) > best[0]:
+                    best = (counts[i] / len(known), a + int(here[i]), a + int(here[last[i]]))
         return best
 
 
+def distinct_ahead(at: np.ndarray, ids: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending places the number of different ids in the reach that begins there, and which place is its last.
+
+    A place counts for the beginnings after the place before it with its id, up to itself, that reach it.
+    """
+    n = len(at)
+    end = np.searchsorted(at, at + reach)
+    order = np.argsort(ids, kind="stable")
+    before = np.full(n, -1)
+    again = ids[order[1:]] == ids[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    first = np.maximum(before + 1, np.searchsorted(end, np.arange(n), "right"))
+    steps = np.bincount(first, minlength=n + 1) - np.bincount(np.arange(n) + 1, minlength=n + 1)
+    return np.cumsum(steps)[:n], end - 1
+
+
 def _scan(templates: dict[str, str], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = Library(templates)
@@ -242,13 +268,14 @@ def _scan(templates: dict[str, str], least: float):
                 h, row, _ = runs(texts, SHINGLE, words)
                 edges = np.searchsorted(row, np.arange(part.num_rows + 1))
                 best: dict[tuple[int, str], tuple[float, int, int]] = {}
-                for t, at in library.candidates(h):
-                    doc = int(row[at])
-                    a, b = int(edges[doc]), int(edges[doc + 1])
-                    share, i, j = library.verify(h, (a, b), t, at)
-                    if share >= least:
-                        found = (share, a - i, a - j - SHINGLE)
-                        best[doc, library.names[t]] = max(found, best.get((doc, library.names[t]), found))
+                for t, starts in library.candidates(h).items():
+                    docs = row[starts]
+                    for mine in np.split(starts, np.flatnonzero(np.diff(docs)) + 1):
+                        doc = int(row[mine[0]])
+                        a, b = int(edges[doc]), int(edges[doc + 1])
+                        share, i, j = library.verify(h, (a, b), t, mine)
+                        if share >= least:
+                            best[doc, library.names[t]] = (float(share), a - i, a - j - SHINGLE)
                 for size, known in library.short.items():
                     h, row, place = runs(texts, size, words)
                     for i in np.flatnonzero(np.isin(h, np.array(list(known), np.uint64))).tolist():

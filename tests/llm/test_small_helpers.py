@@ -152,3 +152,25 @@ def test_license_bands_find_what_containment_holds():
     batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(docs)], ["key", "text"])
     found = {(k, n) for b in licenses._scan(licenses.TEMPLATES, 0.8)(iter([batch])) for k, n in zip(b["key"].to_pylist(), b["license"].to_pylist())}
     assert {(k, n) for k, n in enumerate(want)} <= found
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_distinct_ahead_counts_each_stretch(seed):
+    rng = np.random.default_rng(seed)
+    at = np.sort(rng.choice(200, rng.integers(1, 80), replace=False))
+    ids, reach = rng.integers(0, 12, len(at)), int(rng.integers(1, 60))
+    counts, last = licenses.distinct_ahead(at, ids, reach)
+    for i in range(len(at)):
+        inside = [j for j in range(i, len(at)) if at[j] < at[i] + reach]
+        assert counts[i] == len({int(ids[j]) for j in inside}) and last[i] == inside[-1]
+
+
+def test_a_bundle_of_licenses_takes_no_longer_than_its_words():
+    """A megabyte of one license text in every row of words is looked at in one pass; it took a second and a half a kilobyte."""
+    import time
+
+    text = "\n".join([licenses.TEMPLATES["MIT-text"]] * 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["key", "text"])
+    began = time.perf_counter()
+    found = {r["license"]: r["containment"] for b in licenses._scan(licenses.TEMPLATES, 0.8)(iter([batch])) for r in b.to_pylist()}
+    assert found["MIT-text"] == 1.0 and time.perf_counter() - began < 60
