@@ -1,4 +1,4 @@
-"""The two text repairs that are sequential by nature, as Arrow-batched functions of a column."""
+"""Verdicts read back from replies of a model, as an Arrow-batched function of a column."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 
 _MARKS = re.compile(r'[{}\[\]"]|\\.', re.S)
@@ -64,31 +64,3 @@ def parse_verdict(text: Column) -> Column:
     """The verdict object in a model's reply, whatever stands around it, or null."""
     kinds = "verdict string, exception_type string, severity string, confidence double, reason string, resolution string"
     return F.from_json(_repaired(text), kinds)
-
-
-def chunks(text: str | None, tokens: int = 200, overlap: int = 20) -> list[str]:
-    """Pieces of about so many tokens of four characters, cut at a paragraph's or sentence's end where there is one in the last half."""
-    text, size, back, out, at = text or "", tokens * 4, overlap * 4, [], 0
-    while at < len(text):
-        end = min(len(text), at + size)
-        if end < len(text):
-            for mark in ("\n\n", ". ", "\n", " "):
-                cut = text.rfind(mark, at + size // 2, end)
-                if cut > at:
-                    end = cut + len(mark)
-                    break
-        if piece := text[at:end].strip():
-            out.append(piece)
-        if end >= len(text):
-            break
-        at = max(end - back, at + 1)
-    return out
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _chunked(texts: pd.Series) -> pd.Series:
-    return texts.map(chunks)
-
-
-def chunked(text: Column) -> Column:
-    return _chunked(text)

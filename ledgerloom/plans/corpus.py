@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.chunks import chunked
 from ..operators import contamination, evidence, repair, split
 from .registry import query, table
 from .views import VERIFIED, verified
@@ -221,9 +222,19 @@ def token_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(T.stem(F.col("w")).alias("stem")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_SEEN = "reverse(substring(text, CAST(i AS BIGINT) + 1, CAST(least(i + 800, n) - i AS BIGINT)))"
+_BORDER = " greatest({})".format(", ".join(f"CASE WHEN instr({_SEEN}, {m}) > 0 THEN least(i + 800, n) - instr({_SEEN}, {m}) - 1 ELSE i - 1 END" for m in ("chr(10) || chr(10)", "' .'")))
+_ENDED = f"SELECT doc_id, chunk, i, n, text, CASE WHEN n <= 800 OR i + 800 >= n THEN n WHEN {_BORDER} > i + n * 0.25 THEN {_BORDER} + 1 ELSE i + 800 END AS e FROM "
+
+
+@query(
+    f"WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL), c AS ({_ENDED} (SELECT doc_id, 0 AS chunk, CAST(0 AS BIGINT) AS i, n, text FROM d)"
+    f" UNION ALL {_ENDED} (SELECT doc_id, chunk + 1 AS chunk, greatest(e - 80, i + 720) AS i, n, text FROM c WHERE e < n))"
+    " SELECT doc_id, chunk, CAST(e - i AS INTEGER) AS n_chars, sha256(substring(text, CAST(i AS BIGINT) + 1, CAST(e - i AS BIGINT))) AS signature FROM c"
+)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(repair.chunked(F.col("text"))).alias("chunk", "piece"))
+    """Documents in chunks of 200 tokens that overlap by 20."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunked(F.col("text"), 200, 20)).alias("chunk", "piece"))
     return rows.select("doc_id", "chunk", F.length("piece").alias("n_chars"), F.sha2("piece", 256).alias("signature"))
 
 

@@ -37,11 +37,37 @@ def test_repair(text, found):
     assert repair.balanced(text) == found
 
 
-def test_chunks_cover_the_text():
-    text = "One two three. " * 400
-    parts = repair.chunks(text, tokens=50, overlap=5)
-    assert all(len(p) <= 200 for p in parts) and parts[0].startswith("One") and text.strip().endswith(parts[-1])
-    assert repair.chunks("") == [] and repair.chunks(None) == []
+def plain_chunks(text, tokens, overlap):
+    """The rule, step by step over a string."""
+    size, back = tokens * 4, overlap * 4
+    if len(text) <= size:
+        return [text]
+    out, at = [], 0
+    while True:
+        end = min(at + size, len(text))
+        border = max(text.rfind("\n\n", at, end), text.rfind(". ", at, end))
+        if end < len(text) and border > at + 0.25 * len(text):
+            end = border + 1
+        out.append(text[at:end])
+        if end >= len(text):
+            return out
+        at = max(end - back, at + size - back if size > back else end)
+
+
+def test_chunks_equal_the_rule_step_by_step(spark):
+    import random
+
+    from ledgerloom.functions.chunks import chunked
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "é", "😀", ". ", "\n\n", "\n", " ", "word", "."]) for _ in range(rng.choice([0, 3, 30, 60, 120, 400]))) for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(999, None)], "id int, text string")
+    for tokens, overlap in ((8, 2), (8, 6), (8, 0), (5, 9), (200, 20)):
+        got = {r["id"]: r["c"] for r in rows.select("id", chunked(F.col("text"), tokens, overlap).alias("c")).collect()}
+        assert got.pop(999) == []
+        assert got == {i: plain_chunks(t, tokens, overlap) for i, t in enumerate(texts)}, (tokens, overlap)
+    plan = rows.select(chunked(F.col("text"), 8, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
 
 
 def test_gate(spark):
