@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .groups import written
 from .triggers import holding
 from .verify import once
 
@@ -153,8 +154,8 @@ def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def tfidf(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(key, term, weight) and (term, idf): tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length."""
-    t = terms(rows, key, text)
+    """(key, term, weight) and (term, idf): tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length; texts are read once, terms written."""
+    t, _ = written(terms(rows, key, text), "terms")
     n = rows.agg(F.count(F.lit(1)).alias("docs"))
     idf = t.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = t.join(idf, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("raw"))
@@ -162,16 +163,58 @@ def tfidf(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     return raw.join(norm, "key").select("key", "term", (F.col("raw") / F.col("norm")).alias("weight")), idf
 
 
+#: Scores are rounded to four digits; a bound so much below the k-th score cannot be rounded up to it.  Rows of asked terms that are
+#: sent to all tasks, so that no common term's postings meet in one.
+MARGIN, SENT_ROWS = 2e-4, 200_000
+
+
+def _by_term(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """claim, key, the sum of what the asked terms have in common with each row, and how much of the row's length they are."""
+    return index.join(asked, "term").groupBy("claim", "key").agg(F.sum(F.col("q") * F.col("weight")).alias("part"), F.sum(F.col("weight") ** 2).alias("held"))
+
+
+def pruned(asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """claim, key and score of the rows of index(key, term, weight) that can be among the k best of asked(claim, term, q).
+
+    Some terms add at most the sum of q times each one's greatest weight, and, rows being of length 1, at most the length
+    of their q times what of a row's length other terms have left.  The rows of a claim's rarest terms give it a k-th
+    score, theta, that its k best reach; the most common terms, as many as together cannot reach it, are not essential: a
+    row with none of the others is no candidate, so the postings of common terms are not gone through.  Of the rows met
+    those stay whose essential terms reach theta with all that the others could add.
+    """
+    greatest = index.groupBy("term").agg(F.max("weight").alias("most"), F.count(F.lit(1)).alias("df"))
+    asked = asked.join(greatest, "term").select("claim", "term", "q", (F.col("q") * F.col("most")).alias("bound"), "df")
+    by = W.partitionBy("claim")
+    before = F.coalesce(F.sum("df").over(by.orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = asked.withColumn("before", before).where(F.col("before") < 4 * k)
+    met = _by_term(first, index).withColumn("nth", F.row_number().over(by.orderBy(F.col("part").desc(), "key"))).where(F.col("nth") <= k)
+    whole = met.select("claim", "key").join(asked, "claim").join(index, ["key", "term"]).groupBy("claim", "key").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
+    theta = whole.groupBy("claim").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(0.0).alias("theta"))
+    common = by.orderBy(F.col("df").desc(), "term").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = asked.join(theta, "claim").withColumn("upto", F.least(F.sum("bound").over(common), F.sqrt(F.sum(F.col("q") ** 2).over(common))))
+    told, _ = written(ranked.withColumn("essential", F.col("upto") >= F.col("theta") - MARGIN), "asked")
+    none = lambda x: F.coalesce(F.sum(F.when(~F.col("essential"), x)), F.lit(0.0))
+    rest = told.groupBy("claim").agg(none(F.col("bound")).alias("rest"), F.sqrt(none(F.col("q") ** 2)).alias("length"), F.max("theta").alias("theta"))
+    essential = told.where("essential").select("claim", "term", "q")
+    essential = F.broadcast(essential) if essential.count() <= SENT_ROWS else essential
+    more = F.least(F.col("rest"), F.col("length") * F.sqrt(F.greatest(1 - F.col("held"), F.lit(0.0))))
+    kept = _by_term(essential, index).join(rest, "claim").where(F.col("part") + more >= F.col("theta") - MARGIN)
+    others = told.where("NOT essential").select("claim", "term", "q")
+    more = kept.select("claim", "key").join(others, "claim").join(index, ["key", "term"]).groupBy("claim", "key").agg(F.sum(F.col("q") * F.col("weight")).alias("more"))
+    return kept.join(more, ["claim", "key"], "left").select("claim", "key", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
 def search(claims: DataFrame, claim: str, text: str, rows: DataFrame, key: str, row_text: str, k: int = 8) -> DataFrame:
     """The k rows nearest to each claim by cosine of tf-idf, score over 0, ties to the smaller key.
 
-    An inverted index: claims meet rows on shared terms only, summed by pair before ranking.
+    An inverted index, written once: claims meet rows on shared terms only, and on common ones only where these can matter.
     """
     index, idf = tfidf(rows, key, row_text)
+    index, _ = written(index, "postings")
     asked = terms(claims, claim, text).join(idf, "term").select(F.col("key").alias("claim"), "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = asked.groupBy("claim").agg(F.sqrt(F.sum(F.col("raw") ** 2)).alias("norm"))
-    asked = asked.join(norm, "claim").select("claim", "term", (F.col("raw") / F.col("norm")).alias("q"))
-    scored = asked.join(index, "term").groupBy("claim", "key").agg(F.round(F.sum(F.col("q") * F.col("weight")), 4).alias("score")).where("score > 0")
+    asked, _ = written(asked.join(norm, "claim").select("claim", "term", (F.col("raw") / F.col("norm")).alias("q")), "claims")
+    scored = pruned(asked, index, k).select("claim", "key", F.round("score", 4).alias("score")).where("score > 0")
     order = W.partitionBy("claim").orderBy(F.col("score").desc(), "key")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

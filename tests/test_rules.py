@@ -80,3 +80,29 @@ def test_a_changed_document_is_extracted_alone(spark, tmp_path, counted):
     assert {r["change"]: r["n"] for r in extractions.changes(spark, str(tmp_path), 4).collect()} == {"revived": 13, "dropped": 1}
     renamed = [("e1", docs[1][1])] + docs
     assert refresh(renamed) == fresh(renamed) and seen[-1] == 1
+
+
+def test_pruned_search_equals_all_sums_and_meets_fewer_rows(spark):
+    """Long claims over texts with a few common words and many rare ones; some texts hold most of a claim."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    pick = lambda n: [rng.choice(words[: max(5, int(3000 * rng.random() ** 6))]) for _ in range(n)]
+    claims = [(c, " ".join(pick(30) + ["the"])) for c in range(25)]
+    docs = [(d, " ".join(pick(40) + ["the"] * 3 + (claims[d // 2 % 25][1].split()[:25] if d % 2 == 0 else []))) for d in range(800)]
+    docs += [(900, ""), (901, None), (902, docs[0][1]), (903, docs[0][1])]
+    asked, held = spark.createDataFrame(claims, "c long, text string"), spark.createDataFrame(docs, "d long, text string")
+    index, idf = evidence.tfidf(held, "d", "text")
+    raw = evidence.terms(asked, "c", "text").join(idf, "term").select(F.col("key").alias("claim"), "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    norm = raw.groupBy("claim").agg(F.sqrt(F.sum(F.col("raw") ** 2)).alias("norm"))
+    q = raw.join(norm, "claim").select("claim", "term", (F.col("raw") / F.col("norm")).alias("q"))
+    sums = q.join(index, "term").groupBy("claim", "key").agg(F.round(F.sum(F.col("q") * F.col("weight")), 4).alias("score")).collect()
+    want = {}
+    for r in sorted(sums, key=lambda r: (r["claim"], -r["score"], r["key"])):
+        want.setdefault(r["claim"], []).append((r["key"], r["score"]))
+    got = {}
+    for r in evidence.search(asked, "c", "text", held, "d", "text", k=8).orderBy("claim", "rank").collect():
+        got.setdefault(r["claim"], []).append((r["key"], r["score"]))
+    assert got == {c: rows[:8] for c, rows in want.items()}
+    assert evidence.pruned(q, index, 8).count() < 0.65 * len(sums)
+    few = evidence.search(asked.where("c = 1"), "c", "text", held.where("d < 4"), "d", "text", k=8)
+    assert few.count() == 4 and evidence.search(asked.limit(0), "c", "text", held, "d", "text").count() == 0
