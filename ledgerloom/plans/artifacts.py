@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import agreement, evidence, predictions, score, split
+from ..operators import agreement, calibrate, evidence, predictions, resample, score, split
 from ..operators.generator import generate
 from ..operators.groups import written
 from ..operators.taxonomy import TYPES, severity_of
@@ -216,3 +216,29 @@ def missing_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.verified(spark, sf_dir).where("statement IS NULL")
     kind = F.when(F.col("kind") != "MATCH", F.col("kind"))
     return rows.select("task_id", evidence.build_claim(F.col("ledger"), F.col("statement"), F.col("verdict"), kind, F.col("severity"), F.col("reason")).alias("claim"))
+
+
+@query(
+    SCORED + ", f AS (SELECT *, p_verdict IS NULL OR p_verdict <> 'MATCH' AS flag FROM scored), c AS (SELECT count(*) FILTER (WHERE ex AND flag) AS tp, count(*) FILTER (WHERE NOT ex AND flag) AS fp, count(*) FILTER (WHERE ex AND NOT flag) AS fn FROM f),"
+    f" b AS (SELECT greatest(0, least(9, CAST(floor(confidence * 10) AS INTEGER))) AS bin, confidence, CASE WHEN {CORRECT_SQL} THEN 1.0::DOUBLE ELSE 0 END AS ok FROM scored WHERE p_verdict IS NOT NULL), g AS (SELECT bin, count(*) AS n, avg(confidence) AS c, avg(ok) AS a FROM b GROUP BY bin)"
+    " SELECT 'flags' AS artifact, 'f1' AS name, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 4) AS value FROM c UNION ALL SELECT 'flags', 'precision', round(tp::DOUBLE / (tp + fp), 4) FROM c"
+    " UNION ALL SELECT 'ece', 'ece', round(sum(n * abs(a - c)) / sum(n), 4) FROM g UNION ALL SELECT 'calibration', 'bin ' || bin, round(a, 4) FROM g"
+    f" UNION ALL SELECT 'intervals', 'accuracy', round(avg(CASE WHEN {CORRECT_SQL} THEN 1.0::DOUBLE ELSE 0 END), 4) FROM scored"
+)
+def score_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flag metrics, calibration and intervals of one predictor, written as files of JSON lines and read back."""
+    path = shared.folder(spark, "scores")
+    rows, _ = written(views.predicted(spark, sf_dir).select("kind", "p_verdict", "p_type", "confidence"), "predictions")
+    right = rows.select(score.correct().cast("int").alias("ok"))
+    drawn = resample.draws(right, ["ok"])
+    interval = resample.interval(drawn.groupBy("replicate").agg((F.sum(F.col("ok") * F.col("w")) / F.sum("w")).alias("value"))).crossJoin(right.agg(F.round(F.avg("ok"), 4).alias("point")))
+    sinks.write_tables({"flags": score.flag_scores(rows), "ece": calibrate.ece(rows), "calibration": calibrate.ece_curve(rows), "intervals": interval}, path)
+    read = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}.jsonl")
+    told = lambda rows, artifact, name, value: rows.select(F.lit(artifact).alias("artifact"), name.alias("name"), F.col(value).alias("value"))
+    flags = read("flags", "f1 double, precision double")
+    held = read("intervals", "low double, point double, high double").where("low <= point AND point <= high")
+    return (
+        told(flags, "flags", F.lit("f1"), "f1").unionByName(told(flags, "flags", F.lit("precision"), "precision")).unionByName(told(read("ece", "ece double"), "ece", F.lit("ece"), "ece"))
+        .unionByName(told(read("calibration", "bin int, accuracy double"), "calibration", F.concat(F.lit("bin "), F.col("bin").cast("string")), "accuracy"))
+        .unionByName(told(held, "intervals", F.lit("accuracy"), "point"))
+    )

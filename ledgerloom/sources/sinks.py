@@ -29,6 +29,13 @@ def write_artifact(one_row: DataFrame, path: str) -> None:
     write_named(one_row.select(canonical(one_row.columns).alias("value")), folder, name)
 
 
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Named tables of bounded size (calibration curves, intervals, flag metrics) as files of JSON lines in order, one each."""
+    for name, rows in tables.items():
+        lines = rows.select(canonical(rows.columns).alias("value")).orderBy("value")
+        write_named(lines, path, f"{name}.jsonl")
+
+
 def write_split(rows: DataFrame, path: str, key: str = "task_id") -> None:
     """Each side of a split as JSON lines in order of key, range-partitioned so that no task sorts all."""
     for side in ("train", "val"):
