@@ -38,6 +38,20 @@ def tasks_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify(spark.read.schema(artifacts.PAIR).json(f"{path}/tasks.jsonl")).groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(VERIFIED + "SELECT kind, count(*) AS n FROM verified GROUP BY ALL")
+def tasks_from_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs, from the first of some places that has tasks: behind one that there is not and an empty one, a folder of JSON lines."""
+    path = shared.folder(spark, "places")
+    for place in ("none", "folder"):
+        fs, at = shared.filesystem(spark, f"{path}/{place}")
+        fs.mkdirs(at)
+    order_pairs(spark, sf_dir).select("task_id", "ledger", "statement").write.json(f"{path}/lines")
+    for i, part in enumerate(n for n in shared.names(spark, f"{path}/lines") if n.startswith("part-")):
+        fs.rename(shared.filesystem(spark, f"{path}/lines/{part}")[1], shared.filesystem(spark, f"{path}/folder/tasks-{i}.jsonl")[1])
+    tasks = artifacts.tasks_from(spark, [f"{path}/nowhere", f"{path}/none", f"{path}/folder", f"{path}/lines"])
+    return verify(tasks).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT CAST(r_regionkey AS BIGINT) AS seed, CAST(120 AS BIGINT) AS n FROM region ORDER BY r_regionkey DESC LIMIT 2")
 def latest_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One benchmark artifact of 120 generated tasks a region, written one after the other; the newest that hold 200 tasks together."""

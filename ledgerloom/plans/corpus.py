@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.chunks import chunked
 from ..operators import contamination, evidence, repair, split
+from ..operators.groups import written
+from ..sources import sinks
 from .registry import query, table
 from .views import VERIFIED, verified
 
@@ -98,6 +100,25 @@ def corpus_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.entities(triples(spark, sf_dir), last=True)
 
 
+@query(_TRIPLES + "SELECT head || ' ' || relation || ' ' || tail AS triple, min(source) AS source, round(max(confidence), 4) AS confidence, true AS told FROM triples GROUP BY head, relation, tail")
+def triple_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a verdict shows of each triple of the corpus, and whether it has a sentence to show that the source holds."""
+    rows = evidence.merge_relations(triples(spark, sf_dir))
+    entries = rows.select(evidence.evidence_entry(F.struct(*rows.columns)).alias("e")).select("e.*")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.col("text").alias("whole"))
+    return entries.join(texts, "source").select("triple", "source", "confidence", (F.contains("whole", F.col("text")) & (F.length("text") > 0)).alias("told"))
+
+
+@query(_TRIPLES + ", n AS (SELECT count(*) AS n FROM (SELECT DISTINCT head, relation, tail FROM triples)) SELECT load, n FROM n, (VALUES (1), (2)) AS l(load)")
+def graph_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a graph table after the triples were loaded once, and after they were loaded again."""
+    new, _ = written(triples(spark, sf_dir).select("head", "relation", "tail", "confidence", "source"), "graph-new")
+    first, _ = written(sinks.merge_graph(None, new, ["head", "relation", "tail"], "confidence"), "graph-1")
+    second, _ = written(sinks.merge_graph(first, new, ["head", "relation", "tail"], "confidence"), "graph-2")
+    counted = lambda rows, load: rows.agg(F.lit(load).alias("load"), F.count(F.lit(1)).alias("n"))
+    return counted(first, 1).unionByName(counted(second, 2))
+
+
 @query("SELECT doc_id, sha256(text) AS signature FROM documents")
 def doc_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("signature"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import listing
+from . import shared
 from .pairs import EXPECTED, LEDGER, PAIR, STATEMENT, newest_until, read_pairs, read_wrapped
 
 VERDICT = "struct<verdict:string,exception_type:string,severity:string,confidence:double,reason:string,resolution:string>"
@@ -32,6 +33,18 @@ def latest_tasks(spark: SparkSession, folder: str, least: int = 200, names: str
     return newest_until(rows, least).drop("_metadata")
 
 
+def tasks_from(spark: SparkSession, places: list[str], least: int = 200, names: str = "pilot-*.json") -> DataFrame | None:
+    """Tasks of the first place that has any: a file or folder of tasks, or a folder of benchmark artifacts, as its names tell; None where none has."""
+    prefix, _, suffix = names.partition("*")
+    for place in places:
+        there = [n for n in shared.names(spark, place) if not n.startswith(("_", "."))]
+        if any(n.startswith(prefix) and n.endswith(suffix) for n in there):
+            return latest_tasks(spark, place, least, names)
+        if there:
+            return read_tasks(spark, place)
+    return None
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("task_id string, label string, judge string").json(path).where("label IS NOT NULL OR judge IS NOT NULL")
 

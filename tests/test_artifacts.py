@@ -119,3 +119,17 @@ def test_dense_search_equals_brute_force(spark):
     for q in (0, 100, 200):
         s = np.round(unit @ unit[q], 4)
         assert [got[q, k + 1] for k in range(4)] == [j for j in np.lexsort((np.arange(300), -s)) if j != q][:4]
+
+
+def test_the_first_place_with_tasks_counts(spark, tmp_path):
+    from tests.test_verify import LEDGER, STATEMENT
+
+    task = lambda i: {"task_id": f"t{i}", "ledger": LEDGER, "statement": STATEMENT}
+    for name in ("empty", "lines", "pilots"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "lines" / "a.jsonl").write_text(json.dumps(task(1)) + "\n")
+    (tmp_path / "pilots" / "pilot-1.json").write_text(json.dumps({"seed": 1, "tasks": [task(2), task(3)]}))
+    places = lambda *names: artifacts.tasks_from(spark, [f"{tmp_path}/{n}" for n in names])
+    ids = lambda rows: sorted(r["task_id"] for r in rows.collect())
+    assert ids(places("nowhere", "empty", "pilots", "lines")) == ["t2", "t3"] and ids(places("empty", "lines", "pilots")) == ["t1"]
+    assert ids(places("lines/a.jsonl")) == ["t1"] and places("nowhere", "empty") is None
