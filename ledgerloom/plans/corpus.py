@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..functions import text as T
 from ..functions.chunks import chunked
 from ..operators import contamination, evidence, repair, split
@@ -229,6 +230,21 @@ def shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.size(T.char_shingles(F.col("text"), 5)).alias("shingles"))
 
 
+_PERMS = contamination.universal_perms(4)
+_MINIMA = ", ".join(f"CAST(min((x * {a} + {b}) % {hashing.MERSENNE_61}) AS BIGINT) AS m{i}" for i, (a, b) in enumerate(_PERMS))
+
+
+@query(
+    "WITH s AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, greatest(length(text) - 4, 1) + 1), lambda i: substring(text, i, 5)))) AS s FROM benchmark),"
+    f" v AS (SELECT item_id, CAST(('0x' || left(md5(s), 16))::UBIGINT AS HUGEINT) % {hashing.MERSENNE_61} AS x FROM s) SELECT item_id, {_MINIMA} FROM v GROUP BY item_id"
+)
+def universal_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four places of passages' signatures: least universal hashes of the MD5 of their shingles, by built-in functions alone."""
+    rows = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.explode(T.char_shingles(F.col("text"), 5)).alias("s"))
+    hashed = rows.select("item_id", hashing.md5_64(F.col("s")).alias("x"))
+    return hashed.groupBy("item_id").agg(*[F.min(hashing.universal(F.col("x"), a, b)).cast("bigint").alias(f"m{i}") for i, (a, b) in enumerate(_PERMS)])
+
+
 _STEM = (
     "CASE WHEN length(w) <= 4 THEN w WHEN ends_with(w, 'ies') THEN left(w, length(w) - 3) || 'y' WHEN ends_with(w, 'ing') THEN CASE WHEN ends_with(left(w, length(w) - 3), 'e') THEN left(w, length(w) - 3) || 'e' ELSE left(w, length(w) - 3) END"
     " WHEN ends_with(w, 'ed') THEN CASE WHEN ends_with(left(w, length(w) - 2), 'd') THEN left(w, length(w) - 1) ELSE left(w, length(w) - 2) END WHEN ends_with(w, 'es') THEN left(w, length(w) - 2) WHEN ends_with(w, 's') THEN left(w, length(w) - 1) ELSE w END"
