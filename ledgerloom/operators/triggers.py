@@ -25,7 +25,7 @@ _BEFORE, _AFTER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789."), frozenset(
 class Rules:
     """Rules as lists of triggers; a rule without triggers holds of every text, one with a null among them, or null, of none."""
 
-    def __init__(self, rules: list[list[str | None] | None]) -> None:
+    def __init__(self, rules: list[list[str | None] | None], anywhere: bool = False) -> None:
         terms = sorted({t for triggers in rules for t in triggers or () if t})
         self.ids = {t: i for i, t in enumerate(terms)}
         self.always: list[int] = []
@@ -41,7 +41,7 @@ class Rules:
             self.anchored.setdefault(self.ids[anchor], []).append((number, frozenset(self.ids[t] for t in needed)))
         self.automaton = ahocorasick.Automaton()
         for term, i in self.ids.items():
-            self.automaton.add_word(term, (i, len(term), _ALONE.fullmatch(term) is not None))
+            self.automaton.add_word(term, (i, len(term), not anywhere and _ALONE.fullmatch(term) is not None))
         if terms:
             self.automaton.make_automaton()
         self.any = bool(terms)
@@ -66,12 +66,15 @@ class Rules:
         return sorted([*self.always, *(number for i in held for number, needed in self.anchored.get(i, ()) if needed <= held)])
 
 
-def holding(lower: Column, rules: list[list[str]]) -> Column:
-    """An array of the numbers of the rules that hold of a lower-case text; null texts have none but those that always hold."""
+def holding(lower: Column, rules: list[list[str]], anywhere: bool = False) -> Column:
+    """An array of the numbers of the rules that hold of a lower-case text; null texts have none but those that always hold.
+
+    ``anywhere``: every trigger may occur within a word too, and texts and triggers are taken as they are.
+    """
 
     @F.pandas_udf("array<int>")
     def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        made = Rules(rules)
+        made = Rules(rules, anywhere)
         for texts in batches:
             yield pd.Series([made.holding(t or "") for t in texts], index=texts.index, dtype=object)
 

@@ -133,24 +133,9 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage word for word.
-
-    Passages meet documents on an 8-word sequence: the passages' first one against all sequences of the
-    documents that a passage begins with, and only these pairs are compared in full.
-    """
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    start = lambda c: F.split(c, r"\s+")
-    cut = items.withColumn("w", F.filter(start(F.col("passage")), lambda x: x != ""))
-    # the first and last word of a passage may be cut by what surrounds it, so the probe leaves them out
-    cut = cut.withColumn("probe", F.when(F.size("w") > 8, F.xxhash64(F.array_join(F.slice("w", 2, 6), " ")))).drop("w")
-    words = F.filter(start(F.col("text")), lambda x: x != "")
-    grams = docs.select("doc_id", words.alias("w")).where(F.size("w") >= 6)
-    grams = grams.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 6), " "))))).alias("probe"))
-    near = grams.join(F.broadcast(cut.where("probe IS NOT NULL").select("item_id", "probe")), "probe").select("item_id", "doc_id").distinct()
-    long_ = near.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    brief = docs.join(F.broadcast(cut.where("probe IS NULL").select("item_id", "passage")), F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    return long_.union(brief)
+    """Documents that hold a benchmark passage word for word."""
+    found = contamination.containments(table(spark, sf_dir, "benchmark"), "item_id", "text", table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("item").alias("item_id"), F.col("key").alias("doc_id"))
 
 
 _CLASSES = (

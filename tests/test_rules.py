@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import evidence, triggers
+from ledgerloom.operators import contamination, evidence, triggers
 from ledgerloom.sources import extractions
 
 PARTS = ["mt103", "mt", "103", "iban", "a.b", "t2s", "#x", "late", "payment", "pay", "ment", " ", ", ", "-", ".", "é", "_", "#", "\n"]
@@ -106,3 +106,17 @@ def test_pruned_search_equals_all_sums_and_meets_fewer_rows(spark):
     assert evidence.pruned(q, index, 8).count() < 0.65 * len(sums)
     few = evidence.search(asked.where("c = 1"), "c", "text", held.where("d < 4"), "d", "text", k=8)
     assert few.count() == 4 and evidence.search(asked.limit(0), "c", "text", held, "d", "text").count() == 0
+
+
+def test_passages_are_found_word_for_word(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["aa", "b", "ccc", "d.", "Éa", "x"])
+    passages = [" ".join(word() for _ in range(n)) for n in (1, 2, 5, 8, 9, 9, 12, 20, 20)] + ["", "b", "a\nb  c"]
+    texts = ["".join(rng.choice(passages + [" ", " zz ", "q"]) for _ in range(rng.randint(0, 6))) for _ in range(80)] + ["", None, passages[7] + "tail", "head" + passages[8]]
+    items = spark.createDataFrame(list(enumerate(passages)) + [(99, None)], "i long, p string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
+    want = sorted((i, d) for i, p in enumerate(passages) for d, t in enumerate(texts) if t is not None and p in t)
+    for few, listed in ((10_000, 200_000), (1, 1)):
+        monkeypatch.setattr(contamination, "IN_PLACE", few)
+        monkeypatch.setattr(contamination, "LISTED", listed)
+        assert sorted(map(tuple, contamination.containments(items, "i", "p", docs, "d", "t").collect())) == want
