@@ -100,6 +100,8 @@ def review_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Parts, by time, in which a table is replayed as a stream.
 SLICES = 3
+#: Acts of a bucket of reviews in the stream's state.
+BUCKET_ACTS = 50_000
 
 
 def streamed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +112,11 @@ def streamed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     timed = acts.crossJoin(F.broadcast(spans.select(micros("a").alias("a_"), micros("b").alias("b_")))).withColumn("ts_", F.col("at").cast("timestamp"))
     timed.select(*acts.columns, part.cast("int").alias("part")).write.partitionBy("part").parquet(f"{path}/parts")
+    buckets = max(review_stream.BUCKETS, acts.count() // BUCKET_ACTS)
     with review_stream.rocks(spark):
         for i in range(SLICES):
             stream = spark.readStream.schema(acts.schema).parquet(f"{path}/parts/part={{{','.join(map(str, range(i + 1)))}}}")
-            told = review_stream.timeouts(stream, "task_id")
+            told = review_stream.timeouts(stream, "task_id", buckets=buckets)
             keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/told/batch={number}")
             told.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(told.schema).parquet(f"{path}/told")

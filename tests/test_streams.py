@@ -66,6 +66,26 @@ def test_timers_fire_once_across_restarts_and_disorder(spark, tmp_path):
     assert {r["k"]: r["count"] for r in told.where("status = 'refused'").groupBy("k").count().collect()} == refused
 
 
+def test_reviews_share_buckets_and_stay_apart(spark, tmp_path):
+    """Sixty keys in three buckets, one of them null, in three slices: each ends as the table has it."""
+    rng = random.Random(3)
+    acts = [(f"k{k}" if k else None, T0 + rng.randrange(90 * 60) * dt.timedelta(minutes=1), n, rng.choice(["open", "resolve", "timeout"])) for n, k in enumerate(rng.randrange(60) for _ in range(400))]
+    acts = sorted(acts, key=lambda a: a[1]) + [("late", T0 + 100 * H, 999, "open")]
+    for i in range(3):
+        put(spark, tmp_path, acts[i * len(acts) // 3 : (i + 1) * len(acts) // 3])
+        with reviews.rocks(spark):
+            out = reviews.timeouts(spark.readStream.schema(ACTS).parquet(f"{tmp_path}/in"), "k", buckets=3).writeStream.outputMode("update")
+            out = out.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={i}"))
+            out.option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.parquet(f"{tmp_path}/out")
+    seen = T0 + 100 * H
+    table = ledger.deadlines(spark.createDataFrame(acts, ACTS), seen, "k", "at", "n")
+    want = sorted((r["k"] or "", r["status"], r["ended_at"]) for r in table.where("status <> 'pending'").collect())
+    got = sorted((r["k"] or "", r["status"], r["at"]) for r in told.where("status <> 'refused'").select("k", "status", F.col("at").cast("timestamp_ntz").alias("at")).collect())
+    assert got == want and len(want) > 40
+    assert {r["k"]: r["count"] for r in told.where("status = 'refused'").groupBy("k").count().collect()} == {r["k"]: r["refused"] for r in table.where("refused > 0").collect()}
+
+
 def test_replayed_events_give_the_timeouts_of_the_table(spark, sf_dir):
     got = plans.streamed_timeouts(spark, sf_dir)
     from ledgerloom.plans.payments import review_timeouts
