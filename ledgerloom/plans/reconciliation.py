@@ -439,10 +439,10 @@ def judge_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def generated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many synthetic pairs as there are orders, with the type drawn and the type found."""
-    from ..operators.generator import generate
+    from ..operators.generator import judged
 
     n = table(spark, sf_dir, "orders").count()
-    return verify.verify(generate(spark, n)).select("task_id", "difficulty", "drawn", "kind")
+    return judged(spark, n).select("task_id", "difficulty", "drawn", "kind")
 
 
 _SHARED = " UNION ALL ".join(f"SELECT '{c}' AS column, CAST(count(*) AS BIGINT) AS shared FROM (SELECT {c} FROM both_sides GROUP BY {c} HAVING count(DISTINCT split) > 1)" for c in ("task_id", "sig", "counterparty"))

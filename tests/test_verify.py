@@ -91,3 +91,14 @@ def test_no_python_in_the_plan(spark, sf_dir):
     from ledgerloom.plans.views import verified
 
     assert "Python" not in verified(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_generated_pairs_are_made_and_judged_once(spark):
+    """The types that come with the pairs are the verifier's, and reading them draws nothing again."""
+    from ledgerloom.operators.generator import generate, judged
+
+    rows = judged(spark, 400, seed=3)
+    again = verify(generate(spark, 400, seed=3))
+    told = lambda df: sorted((r["task_id"], r["drawn"], r["kind"], r["ledger"], r["statement"]) for r in df.select("task_id", "drawn", "kind", F.to_json("ledger").alias("ledger"), F.coalesce(F.to_json("statement"), F.lit("")).alias("statement")).collect())
+    assert told(rows) == told(again) and rows.count() == 400
+    assert "md5" not in rows._jdf.queryExecution().executedPlan().toString()
