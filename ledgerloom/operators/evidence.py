@@ -153,13 +153,17 @@ def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key).alias("key"), F.explode(T.terms(F.col(text))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(key, term, weight) and (term, idf): tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length; texts are read once, terms written."""
+def tfidf(rows: DataFrame, key: str, text: str, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, term, weight) and (term, idf): tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length; texts are read once, terms written.
+
+    With asked(term), weights of these terms alone; lengths are those of all.
+    """
     t, _ = written(terms(rows, key, text), "terms")
     n = rows.agg(F.count(F.lit(1)).alias("docs"))
     idf = t.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = t.join(idf, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("raw") ** 2)).alias("norm"))
+    raw = raw if asked is None else raw.join(asked, "term", "left_semi")
     return raw.join(norm, "key").select("key", "term", (F.col("raw") / F.col("norm")).alias("weight")), idf
 
 
@@ -209,9 +213,11 @@ def search(claims: DataFrame, claim: str, text: str, rows: DataFrame, key: str,
 
     An inverted index, written once: claims meet rows on shared terms only, and on common ones only where these can matter.
     """
-    index, idf = tfidf(rows, key, row_text)
+    claimed, _ = written(terms(claims, claim, text), "claimed")
+    wanted, _ = written(claimed.select("term").distinct(), "asked-terms")
+    index, idf = tfidf(rows, key, row_text, wanted)
     index, _ = written(index, "postings")
-    asked = terms(claims, claim, text).join(idf, "term").select(F.col("key").alias("claim"), "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    asked = claimed.join(idf, "term").select(F.col("key").alias("claim"), "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = asked.groupBy("claim").agg(F.sqrt(F.sum(F.col("raw") ** 2)).alias("norm"))
     asked, _ = written(asked.join(norm, "claim").select("claim", "term", (F.col("raw") / F.col("norm")).alias("q")), "claims")
     scored = pruned(asked, index, k).select("claim", "key", F.round("score", 4).alias("score")).where("score > 0")

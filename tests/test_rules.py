@@ -120,3 +120,11 @@ def test_passages_are_found_word_for_word(spark, monkeypatch):
         monkeypatch.setattr(contamination, "IN_PLACE", few)
         monkeypatch.setattr(contamination, "LISTED", listed)
         assert sorted(map(tuple, contamination.containments(items, "i", "p", docs, "d", "t").collect())) == want
+
+
+def test_an_index_of_asked_terms_has_the_weights_of_the_whole_index(spark):
+    held = spark.createDataFrame([(1, "pay late pay"), (2, "late iban"), (3, None)], "d int, t string")
+    asked = spark.createDataFrame([("pay",), ("none",)], "term string")
+    told = lambda index: sorted(map(tuple, index.select("key", "term", "weight").collect()))
+    every, some = told(evidence.tfidf(held, "d", "t")[0]), told(evidence.tfidf(held, "d", "t", asked)[0])
+    assert some == [r for r in every if r[1] == "pay"] and len(some) == 1
