@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,10 +72,11 @@ def holding(lower: Column, rules: list[list[str]], anywhere: bool = False) -> Co
     ``anywhere``: every trigger may occur within a word too, and texts and triggers are taken as they are.
     """
 
-    @F.pandas_udf("array<int>")
-    def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def numbers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         made = Rules(rules, anywhere)
         for texts in batches:
-            yield pd.Series([made.holding(t or "") for t in texts], index=texts.index, dtype=object)
+            # texts stay in Arrow's memory, one at a time is Python's
+            yield pa.array((made.holding(t.as_py() or "") for t in texts), pa.list_(pa.int32()), size=len(texts))
 
     return numbers(lower)
