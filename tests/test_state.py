@@ -120,6 +120,47 @@ def test_nearest_neighbours_equal_brute_force(spark):
     assert {r["bin"]: r["n"] for r in bins} == {**dict.fromkeys(range(11), 0), 0: 1, 8: 2, 10: 1}
 
 
+def test_tiles_find_what_brute_force_finds(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = np.where(rng.random((3000, 24)) < 0.6, 0, rng.integers(0, 700, (3000, 24)))
+    rows[2000:2500] = rows[:500]
+    asked = np.where(rng.random((60, 24)) < 0.2, rng.integers(0, 1400, (60, 24)), rows[rng.integers(0, 3000, 60)])
+    asked[0], asked[1] = 5000, rows[2100]
+    split = lambda x: [np.unique(c, return_inverse=True) for c in x.T]
+    packed = lambda x: ([v for v, _ in split(x)], np.stack([i for _, i in split(x)], 1).astype(np.uint32))
+    same = (asked[:, None] == rows[None]).sum(axis=2)
+    for few in (0, 40, 4000):
+        monkeypatch.setattr(contamination, "FEW", few)
+        tile = contamination._Tile(*packed(rows))
+        assert [tile.nearest(a) for a in tile.translated(*packed(asked))] == [(int(s.argmax()), int(s.max())) for s in same]
+
+
+def test_signatures_of_awkward_texts_equal_plain_hashing(monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    perms = contamination.universal_perms(6, 11)
+    a, b = np.array(perms, np.uint64).T
+    for texts in (["", "a", "abcd", "\x00\x00\x00\x00a", "abcabcabcabc"], ["", "\U0010ffff\U0001f600", "\U0001f600bcdef", "x" * 9]):
+        want = [[min((p * int.from_bytes(hashlib.md5(s.encode()).digest()[:8], "big") + q) % ((1 << 61) - 1) for s in {t[i : i + 5] for i in range(max(1, len(t) - 4))}) for p, q in perms] for t in texts]
+        for held in (1, 1 << 20):
+            monkeypatch.setattr(contamination, "HELD_VALUES", held)
+            assert contamination._signed(texts, 5, a, b).tolist() == want
+
+
+def test_rows_of_one_file_are_signed_by_many_tasks(spark, monkeypatch):
+    seen = {}
+    keep = contamination.written
+    monkeypatch.setattr(contamination, "written", lambda df, name: seen.setdefault(name, keep(df, name)))
+    rows = spark.range(0, 400, 1, 1).withColumn("text", F.sha2(F.col("id").cast("string"), 256))
+    got = contamination.near_duplicate_audit(rows.where("id % 8 <> 0"), rows.where("id % 8 = 0").withColumn("text", F.sha2((F.col("id") + 1).cast("string"), 256)), "id", F.col("text"), perms=8).collect()
+    assert all(r["nearest"] == r["id"] + 1 and r["similarity"] == 1.0 for r in got) and len(got) == 50
+    assert seen["audit-train"][0].count() == 4
+
+
 def test_a_splice_takes_training_rows_again_where_they_are_few(spark):
     rows = spark.range(100).select("id", F.sha2(F.col("id").cast("string"), 256).alias("sig"))
     points = contamination.leak_roc(rows.where("id < 3"), rows.where("id >= 50"), "id").collect()
