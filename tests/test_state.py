@@ -84,6 +84,19 @@ def test_near_duplicates_of_crowds_and_chains_equal_brute_force(spark):
     assert got == dict(enumerate(group)) and 15 < len(set(group)) < 60
 
 
+def test_sets_move_for_likely_pairs_only(spark, monkeypatch):
+    from ledgerloom.functions.text import word_shingles
+
+    seen, keep = {}, contamination.written
+    monkeypatch.setattr(contamination, "written", lambda df, name: seen.setdefault(name, keep(df, name)))
+    texts = [" ".join(f"w{i}-{j}" for j in range(60)) for i in range(50)]
+    texts += [texts[7] + " more", texts[9], texts[9], texts[9]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["key"]: (r["class"], r["group"]) for r in contamination.near_groups(rows, "id", word_shingles(F.col("text"))).collect()}
+    assert got == {**{i: (i, i) for i in range(50)}, 50: (50, 7), **{i: (9, 9) for i in (51, 52, 53)}}
+    assert seen["near-asked"][0].count() == 2 and seen["near-signed"][0].count() == 51 and "s" not in seen["near-signed"][0].columns
+
+
 def test_components_of_a_long_chain(spark):
     from ledgerloom.operators.groups import components
 
