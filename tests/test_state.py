@@ -150,6 +150,42 @@ def test_tiles_find_what_brute_force_finds(monkeypatch):
         assert [tile.nearest(a) for a in tile.translated(*packed(asked))] == [(int(s.argmax()), int(s.max())) for s in same]
 
 
+def test_a_tile_passes_over_what_is_farther_than_a_known_row():
+    """What is as near as the known row is found, the first of equals; nothing where all rows are farther."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    kinds = [np.arange(40) for _ in range(64)]
+    rows = np.minimum(rng.geometric(0.2, (3_000, 64)), 39).astype(np.uint32)
+    rows[[700, 2_900]] = rows[40]
+    tile = contamination._Tile(kinds, rows)
+    asked = np.concatenate([rows[[40, 5]], np.minimum(rng.geometric(0.2, (30, 64)), 39)]).astype(np.uint32)
+    same = (rows[None] == asked[:, None]).sum(axis=2)
+    want = [(int(s.argmax()), int(s.max())) for s in same]
+    signs = tile.translated(kinds, asked)
+    assert want[0] == (40, 64) and tile.all_nearest(signs, [0] * 32) == want == tile.all_nearest(signs, [n for _, n in want])
+    assert tile.all_nearest(signs, [n - 2 for _, n in want]) == want
+    assert {n for _, n in tile.all_nearest(signs[1:], [n + 1 for _, n in want[1:]])} == {0}
+    assert all(0 < g <= n for g, (_, n) in zip(tile.glances(signs), want))
+
+
+def test_shingles_of_a_form_are_looked_at_once(spark):
+    """Texts of one form, some of which miss a part of it, have the signatures that plain hashing gives, and few shingles of their own."""
+    import hashlib
+
+    import numpy as np
+
+    a, b = np.array(perms := contamination.universal_perms(4, 11), np.uint64).T
+    texts = [f'{{"one form of all texts": "{i * 7919 % 1000}", "and its end": null}}' for i in range(200)]
+    texts[77], texts[78], texts[79], texts[80] = "", "abc", texts[77][:20], "not of the form"
+    want = [[min((p * int.from_bytes(hashlib.md5(s.encode()).digest()[:8], "big") + q) % ((1 << 61) - 1) for s in {t[i : i + 5] for i in range(max(1, len(t) - 4))}) for p, q in perms] for t in texts]
+    assert contamination._signed(texts, 5, a, b).tolist() == want
+    alike = texts[:77] + texts[81:]
+    assert contamination._signed(alike, 5, a, b).tolist() == want[:77] + want[81:]
+    _, where, form, whole = contamination._shingled(alike, 5)
+    assert whole.all() and form > 35 and max(map(len, where)) < 12
+
+
 def test_signatures_of_awkward_texts_equal_plain_hashing(monkeypatch):
     import hashlib
 
